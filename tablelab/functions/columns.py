@@ -124,3 +124,11 @@ def rows_from_wide(wide: DataFrame, rows: Sequence[Sequence[Column]], names: Seq
     """Turn a one-row aggregate into one row per entry of ``rows``."""
     entries = [F.struct(*[v.alias(n) for v, n in zip(row, names)]) for row in rows]
     return wide.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+
+
+def one_row(*tables: DataFrame) -> DataFrame:
+    """Put several one-row tables side by side."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out.agg(*[F.max(col(c)).alias(c) for c in out.columns])

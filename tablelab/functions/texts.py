@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,25 +59,26 @@ def web_domain(c: Column) -> Column:
     return F.when(F.size(labels) >= 2, F.try_element_at(labels, F.lit(-2))).otherwise(F.get(labels, F.lit(0)))
 
 
-def words(c: Column) -> Column:
-    """Lower-case words of a text, empty list for NULL."""
-    return F.filter(F.split(F.lower(F.coalesce(strip(c), F.lit(""))), r"\s+"), lambda w: w != "")
-
-
 def word_count(c: Column) -> Column:
-    return F.size(words(c)).cast("int")
+    """Words between white space, 0 for NULL."""
+    text = strip(c)
+    return F.when(text != "", F.size(F.split(text, r"\s+"))).otherwise(F.lit(0)).cast("int")
 
 
 def char_length(c: Column) -> Column:
     return F.length(F.coalesce(strip(c), F.lit(""))).cast("int")
 
 
+def _count_words(low: Column, wanted: Sequence[str]) -> Column:
+    pattern = r"(?<!\S)(?:" + "|".join(wanted) + r")(?!\S)"
+    return F.regexp_count(low, F.lit(pattern))
+
+
 def sentiment(c: Column) -> Column:
     """(positive words - negative words) / words, rounded to four digits."""
-    w = words(c)
-    good = F.size(F.filter(w, lambda x: x.isin(list(fixed.POSITIVE_WORDS))))
-    bad = F.size(F.filter(w, lambda x: x.isin(list(fixed.NEGATIVE_WORDS))))
-    return F.round(F.coalesce(F.try_divide((good - bad).cast("double"), F.size(w).cast("double")), F.lit(0.0)), 4)
+    low = F.lower(F.coalesce(c.cast("string"), F.lit("")))
+    balance = _count_words(low, fixed.POSITIVE_WORDS) - _count_words(low, fixed.NEGATIVE_WORDS)
+    return F.round(F.coalesce(F.try_divide(balance.cast("double"), word_count(c).cast("double")), F.lit(0.0)), 4)
 
 
 def word_number(c: Column) -> Column:

@@ -18,6 +18,8 @@ from tablelab.functions.columns import col, order_number
 SLICE_ROWS = 1_000_000
 MAX_SLICES = 4096
 SKETCH_ACCURACY = 10_000
+# Below this many values the slack of a bracket would be less than a few ranks; all values are taken.
+SMALL_COLUMN = 4 * SKETCH_ACCURACY
 
 
 def _slices(df: DataFrame, value: str, rows_per_slice: int) -> tuple[DataFrame, bool]:
@@ -186,8 +188,8 @@ def column_quantiles(
             continue
         for j, p in enumerate(probs):
             position = p * (n - 1)
-            wanted.append((i, j, c, sketch[2 * j], sketch[2 * j + 1], math.floor(position), math.ceil(position),
-                           position - math.floor(position)))
+            lo, hi = (float("-inf"), float("inf")) if n < SMALL_COLUMN else (sketch[2 * j], sketch[2 * j + 1])
+            wanted.append((i, j, c, lo, hi, math.floor(position), math.ceil(position), position - math.floor(position)))
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     if not wanted:
         return out
@@ -255,8 +257,8 @@ def grouped_quantiles(
         F.array(*[
             F.struct(
                 F.lit(j).alias("j"),
-                F.col("_s")[2 * j].alias("lo"),
-                F.col("_s")[2 * j + 1].alias("hi"),
+                F.when(F.col("_rows") < SMALL_COLUMN, float("-inf")).otherwise(F.col("_s")[2 * j]).alias("lo"),
+                F.when(F.col("_rows") < SMALL_COLUMN, float("inf")).otherwise(F.col("_s")[2 * j + 1]).alias("hi"),
                 (F.lit(float(p)) * (F.col("_rows") - 1)).alias("pos"),
             )
             for j, p in enumerate(probs)
