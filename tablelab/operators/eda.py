@@ -13,10 +13,12 @@ from tablelab.functions.columns import (
     boolean_columns, col, numeric_columns, one_row, ratio, rows_from_wide, string_columns, time_columns,
 )
 from tablelab.operators.counts import long_numbers, long_text, top_per_group, value_counts
+from tablelab.operators.moments import pair_correlations
 from tablelab.operators.ranks import SLICE_ROWS, average_rank, column_quantiles, running_totals
 
 CORRELATION_METHODS = ("pearson", "spearman", "kendall")
-PAIRS_PER_AGGREGATE = 60
+# Up to this many pairs a built-in aggregate is used, beyond it matrix products.
+PAIRS_PER_AGGREGATE = 36
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -111,14 +113,9 @@ def safe_corr(a: Column, b: Column) -> Column:
 
 
 def _pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        chunk = pairs[start:start + PAIRS_PER_AGGREGATE]
-        wide = df.agg(*[safe_corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        rows = [(F.lit(a), F.lit(b), F.col(f"r{i}")) for i, (a, b) in enumerate(chunk)]
-        part = rows_from_wide(wide, rows, ["column_a", "column_b", "correlation"])
-        out = part if out is None else out.unionByName(part)
-    return out
+    wide = df.agg(*[safe_corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    rows = [(F.lit(a), F.lit(b), F.col(f"r{i}")) for i, (a, b) in enumerate(pairs)]
+    return rows_from_wide(wide, rows, ["column_a", "column_b", "correlation"])
 
 
 def _empty_pairs(spark: SparkSession) -> DataFrame:
@@ -197,7 +194,7 @@ def correlation_pairs(
     if not pairs:
         return _empty_pairs(df.sparkSession)
     if method == "pearson":
-        return _pair_rows(df, pairs)
+        return pair_correlations(df, names) if len(pairs) > PAIRS_PER_AGGREGATE else _pair_rows(df, pairs)
     if method == "spearman":
         # Ranks are taken over the rows in which both columns are filled, pair by pair when there are gaps.
         gaps = df.agg(*[F.count_if(col(c).isNull()).alias(c) for c in names]).first()
