@@ -18,7 +18,7 @@ from tablelab.operators.ranks import SLICE_ROWS, average_rank, column_quantiles,
 
 CORRELATION_METHODS = ("pearson", "spearman", "kendall")
 # Up to this many pairs a built-in aggregate is used, beyond it matrix products.
-PAIRS_PER_AGGREGATE = 36
+PAIRS_PER_AGGREGATE = 15
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -103,13 +103,13 @@ def time_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over rows where both are filled; NULL when one side does not vary."""
+    """Pearson correlation over rows where both are filled; NULL when one side does not vary.
+
+    The running moments of a constant column are exactly 0, so the division gives NULL there.
+    """
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    spread = F.stddev_samp(x) * F.stddev_samp(y)
-    # A column of one repeated value can show a spread of rounding size; min = max settles it.
-    varies = (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))
-    return F.when(varies, F.try_divide(F.covar_samp(x, y), spread))
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
 def _pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
