@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queries import cleaning, features, models, monitoring, profiling  # noqa: F401
+from queries import cleaning, features, models, monitoring, profiling, streams  # noqa: F401
 from queries.base import QUERIES, SQL, Tables, rounded  # noqa: F401
 from tablelab.operators.eda import numeric_summary
 from tablelab.plans.basic_cleaning import BasicCleaning

@@ -10,11 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
+from pyspark.ml.param.shared import HasFeaturesCol, HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol, HasSeed
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +62,19 @@ def unpacked(df: DataFrame, features: str, label: str | None) -> tuple[DataFrame
     return df.select(*side, *[array[i].alias(n) for i, n in enumerate(names)]), names
 
 
+class NonNegative(Transformer, HasInputCol, HasOutputCol):
+    """Negative entries of a vector become 0, for models that accept no negative values."""
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        clipped = F.transform(vector_to_array(self.getInputCol()), lambda v: F.greatest(v, F.lit(0.0)))
+        return df.withColumn(self.getOutputCol(), array_to_vector(clipped))
+
+
 # ------------------------------------------------------------------------------------------- QDA
 
 
@@ -279,7 +292,7 @@ class AdaBoost(Estimator, _Base):
             work = judged.select("f", "y", (F.col("w") * F.lit(scale) * F.exp(F.lit(alpha) * F.col("miss"))).alias("w"))
             if i % 5 == 4:
                 work = checkpointed(work)
-        return TreeVoteModel(self, classes=classes, trees=trees)
+        return TreeVoteModel(self, classes=classes, trees=[(t.copy({t.featuresCol: features}), a) for t, a in trees])
 
 
 class Bagging(Estimator, _Base):

@@ -85,15 +85,18 @@ class Candidate:
     def pipeline(self, params: dict) -> Pipeline:
         """Scaling, where the family needs it, and the model."""
         model, stages = self.build(params), []
+        column = "features"
         if self.name == "MultinomialNB":
-            stages.append(MinMaxScaler(inputCol="features", outputCol="scaled"))
+            stages.append(MinMaxScaler(inputCol=column, outputCol="ranged"))
+            stages.append(custom.NonNegative(inputCol="ranged", outputCol="scaled"))
+            column = "scaled"
         elif self.name in STANDARD_SCALED:
-            stages.append(StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True))
-        if stages:
-            model.setParams(featuresCol="scaled") if hasattr(model, "setParams") and not isinstance(model, C.OneVsRest) else None
-            if self.name == "BernoulliNB":
-                stages.append(Binarizer(threshold=0.0, inputCol="scaled", outputCol="binary"))
-            column = "binary" if self.name == "BernoulliNB" else "scaled"
+            stages.append(StandardScaler(inputCol=column, outputCol="scaled", withMean=True, withStd=True))
+            column = "scaled"
+        if self.name == "BernoulliNB":
+            stages.append(Binarizer(threshold=0.0, inputCol=column, outputCol="binary"))
+            column = "binary"
+        if column != "features":
             _use_features(model, column)
         return Pipeline(stages=[*stages, model])
 

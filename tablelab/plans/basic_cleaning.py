@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tablelab.functions.columns import clamp, col, normalize_nulls, numeric_columns, string_columns, to_number, to_time
 from tablelab.operators.counts import modes
 from tablelab.operators.ranks import SLICE_ROWS, column_quantiles
+from tablelab.session import checkpointed
 
 
 def standard_names(columns: Sequence[str]) -> list[str]:
@@ -149,7 +150,8 @@ class BasicCleaning:
             plan.text_fill = fit_text_fill(out)
             out = apply_fill(out, plan.text_fill) if plan.text_fill else out
         if duplicates:
-            out = out.dropDuplicates()
+            # The passes below read the table several times; the duplicates are found once.
+            out = checkpointed(out.dropDuplicates()) if correct_types or clip_outliers else out
         if correct_types:
             plan.types = fit_types(out)
             out = apply_types(out, plan.types)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +29,21 @@ def local_session(cores: str = "8", app_name: str = "tablelab", **conf: str) ->
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate tables and stream state.
 
-    Only where nothing is configured, as in tests, a folder of this machine is used.
+    It lies below ``spark.checkpoint.dir``, the folder all executors share. Only where nothing is
+    configured, as in tests, a folder of this machine is used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write the table to the shared folder and go on from there with a short plan."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or shared_folder(df.sparkSession))
     return df.checkpoint()
