@@ -84,8 +84,8 @@ def c6(t):
   round(greatest(least(l_extendedprice, b + 0.5 * (b - a)), a - 0.5 * (b - a)), 4) AS l_extendedprice FROM d, q""")
 def c7(t):
     d = t.sql(LINES).drop("l_discount")
-    clips = basic.fit_clips(d, factor=0.5)
-    return rounded(basic.apply_clips(d, {c: clips[c] for c in ("l_quantity", "l_extendedprice")}))
+    clips = basic.fit_clips(d, factor=0.5, columns=["l_quantity", "l_extendedprice"])
+    return rounded(basic.apply_clips(d, clips))
 
 
 DIRTY = """SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS `Account Balance`,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from queries.base import query, rounded
 from tablelab.functions import texts
 from tablelab.models import automl, custom, ensemble, evaluate, explain, registry, search
 from tablelab.operators.splits import folds, split
+from tablelab.session import checkpointed
 
 TEXT_FEATURES = ["n_chars", "words", "sentiment", "lines", "digits", "upper"]
 
@@ -17,13 +20,15 @@ def documents(t, label="toxic"):
     """Labelled documents with numeric text features over the whole text."""
     d = t.documents.join(t.labels, "doc_id")
     c = F.col("text")
+    without = lambda letters: F.length(c) - F.length(F.translate(c, letters, ""))
     wide = d.select(
         "doc_id", F.col(label).cast("double").alias("label"), F.col("n_chars").cast("double").alias("n_chars"),
         texts.word_count(c).cast("double").alias("words"), texts.sentiment(c).alias("sentiment"),
-        F.regexp_count(c, F.lit("\n")).cast("double").alias("lines"), F.regexp_count(c, F.lit("[0-9]")).cast("double").alias("digits"),
-        F.regexp_count(c, F.lit("[A-Z]")).cast("double").alias("upper"),
+        without("\n").cast("double").alias("lines"), without("0123456789").cast("double").alias("digits"),
+        without(string.ascii_uppercase).cast("double").alias("upper"),
     )
-    return VectorAssembler(inputCols=TEXT_FEATURES, outputCol="features").transform(wide)
+    # Training reads the features many times; the texts are scanned once.
+    return checkpointed(VectorAssembler(inputCols=TEXT_FEATURES, outputCol="features").transform(wide))
 
 
 def vectors(t):

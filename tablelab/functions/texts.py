@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,15 +67,13 @@ def char_length(c: Column) -> Column:
     return F.length(F.coalesce(strip(c), F.lit(""))).cast("int")
 
 
-def _count_words(low: Column, wanted: Sequence[str]) -> Column:
-    pattern = r"(?<!\S)(?:" + "|".join(wanted) + r")(?!\S)"
-    return F.regexp_count(low, F.lit(pattern))
-
-
 def sentiment(c: Column) -> Column:
     """(positive words - negative words) / words, rounded to four digits."""
     low = F.lower(F.coalesce(c.cast("string"), F.lit("")))
-    balance = _count_words(low, fixed.POSITIVE_WORDS) - _count_words(low, fixed.NEGATIVE_WORDS)
+    pattern = r"(?<!\S)(?:" + "|".join([*fixed.POSITIVE_WORDS, *fixed.NEGATIVE_WORDS]) + r")(?!\S)"
+    found = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
+    good = list(fixed.POSITIVE_WORDS)
+    balance = F.aggregate(found, F.lit(0), lambda n, w: n + F.when(w.isin(good), 1).otherwise(-1))
     return F.round(F.coalesce(F.try_divide(balance.cast("double"), word_count(c).cast("double")), F.lit(0.0)), 4)
 
 

@@ -15,7 +15,7 @@ from tablelab.functions.columns import (
 )
 from tablelab.operators import eda
 from tablelab.operators.counts import distinct_over, long_numbers, top_per_group
-from tablelab.operators.ranks import SLICE_ROWS, column_quantiles, grouped_quantiles, ordered_index, running_totals
+from tablelab.operators.ranks import EXACT_ROWS, SLICE_ROWS, column_quantiles, grouped_quantiles, ordered_index, running_totals
 
 BOXES = ("q1", "median", "q3")
 
@@ -180,7 +180,7 @@ def group_histogram(df: DataFrame, by: str, column: str, bins: int = 22, groups:
     return eda.histogram(df.filter(col(by).isin(first)), [column], bins, by=[by])
 
 
-def box_statistics(df: DataFrame, by: str, column: str, top: int | None = 8, exact_rows: int = SLICE_ROWS) -> DataFrame:
+def box_statistics(df: DataFrame, by: str, column: str, top: int | None = 8, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Quartiles, whiskers at 1.5 IQR, extremes and outlier counts per group."""
     base = df.filter(col(column).isNotNull()).select(col(by), col(column).cast("double").alias("_v"))
     if top is not None:
@@ -206,7 +206,7 @@ def box_statistics(df: DataFrame, by: str, column: str, top: int | None = 8, exa
     )
 
 
-def percentile_bar(df: DataFrame, column: str, exact_rows: int = SLICE_ROWS) -> DataFrame:
+def percentile_bar(df: DataFrame, column: str, exact_rows: int = EXACT_ROWS) -> DataFrame:
     return eda.numeric_summary(df, [column], exact_rows).select("column", "min", "q25", "q50", "q75", "max")
 
 
@@ -225,7 +225,7 @@ def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def density(
     df: DataFrame, column: str, points: int = 300, bins: int = 2048, standardise: bool = False,
-    exact_rows: int = SLICE_ROWS,
+    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
     """Gaussian kernel density on a grid between the 1st and 99th percentile, from a fine histogram.
 
@@ -262,7 +262,7 @@ def density(
     )
 
 
-def z_scored_boxes(df: DataFrame, columns: Sequence[str], exact_rows: int = SLICE_ROWS) -> DataFrame:
+def z_scored_boxes(df: DataFrame, columns: Sequence[str], exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Box statistics of z-scored columns and the number of values beyond three deviations."""
     names = list(columns)
     got = df.agg(
@@ -285,7 +285,7 @@ def z_scored_boxes(df: DataFrame, columns: Sequence[str], exact_rows: int = SLIC
     return rows_from_wide(wide, rows, ["column", "n", *BOXES, "beyond_3_sigma"])
 
 
-def value_ranges(df: DataFrame, columns: Sequence[str] | None = None, exact_rows: int = SLICE_ROWS) -> DataFrame:
+def value_ranges(df: DataFrame, columns: Sequence[str] | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Range, IQR and median per column."""
     return eda.numeric_summary(df, columns, exact_rows).select(
         "column", "mean", "std", "min", "q25", F.col("q50").alias("median"), "q75", "max",

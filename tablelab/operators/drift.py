@@ -65,6 +65,12 @@ def col_path(df: DataFrame, path: str) -> Column:
     return F.col(path)
 
 
+def gap_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns with at least one NULL."""
+    got = df.agg(*[F.coalesce(F.bool_or(col(c).isNull()), F.lit(False)).alias(c) for c in columns]).first()
+    return [c for c in columns if got[c]]
+
+
 def rolling(
     runs: DataFrame, by: Sequence[str] = ("filename", "target"), time: str = "ts", tie: str = "run_id",
     limits: dict | None = None, chunk: int = h.CHUNK,
@@ -72,11 +78,10 @@ def rolling(
     """Rolling means, deviations and baselines of the numeric metrics before each run."""
     limits = {**DRIFT_LIMITS, **(limits or {})}
     n = int(limits["window_size"])
-    gaps = runs.agg(*[F.count_if(col(m).isNull()).alias(m) for m in METRICS]).first()
-    # Without gaps the last n values are the last n rows; with gaps the search goes back a whole ring.
-    reach = {m: n if gaps[m] == 0 else RING for m in METRICS}
+    gaps = gap_columns(runs, METRICS)
     out = h.chunked(runs, by, time, [tie], RING, chunk)
-    out = out.select("*", *[h.last_values(col(m).cast("double"), by, n, reach[m]).alias(f"_{m}") for m in METRICS])
+    out = out.select(*[col(c).cast("double").alias(c) if c in METRICS else col(c) for c in out.columns])
+    out = h.last_values(out, {m: f"_{m}" for m in METRICS}, by, n, gaps, RING)
     return out.select(
         "*",
         *[h.baseline_of(F.col(f"_{m}")).alias(f"{m}_base") for m in METRICS],
@@ -96,15 +101,12 @@ def detect(
     limits = {**DRIFT_LIMITS, **(limits or {})}
     out = rolling(runs, by, time, tie, limits, chunk)
     over_n, low_n, flip_n = (int(limits[k]) for k in ("overfit_streak_n", "confidence_streak_n", "model_flip_streak_n"))
-    label = h.last_values(col("confidence_label"), by, low_n - 1, RING)
-    models = h.last_values(col("best_model"), by, flip_n - 1, RING)
     before = h.frame(by, -(over_n - 1), -1)
-    out = out.select(
-        "*",
-        (F.coalesce(F.sum(F.when(col("overfitting"), 1).otherwise(0)).over(before), F.lit(0))
-         + F.when(col("overfitting"), 1).otherwise(0)).alias("overfit_streak"),
-        label.alias("_labels"), models.alias("_models"),
-    )
+    streak = F.coalesce(F.sum(F.when(col("overfitting"), 1).otherwise(0)).over(before), F.lit(0))
+    out = out.withColumn("overfit_streak", streak + F.when(col("overfitting"), 1).otherwise(0))
+    gaps = gap_columns(runs, ["confidence_label", "best_model"])
+    out = h.last_values(out, {"confidence_label": "_labels"}, by, low_n - 1, gaps, RING)
+    out = h.last_values(out, {"best_model": "_models"}, by, flip_n - 1, gaps, RING)
     mark = F.when(col(retrained), col(time)) if retrained else F.lit(None).cast(dict(runs.dtypes)[time])
     out = h.carried_max(out.withColumn("_mark", mark), "_mark", by, "last_retrain")
     first = runs.groupBy(*[col(b) for b in by]).agg(F.min(col(time)).alias("_first"))

@@ -14,7 +14,7 @@ from tablelab.functions.columns import (
 )
 from tablelab.operators.counts import long_numbers, long_text, top_per_group, value_counts
 from tablelab.operators.moments import pair_correlations
-from tablelab.operators.ranks import SLICE_ROWS, average_rank, column_quantiles, running_totals
+from tablelab.operators.ranks import EXACT_ROWS, SLICE_ROWS, average_rank, column_quantiles, running_totals
 
 CORRELATION_METHODS = ("pearson", "spearman", "kendall")
 # Up to this many pairs a built-in aggregate is used, beyond it matrix products.
@@ -36,7 +36,7 @@ def column_types(df: DataFrame) -> DataFrame:
     return rows_from_wide(wide, rows, ["position", "column", "dtype", "missing"])
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact_rows: int = SLICE_ROWS) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """count, mean, std, min, quartiles, max and missing: one row per numeric column."""
     names = list(columns or numeric_columns(df))
     quarts = column_quantiles(df, names, [0.25, 0.5, 0.75], exact_rows)
@@ -285,7 +285,7 @@ def histogram(
     )
 
 
-def distributions(df: DataFrame, bins: int = 20, top: int = 10, exact_rows: int = SLICE_ROWS) -> dict[str, DataFrame]:
+def distributions(df: DataFrame, bins: int = 20, top: int = 10, exact_rows: int = EXACT_ROWS) -> dict[str, DataFrame]:
     """Histogram and moments of numeric columns, top values and distinct counts of string columns."""
     out: dict[str, DataFrame] = {}
     numbers, strings = numeric_columns(df), string_columns(df)
@@ -309,7 +309,7 @@ def eda_report(
     method: str = "pearson",
     bins: int = 20,
     top: int = 10,
-    exact_rows: int = SLICE_ROWS,
+    exact_rows: int = EXACT_ROWS,
 ) -> dict[str, DataFrame]:
     """All sections as small DataFrames; sections can be switched off."""
     if not isinstance(df, DataFrame):
@@ -448,7 +448,7 @@ def most_skewed(df: DataFrame, target: str | None = None, n: int = 5) -> DataFra
     return stats.filter("abs_skew is not null").orderBy(F.desc("abs_skew"), "column").limit(n)
 
 
-def describe_filled(df: DataFrame, exact_rows: int = SLICE_ROWS) -> DataFrame:
+def describe_filled(df: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Numeric summary in which undefined figures show as 0."""
     out = numeric_summary(df, exact_rows=exact_rows)
     figures = ["mean", "std", "min", "q25", "q50", "q75", "max"]

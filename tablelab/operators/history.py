@@ -36,10 +36,30 @@ def frame(by: Sequence[str], first: int, last: int) -> Window:
     return Window.partitionBy(*[col(b) for b in by], "_chunk").orderBy("row_index").rowsBetween(first, last)
 
 
-def last_values(c: Column, by: Sequence[str], n: int, reach: int) -> Column:
-    """The last ``n`` filled values among the ``reach`` rows before the current one, oldest first."""
-    values = F.collect_list(c).over(frame(by, -reach, -1))
-    return values if reach == n else F.slice(values, -F.least(F.lit(n), F.greatest(F.size(values), F.lit(1))), F.lit(n))
+def last_values(df: DataFrame, columns: dict[str, str], by: Sequence[str], n: int, gaps: Sequence[str], ring: int = HALO) -> DataFrame:
+    """Add the last ``n`` filled values before each row, oldest first: ``columns`` maps source to output.
+
+    A column without gaps takes the n rows before. With gaps, every filled row first lists itself and
+    the filled rows before it, the newest such list is carried on, and entries that lie more than
+    ``ring`` rows back are left out. Both ways cost n steps per row.
+    """
+    group = [col(b) for b in by]
+    open_columns = [c for c in columns if c in gaps]
+    out = df
+    for c in open_columns:
+        filled = Window.partitionBy(*group, "_chunk", F.col(f"`{c}`").isNull()).orderBy("row_index").rowsBetween(-(n - 1), 0)
+        entries = F.collect_list(F.struct(F.col("row_index").alias("i"), col(c).alias("v"))).over(filled)
+        out = out.withColumn(f"_own_{c}", F.when(col(c).isNotNull(), entries))
+    carry = Window.partitionBy(*group, "_chunk").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
+    made = {}
+    for c, name in columns.items():
+        if c in open_columns:
+            newest = F.last(F.col(f"_own_{c}"), ignorenulls=True).over(carry)
+            near = F.filter(newest, lambda e: e["i"] >= F.col("row_index") - ring)
+            made[name] = F.coalesce(F.transform(near, lambda e: e["v"]), F.array().cast(f"array<{dict(df.dtypes)[c]}>"))
+        else:
+            made[name] = F.collect_list(col(c)).over(frame(by, -n, -1))
+    return out.select(*[col(c) for c in df.columns], *[v.alias(k) for k, v in made.items()])
 
 
 def mean_of(values: Column) -> Column:

@@ -16,15 +16,20 @@ from pyspark.sql import functions as F
 from tablelab.functions.columns import col, order_number
 
 SLICE_ROWS = 1_000_000
+# Up to this many rows a percentile state in one task is both bounded and the fastest way.
+EXACT_ROWS = 200_000
 MAX_SLICES = 4096
 SKETCH_ACCURACY = 10_000
 # Below this many values the slack of a bracket would be less than a few ranks; all values are taken.
 SMALL_COLUMN = 4 * SKETCH_ACCURACY
 
 
-def _slices(df: DataFrame, value: str, rows_per_slice: int) -> tuple[DataFrame, bool]:
-    """Add ``_slice``: 0 for a small table, else the position among sketch quantiles of ``value``."""
-    rows = df.count()
+def _slices(df: DataFrame, value: str, rows_per_slice: int, rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Add ``_slice``: 0 for a small table, else the position among sketch quantiles of ``value``.
+
+    ``rows`` is an upper bound of the table size where the caller knows one.
+    """
+    rows = df.count() if rows is None else rows
     wanted = min(MAX_SLICES, math.ceil(rows / rows_per_slice))
     if wanted <= 1:
         return df.withColumn("_slice", F.lit(0.0)), False
@@ -45,13 +50,14 @@ def running_totals(
     weights: Sequence[str],
     by: Sequence[str] = (),
     rows_per_slice: int = SLICE_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``<w>_before`` and ``<w>_total`` for a table that is unique in (by, value).
 
     ``<w>_before`` totals the weight of all smaller values in the same group.
     """
     by = list(by)
-    sliced, many = _slices(counts, value, rows_per_slice)
+    sliced, many = _slices(counts, value, rows_per_slice, rows)
     group = [col(b) for b in by]
     if not many:
         w = Window.partitionBy(*group).orderBy(col(value))
@@ -156,7 +162,7 @@ def column_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
-    exact_rows: int = SLICE_ROWS,
+    exact_rows: int = EXACT_ROWS,
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of many columns, as a small record.
 
@@ -181,6 +187,7 @@ def column_quantiles(
         *[F.percentile_approx(col(c), points, SKETCH_ACCURACY).alias(f"s{i}") for i, c in enumerate(columns)],
     )
     record = head.first()
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     wanted = []
     for i, c in enumerate(columns):
         n, sketch = record[f"n{i}"], record[f"s{i}"]
@@ -189,24 +196,31 @@ def column_quantiles(
         for j, p in enumerate(probs):
             position = p * (n - 1)
             lo, hi = (float("-inf"), float("inf")) if n < SMALL_COLUMN else (sketch[2 * j], sketch[2 * j + 1])
+            if lo == hi:  # both ranks lie inside the bracket, and it holds a single value
+                out[c][j] = lo
+                continue
             wanted.append((i, j, c, lo, hi, math.floor(position), math.ceil(position), position - math.floor(position)))
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     if not wanted:
         return out
     below = as_double.agg(
-        *[F.count_if(col(c) < F.lit(lo)).alias(f"b{k}") for k, (_, _, c, lo, _, _, _, _) in enumerate(wanted)]
+        *[F.count_if(col(c) < F.lit(lo)).alias(f"b{k}") for k, (_, _, c, lo, _, _, _, _) in enumerate(wanted)],
+        *[F.count_if(col(c).between(lo, hi)).alias(f"i{k}") for k, (_, _, c, lo, hi, _, _, _) in enumerate(wanted)],
     ).first()
     # Values inside any bracket; brackets cover about 4 / SKETCH_ACCURACY of the rows each.
     tagged = [
         F.when(col(c).between(lo, hi), F.struct(F.lit(k).alias("k"), col(c).alias("value")))
         for k, (_, _, c, lo, hi, _, _, _) in enumerate(wanted)
     ]
+    near = None
+    for _, _, c, lo, hi, _, _, _ in wanted:
+        hit = col(c).between(lo, hi)
+        near = hit if near is None else near | hit
     inside = (
-        as_double.select(F.explode(F.array_compact(F.array(*tagged))).alias("t"))
+        as_double.filter(near).select(F.explode(F.array_compact(F.array(*tagged))).alias("t"))
         .groupBy("t.k", "t.value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_totals(inside, "value", ["n"], by=["k"])
+    ranked = running_totals(inside, "value", ["n"], by=["k"], rows=sum(below[f"i{k}"] for k in range(len(wanted))))
     offset = F.element_at(F.array(*[F.lit(below[f"b{k}"]) for k in range(len(wanted))]), F.col("k") + 1)
     first = F.element_at(F.array(*[F.lit(x[5]) for x in wanted]), F.col("k") + 1)
     last = F.element_at(F.array(*[F.lit(x[6]) for x in wanted]), F.col("k") + 1)
@@ -236,7 +250,7 @@ def grouped_quantiles(
     value: str,
     probs: Sequence[float],
     names: Sequence[str],
-    exact_rows: int = SLICE_ROWS,
+    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
     """Exact quantiles per group: one row per group, one column per probability.
 

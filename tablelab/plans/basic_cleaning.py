@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablelab.functions.columns import clamp, col, normalize_nulls, numeric_columns, string_columns, to_number, to_time
 from tablelab.operators.counts import modes
-from tablelab.operators.ranks import SLICE_ROWS, column_quantiles
+from tablelab.operators.ranks import EXACT_ROWS, column_quantiles
 from tablelab.session import checkpointed
 
 
@@ -40,7 +40,7 @@ def training_names(columns: Sequence[str]) -> list[str]:
     return [re.sub(r"[^A-Za-z0-9_]", "", re.sub(r"\s+", "_", c.strip())) for c in columns]
 
 
-def fit_numeric_fill(df: DataFrame, exact_rows: int = SLICE_ROWS) -> dict[str, float]:
+def fit_numeric_fill(df: DataFrame, exact_rows: int = EXACT_ROWS) -> dict[str, float]:
     """Median of every numeric column that has nulls; all-null columns are left alone."""
     names = numeric_columns(df)
     if not names:
@@ -82,10 +82,12 @@ def fit_types(df: DataFrame) -> dict[str, str]:
     return out
 
 
-def fit_clips(df: DataFrame, factor: float = 1.5, exact_rows: int = SLICE_ROWS) -> dict[str, list[float]]:
+def fit_clips(
+    df: DataFrame, factor: float = 1.5, exact_rows: int = EXACT_ROWS, columns: Sequence[str] | None = None
+) -> dict[str, list[float]]:
     """[Q1 - k IQR, Q3 + k IQR] per numeric column with a spread."""
     out = {}
-    for c, (q1, q3) in column_quantiles(df, numeric_columns(df), [0.25, 0.75], exact_rows).items():
+    for c, (q1, q3) in column_quantiles(df, columns or numeric_columns(df), [0.25, 0.75], exact_rows).items():
         if q1 is not None and q3 - q1 != 0:
             out[c] = [q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)]
     return out
@@ -137,7 +139,7 @@ class BasicCleaning:
         correct_types: bool = True,
         clip_outliers: bool = True,
         iqr_factor: float = 1.5,
-        exact_rows: int = SLICE_ROWS,
+        exact_rows: int = EXACT_ROWS,
     ) -> BasicCleaning:
         plan = cls(names=standard_names(df.columns) if standardise else None, drop_duplicates=duplicates)
         if not df.columns:
