@@ -93,7 +93,7 @@ DIRTY = """SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS `A
   CAST(c_nationkey AS STRING) AS nation FROM {customer}"""
 
 
-@query("c8_basic_pipeline", """WITH d AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal,
+@query("c8_basic_cleaning", """WITH d AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS bal,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS seg, c_nationkey AS nation FROM customer),
   f AS (SELECT DISTINCT coalesce(bal, (SELECT quantile_cont(bal, 0.5) FROM d)) AS bal,
    coalesce(seg, (SELECT seg FROM d WHERE seg IS NOT NULL GROUP BY seg ORDER BY count(*) DESC, seg LIMIT 1)) AS seg, nation FROM d),

@@ -2,22 +2,67 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from queries.base import query, rounded
-from queries.profiling import _pairs_sql
-from tablelab.operators import features, selection, splits, target
+from tablelab.operators import experience, features, selection, splits, target
 from tablelab.operators.moments import class_moments
-from tablelab.sources import catalog, readers
-
-DOCS = "SELECT doc_id AS id, source AS filename, lang, n_chars FROM documents"
-
+from tablelab.session import shared_folder
+from tablelab.sources import catalog, readers, writers
 
 @query("s4_read_parquet", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def s4(t):
     return readers.read_table(t.spark, f"{t.folder}/nation.parquet")
 
 
+@query("s1_s2_s7_delimited_round_trip", "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice FROM orders")
+def s1(t):
+    path = f"{shared_folder(t.spark)}/orders.csv"
+    d = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    d.write.option("header", True).option("sep", ";").csv(path)
+    return rounded(readers.read_table(t.spark, path).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint")))
+
+
+@query("s3_s11_json_round_trip", "SELECT c_custkey, c_name, round(c_acctbal, 4) AS c_acctbal FROM customer")
+def s3(t):
+    path = f"{shared_folder(t.spark)}/customer"
+    writers.write_table(t.customer.select("c_custkey", "c_name", "c_acctbal"), path, "json")
+    return rounded(readers.read_json(t.spark, path, multi_line=False))
+
+
+@query("s6_count_rows", "SELECT count(*)::BIGINT AS n FROM lineitem")
+def s6(t):
+    path = f"{shared_folder(t.spark)}/lineitem"
+    t.lineitem.select("l_orderkey").coalesce(1).write.option("header", True).csv(path)
+    return t.spark.createDataFrame([(readers.count_rows(t.spark, path),)], "n bigint")
+
+
+@query("s9_append_log", "SELECT event_type AS agent, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def s9(t):
+    path = f"{shared_folder(t.spark)}/log"
+    log = experience.make_experiences(t.events.select(F.col("event_id").cast("string").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("agent")))
+    writers.append_log(log.filter("agent = 'click'"), path)
+    writers.append_log(log.filter("agent <> 'click'"), path)
+    return readers.read_log(t.spark, path, experience.EXPERIENCES, keep=None).groupBy("agent").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s12_saved_model", "SELECT p_partkey, round(a + b * p_size, 2) AS prediction FROM part, (SELECT regr_intercept(p_retailprice, p_size) AS a, regr_slope(p_retailprice, p_size) AS b FROM part)")
+def s12(t):
+    path = f"{shared_folder(t.spark)}/model"
+    model = features.pipeline(["p_size"], None, LinearRegression(labelCol="p_retailprice", solver="normal")).fit(t.part)
+    writers.save_model(model, path)
+    return rounded(writers.load_model(path).transform(t.part).select("p_partkey", "prediction"), 2)
+
+
+@query("s13_catalog_insert", "SELECT c_mktsegment, 2 * count(*)::BIGINT AS n FROM customer GROUP BY 1")
+def s13(t):
+    path = f"{shared_folder(t.spark)}/rows"
+    for _ in range(2):
+        writers.append_rows(t.customer.select("c_custkey", "c_mktsegment"), path)
+    return writers.read_rows(t.spark, path).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s8_s10_newest_records", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000")
 def s10(t):
     return readers.newest(t.events, 2000, "ts", "event_id").select("event_id", "event_type")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from queries.base import query, rounded
 from tablelab.functions import texts
 from tablelab.models import automl, custom, ensemble, evaluate, explain, registry, search
+from tablelab.operators.features import size_tier
 from tablelab.operators.splits import folds, split
 from tablelab.session import checkpointed
 
@@ -95,11 +96,16 @@ def m13_line(t):
     return rounded(out.select("l_orderkey", "l_linenumber", F.col("prediction").alias("fitted")), 2)
 
 
-@query("m16_candidate_pools", """SELECT tier::INTEGER AS tier, n::BIGINT AS n_models FROM (VALUES (1, 16), (2, 7), (3, 5), (4, 2)) v(tier, n) WHERE (SELECT count(*) FROM labels) > 0""")
+SIZED = ("orders", "lineitem", "events", "documents", "customer", "part")
+
+
+@query("m16_candidate_pools", " UNION ALL ".join(f"SELECT '{n}' AS \"table\", CASE WHEN count(*) < 10000 THEN 16 WHEN count(*) < 100000 THEN 7 WHEN count(*) < 1000000 THEN 5 ELSE 2 END::BIGINT AS n_models FROM {n}" for n in SIZED))
 def m16(t):
-    rows = t.labels.count()
-    pools = [(tier, len(registry.candidates("classification", tier, max(rows, 200)))) for tier in (1, 2, 3, 4)]
-    return t.spark.createDataFrame(pools, "tier int, n_models bigint")
+    out = []
+    for name in SIZED:
+        rows = getattr(t, name).count()
+        out.append((name, len(registry.candidates("classification", size_tier(rows), rows))))
+    return t.spark.createDataFrame(out, "`table` string, n_models bigint")
 
 
 def _small_pool(rows, key):
