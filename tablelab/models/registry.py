@@ -126,18 +126,19 @@ def classification_builders(n_classes: int, rows: int, key: Sequence[str], weigh
     w = {"weightCol": weight} if weight else {}
 
     def logistic(p: dict) -> Estimator:
-        p = dict(p)
-        c = p.pop("C", None)
-        return C.LogisticRegression(maxIter=100, regParam=p.pop("regParam", 1.0 / ((c or 1.0) * max(rows, 1))), **p, **w)
+        return C.LogisticRegression(maxIter=100, tol=1e-4, regParam=1.0 / (p.get("C", 1.0) * max(rows, 1)), **w)
+
+    def stochastic(p: dict) -> Estimator:
+        return C.LogisticRegression(maxIter=100, tol=1e-3, **p, **w)
 
     def svc(p: dict) -> Estimator:
-        return _one_vs_rest(C.LinearSVC(maxIter=100, regParam=1.0 / (p.get("C", 1.0) * max(rows, 1)), **w), n_classes, weight)
+        return _one_vs_rest(C.LinearSVC(maxIter=100, tol=1e-4, regParam=1.0 / (p.get("C", 1.0) * max(rows, 1)), **w), n_classes, weight)
 
     def boosted(p: dict) -> Estimator:
         return _one_vs_rest(C.GBTClassifier(seed=42, **{"maxIter": 20, **p}, **w), n_classes, weight)
 
     out = {
-        "LogisticRegression": logistic, "LinearSVC": svc, "SGDClassifier": logistic,
+        "LogisticRegression": logistic, "LinearSVC": svc, "SGDClassifier": stochastic,
         "RandomForest": lambda p: C.RandomForestClassifier(seed=42, **{"maxDepth": 10, **p}, **w),
         "DecisionTree": lambda p: C.DecisionTreeClassifier(seed=42, **p, **w),
         "AdaBoost": lambda p: custom.AdaBoost(**p), "Bagging": lambda p: custom.Bagging(**p),
