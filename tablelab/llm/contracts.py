@@ -9,6 +9,21 @@ from tablelab.llm.decontamination import decontaminate
 from tablelab.llm.exact_dedup import exact_dedup
 from tablelab.llm.minmax import near_duplicates
 from tablelab.llm.queries import query
+from tablelab.llm.ranking import quality
+from tablelab.llm.sampling import fold_of
+from tablelab.llm.toxicity import fit_toxicity, score_toxicity
+
+
+@query("op1_toxicity")
+def _(table):
+    docs, labels = table("documents"), table("labels").select("doc_id", "toxic")
+    model = fit_toxicity(docs, labels, training=fold_of(F.col("id"), 3) != 1)
+    scored = score_toxicity(docs, model, ["doc_id"])
+    worst = F.array_max(F.transform("offending", lambda s: F.struct(s["p"], s["start"], s["end"])))
+    return scored.select(
+        "doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"), worst["start"].alias("worst_start"), worst["end"].alias("worst_end"))
+
 
 EXACT_DEDUP_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -52,6 +67,12 @@ def _(table):
     return decontaminate(table("documents").select("doc_id", "text"), table("benchmark"))
 
 
+@query("op8_pairwise_quality")
+def _(table):
+    scored = quality(table("documents"), table("labels").select("doc_id", "quality"), training=fold_of(F.col("id"), 5) != 0)
+    return scored.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 NEAR_DUPLICATES_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
