@@ -8,10 +8,14 @@ from tablelab.llm.boilerplate import drop_site_lines, host_of, text_of
 from tablelab.llm.decontamination import decontaminate
 from tablelab.llm.exact_dedup import exact_dedup
 from tablelab.llm.minmax import near_duplicates
+from tablelab.llm.mixing import mix
+from tablelab.llm.pii import KINDS, find_pii, fit_pii
 from tablelab.llm.queries import query
 from tablelab.llm.ranking import quality
 from tablelab.llm.sampling import fold_of
 from tablelab.llm.toxicity import fit_toxicity, score_toxicity
+from tablelab.llm.units import repeated_spans
+from tablelab.llm.url_lists import active_entries, host, path
 
 
 @query("op1_toxicity")
@@ -67,6 +71,71 @@ def _(table):
     return decontaminate(table("documents").select("doc_id", "text"), table("benchmark"))
 
 
+@query("op5_tagged_pii")
+def _(table):
+    docs = table("documents")
+    found = find_pii(docs, fit_pii(docs), ["doc_id"])
+    name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    place = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
+    ordered = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(place(s).alias("k"), s["start"], s["end"], s["kind"]))), name)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, KINDS), F.sha2(F.array_join(F.transform("base", name), ","), 256).alias("base_sha256"), F.array_join(ordered, ",").alias("spans"))
+
+
+@query("op3_soft_mixing")
+def _(table):
+    docs = table("documents")
+    quality_of = table("labels").filter("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    labelled = docs.select("doc_id", "lang").join(quality_of, "doc_id").select("doc_id", F.concat_ws("_", "lang", "quality").alias("domain"))
+    return mix(docs, labelled).select(F.col("id").alias("doc_id"), "n_tokens", "domain", "rate", "copies")
+
+
+@query("op9_repeated_units")
+def _(table):
+    return repeated_spans(table("documents")).select(
+        F.col("id").alias("doc_id"), F.col("first_id").alias("first_doc_id"), "start", "end", F.col("words").cast("long").alias("n_words"))
+
+
+URL_LISTS_SQL = r"""
+WITH p AS (
+  SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 1)) AS host,
+         string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 2), '/') AS raw,
+         DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INT) AS fetched, DATE '2024-01-01' + CAST((page_id * 104729) % 366 AS INT) AS dated,
+         length(html) % 2 = 0 AS listed, length(url) AS len
+  FROM pages),
+q AS (SELECT *, list_filter(raw, lambda x: x <> '') AS parts, string_split(host, '.') AS labels FROM p),
+history AS (
+  SELECT CASE len % 3 WHEN 0 THEN host WHEN 1 THEN host || '/' || parts[1] ELSE host || '/' || array_to_string(parts, '/') END AS name, dated AS at, bool_or(listed) AS listed
+  FROM q WHERE host <> '' AND len(parts) > 0 GROUP BY 1, 2),
+asked AS (
+  SELECT page_id, fetched, unnest(list_distinct(list_concat(
+           list_transform(range(1, len(labels) + 1), lambda i: array_to_string(list_slice(labels, i, len(labels)), '.')),
+           list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(list_slice(parts, 1, i), '/'))))) AS name
+  FROM q WHERE host <> ''),
+held AS (
+  SELECT a.page_id, a.name FROM asked a JOIN history h ON h.name = a.name AND h.at <= a.fetched
+  QUALIFY row_number() OVER (PARTITION BY a.page_id, a.name ORDER BY h.at DESC) = 1 AND h.listed),
+found AS (SELECT page_id, count(*) AS n, first(name ORDER BY length(name) DESC, name) AS entry FROM held GROUP BY page_id)
+SELECT p.page_id, p.fetched AS fetched_at, found.n IS NOT NULL AS blocked, coalesce(found.n, 0) AS n_active, found.entry
+FROM p LEFT JOIN found USING (page_id)"""
+
+
+@query("op7_dated_url_lists", URL_LISTS_SQL)
+def _(table):
+    pages = table("pages")
+    day = lambda factor: F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("page_id") * factor) % 366).cast("int"))
+    parts = F.filter(F.split(path(F.col("url")), "/"), lambda p: p != "")
+    # The list: each page dates an entry for its host, for a first part of the path or for the whole path.
+    entries = pages.select(
+        host(F.col("url")).alias("host"), parts.alias("parts"), day(104729).alias("at"), (F.char_length("html") % 2 == 0).alias("listed"),
+        (F.char_length("url") % 3).alias("kind")).filter((F.col("host") != "") & (F.size("parts") > 0))
+    name = F.when(F.col("kind") == 0, F.col("host")).when(F.col("kind") == 1, F.concat_ws("/", "host", F.get("parts", F.lit(0)))).otherwise(
+        F.concat_ws("/", "host", F.array_join("parts", "/")))
+    captures = pages.select("page_id", "url", day(7919).alias("fetched_at"))
+    return active_entries(captures, entries.select(name.alias("name"), "at", "listed"), at="fetched_at").drop("url")
+
+
 @query("op8_pairwise_quality")
 def _(table):
     scored = quality(table("documents"), table("labels").select("doc_id", "quality"), training=fold_of(F.col("id"), 5) != 0)
