@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         _compare(shingle, percent, True), "a long, b long, na long, nb long, common long, link boolean, d long, half long, head array<long>"))
 
     # 3. Strays: members of pivots that have two members or more, at least one of them not linked.
-    loose = compared.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("link").alias("all")).filter((F.col("m") > 1) & ~F.col("all")).select("a")
+    loose = checkpointed(compared.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("link").alias("all")).filter((F.col("m") > 1) & ~F.col("all")).select("a"))
     heads = compared.join(loose, "a", "left_semi").select(
         "a", F.col("b").alias("x"), F.col("nb").alias("n"), "d", "link", "half", F.posexplode("head").alias("j", "e"))
     heads = checkpointed(heads.withColumn("short", F.col("j") < F.col("half")))
