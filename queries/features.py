@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from queries.base import query, rounded
 from tablelab.operators import experience, features, selection, splits, target
 from tablelab.operators.moments import class_moments
+from tablelab.operators.ranks import ordered_index
 from tablelab.session import shared_folder
 from tablelab.sources import catalog, readers, writers
 
@@ -26,15 +27,15 @@ def s1(t):
 
 @query("s3_s11_json_round_trip", "SELECT c_custkey, c_name, round(c_acctbal, 4) AS c_acctbal FROM customer")
 def s3(t):
-    path = f"{shared_folder(t.spark)}/customer"
+    path = f"{shared_folder(t.spark)}/customer.json"
     writers.write_table(t.customer.select("c_custkey", "c_name", "c_acctbal"), path, "json")
-    return rounded(readers.read_json(t.spark, path, multi_line=False))
+    return rounded(readers.read_table(t.spark, path))
 
 
 @query("s6_count_rows", "SELECT count(*)::BIGINT AS n FROM lineitem")
 def s6(t):
     path = f"{shared_folder(t.spark)}/lineitem"
-    t.lineitem.select("l_orderkey").coalesce(1).write.option("header", True).csv(path)
+    t.lineitem.select("l_orderkey").repartition(4).write.option("header", True).csv(path)
     return t.spark.createDataFrame([(readers.count_rows(t.spark, path),)], "n bigint")
 
 
@@ -277,6 +278,27 @@ def k3_sliced(t):
     return splits.folds(d, ["o_orderkey"], 3, ["o_orderpriority"], rows_per_slice=1000).select("o_orderkey", "fold")
 
 
+GAPPED = "(SELECT o_orderkey, nullif(o_orderpriority, '2-HIGH') AS p FROM orders)"
+
+
+@query("k3_folds_null_sliced", f"SELECT o_orderkey, (({RANK.format(by='p')} - 1) % 3)::INTEGER AS fold FROM {GAPPED}")
+def k3_null_sliced(t):
+    d = t.orders.select("o_orderkey", F.nullif("o_orderpriority", F.lit("2-HIGH")).alias("p"))
+    return splits.folds(d, ["o_orderkey"], 3, ["p"], rows_per_slice=1000).select("o_orderkey", "fold")
+
+
+@query("k1_split_null_sliced", f"SELECT o_orderkey, CASE WHEN {RANK.format(by='p')} <= round(count(*) OVER (PARTITION BY p) * 0.8) THEN 'train' ELSE 'test' END AS part FROM {GAPPED}")
+def k1_null_sliced(t):
+    d = t.orders.select("o_orderkey", F.nullif("o_orderpriority", F.lit("2-HIGH")).alias("p"))
+    return splits.split(d, ["o_orderkey"], by=["p"], rows_per_slice=1000).select("o_orderkey", "part")
+
+
+@query("x15_index_null_sliced", "SELECT event_id, row_number() OVER (PARTITION BY nullif(event_type, 'view') ORDER BY d NULLS FIRST, event_id)::BIGINT AS row_index FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN ts::DATE END AS d FROM events)")
+def index_null_sliced(t):
+    d = t.events.select("event_id", F.nullif("event_type", F.lit("view")).alias("kind"), F.when(F.col("event_id") % 3 > 0, F.to_date("ts")).alias("d"))
+    return ordered_index(d, "d", ["event_id"], ["kind"], rows_per_slice=700).select("event_id", "row_index")
+
+
 @query("k4_downsample", """WITH s AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(concat(o_orderkey::VARCHAR, '|', '42')), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n, count(*) OVER () AS a FROM orders)
   SELECT o_orderkey FROM s WHERE r <= round(n * (5000::DOUBLE / a))""")
 def k4(t):

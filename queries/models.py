@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from queries.base import query, rounded
 from tablelab.functions import texts
 from tablelab.models import automl, custom, ensemble, evaluate, explain, registry, search
-from tablelab.operators.features import size_tier
 from tablelab.operators.splits import folds, split
 from tablelab.session import checkpointed
 
@@ -96,16 +95,15 @@ def m13_line(t):
     return rounded(out.select("l_orderkey", "l_linenumber", F.col("prediction").alias("fitted")), 2)
 
 
-SIZED = ("orders", "lineitem", "events", "documents", "customer", "part")
-
-
-@query("m16_candidate_pools", " UNION ALL ".join(f"SELECT '{n}' AS \"table\", CASE WHEN count(*) < 10000 THEN 16 WHEN count(*) < 100000 THEN 7 WHEN count(*) < 1000000 THEN 5 ELSE 2 END::BIGINT AS n_models FROM {n}" for n in SIZED))
+@query("m16_candidate_pools", "SELECT o_orderpriority AS pool, CASE left(o_orderpriority, 1) WHEN '1' THEN 16 WHEN '2' THEN 7 WHEN '3' THEN 5 WHEN '4' THEN 2 ELSE 13 END::BIGINT AS n_models, count(*)::BIGINT AS n_rows FROM orders GROUP BY 1")
 def m16(t):
+    """Pools are asked for by parameter: a tier 1-4, or 5 here for the small form of tier 1; the rows decide nothing."""
     out = []
-    for name in SIZED:
-        rows = getattr(t, name).count()
-        out.append((name, len(registry.candidates("classification", size_tier(rows), rows))))
-    return t.spark.createDataFrame(out, "`table` string, n_models bigint")
+    for row in t.orders.groupBy("o_orderpriority").count().collect():  # five priorities
+        tier = int(row["o_orderpriority"][0])
+        pool = registry.candidates("classification", tier if tier < 5 else 1, row["count"], small=tier == 5)
+        out.append((row["o_orderpriority"], len(pool), row["count"]))
+    return t.spark.createDataFrame(out, "pool string, n_models bigint, n_rows bigint")
 
 
 def _small_pool(rows, key):
@@ -202,6 +200,12 @@ def v1_auc(t):
     return rounded(evaluate.roc_auc(t.sql(SCORED), "score"))
 
 
+@query("v1_roc_auc_null_sliced", f"WITH d AS (SELECT * FROM ({SCORED_SQL}) WHERE doc_id % 5 > 0), r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM d) SELECT round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 4) AS roc_auc FROM r")
+def v1_auc_null_sliced(t):
+    d = t.sql(SCORED).withColumn("score", F.when(F.col("doc_id") % 5 > 0, F.col("score")))
+    return rounded(evaluate.roc_auc(d, "score", rows_per_slice=20))
+
+
 @query("v2_regression_metrics", "SELECT count(*)::BIGINT AS n, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 4) AS r2, round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse FROM (SELECT p_retailprice AS y, p_retailprice * 0.9 + p_size AS p FROM part)")
 def v2(t):
     d = t.part.select(F.col("p_retailprice").alias("label"), (F.col("p_retailprice") * 0.9 + F.col("p_size")).alias("prediction"))

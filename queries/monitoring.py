@@ -114,10 +114,13 @@ def x10(t):
     return rounded(experience.action_values(_experiences(t)))
 
 
+ACTIONS_SQL = "[" + ", ".join(f"'{a}'" for a in experience.ACTIONS) + "]"
+
+
 @query("x11_action_ranking", f"""WITH v AS (SELECT bucket, action, count(*) AS n, avg(reward) AS m, coalesce(var_samp(reward), 0) AS s FROM ({EXP_SQL}) WHERE action <> 'AGGRESSIVE_FS' GROUP BY 1, 2),
   b AS (SELECT bucket, max(m) AS hi, greatest(0.005, 0.05 * (max(m) - min(m))) AS band, sum(n) AS total, 1.41 * (1 + sqrt(avg(s))) AS c FROM v GROUP BY 1),
   r AS (SELECT v.bucket, v.action, n, CASE WHEN hi - m <= band THEN 1 ELSE 2 END AS g, CASE WHEN hi - m <= band THEN m + c * sqrt(ln(total) / n) ELSE m END AS score FROM v JOIN b USING (bucket)
-   UNION ALL SELECT bucket, 'AGGRESSIVE_FS', 0, 0, 0 FROM b)
+   UNION ALL SELECT bucket, action, 0, 0, -i FROM b, (SELECT unnest({ACTIONS_SQL}) AS action, unnest(range(0, {len(experience.ACTIONS)})) AS i) a WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.bucket = b.bucket AND v.action = a.action))
   SELECT bucket, action, n::BIGINT AS trials, row_number() OVER (PARTITION BY bucket ORDER BY g, score DESC, action)::INTEGER AS rank FROM r""")
 def x11(t):
     values = experience.action_values(_experiences(t).filter("action <> 'AGGRESSIVE_FS'"))
@@ -205,7 +208,7 @@ def l4(t):
 
 
 @query("l5_learned_thresholds", f"""WITH d AS (SELECT cv_mean AS a, cv_std AS b, retrained::INT::DOUBLE AS y FROM ({RUNS_SQL}) WHERE cv_mean IS NOT NULL AND cv_std IS NOT NULL),
-  m AS (SELECT covar_pop(a, y) * count(*) / (var_pop(a) * count(*) + 1) AS sa, covar_pop(b, y) * count(*) / (var_pop(b) * count(*) + 1) AS sb, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM d)
+  m AS (SELECT covar_pop(a, y) * count(*) / (var_pop(a) * count(*) + 1) AS sa, covar_pop(b, y) * count(*) / (var_pop(b) * count(*) + 1) AS sb, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM d HAVING count(*) >= 30 AND sum(y) >= 3)
   SELECT 'drop_threshold' AS name, round(greatest(0.02, least(0.15, (0.5 - (my - sa * ma)) / sa)), 4) AS threshold FROM m WHERE abs(sa) > 1e-6 UNION ALL SELECT 'variance_threshold', round(greatest(0.04, least(0.2, (0.5 - (my - sb * mb)) / sb)), 4) FROM m WHERE abs(sb) > 1e-6""")
 def l5(t):
     d = t.sql(RUNS).withColumn("label", F.col("retrained"))
@@ -359,6 +362,22 @@ def d11_chunked(t):
     return _detected(t, chunk=500).select("run_id", *[drift.flag_name(n) for n, _ in drift.TRIGGERS])
 
 
+GAPPED = RUNS.replace("event_type AS filename", "nullif(event_type, 'view') AS filename")
+
+
+@query("d2_d11_null_chunked", D_BASE.replace(RUNS_SQL, plain(GAPPED)) + D_SELECT)
+def d11_null_chunked(t):
+    out = drift.detect(t.sql(GAPPED), retrained="retrained", limits=LIMITS, chunk=500)
+    return out.select("run_id", *[drift.flag_name(n) for n, _ in drift.TRIGGERS])
+
+
+@query("d13_alert_vectors_null_chunked", f"""SELECT run_id, leakage_detected::INT::DOUBLE AS a0, (cv_std > 0.08)::INT::DOUBLE AS a3,
+  coalesce(lead(retrained) OVER (PARTITION BY filename ORDER BY ts, run_id), false)::INT::DOUBLE AS label FROM ({plain(GAPPED)})""")
+def d13_null_chunked(t):
+    runs = t.sql(GAPPED)
+    return drift.alert_vectors(runs, runs.filter("retrained"), chunk=500).select("run_id", "a0", "a3", "label")
+
+
 @query("d12_decisions", D_BASE + """SELECT run_id, CASE WHEN coalesce(cv_mean < 0.3, false) OR d2 THEN 'CRITICAL' WHEN NOT (d3 OR d4 OR d5 OR d6 OR d7 OR d8 OR d9 OR d10 OR d11) THEN 'NONE' WHEN d3 OR d4 THEN 'HIGH'
   WHEN d5::INT + d6::INT + d7::INT + d8::INT + d9::INT >= 2 THEN 'MEDIUM' WHEN d10::INT + d11::INT >= 3 THEN 'LOW' ELSE 'MILD' END AS severity FROM f""")
 def d12(t):

@@ -125,6 +125,12 @@ def e8(t):
     return rounded(eda.histogram(t.lineitem, ["l_quantity", "l_extendedprice"], 20))
 
 
+@query("e8_histogram_null_group", "WITH d AS (SELECT nullif(l_returnflag, 'N') AS l_returnflag, l_quantity AS v, min(l_quantity) OVER () AS lo, max(l_quantity) OVER () AS hi FROM lineitem), c AS (SELECT l_returnflag, least(floor((v - lo) / ((hi - lo) / 7)), 6)::BIGINT AS bin, count(*) AS n FROM d GROUP BY 1, 2) SELECT l_returnflag, 'l_quantity' AS \"column\", bin, n::BIGINT AS n FROM c")
+def e8_null(t):
+    d = t.lineitem.select(F.nullif("l_returnflag", F.lit("N")).alias("l_returnflag"), "l_quantity")
+    return eda.histogram(d, ["l_quantity"], 7, by=["l_returnflag"]).filter("n > 0").select("l_returnflag", "column", "bin", "n")
+
+
 @query("e8_moments", """SELECT 'l_quantity' AS "column", round(avg(l_quantity), 4) AS mean, round(median(l_quantity), 4) AS median, round(stddev_samp(l_quantity), 4) AS std FROM lineitem""")
 def e8_moments(t):
     return rounded(eda.distributions(t.lineitem.select("l_quantity"))["moments"])
@@ -288,6 +294,12 @@ def p12_sketched(t):
     return rounded(dash.box_statistics(t.events, "event_type", "value", exact_rows=0))
 
 
+@query("p12_boxes_null_sliced", BOX_SQL.replace("FROM events GROUP BY 1", "FROM e GROUP BY 1").replace("WITH q", "WITH e AS (SELECT nullif(event_type, 'view') AS event_type, CASE WHEN event_id % 11 > 0 THEN value END AS value FROM events), q").replace("FROM events JOIN q USING (event_type)", "FROM (SELECT e.*, q1, median, q3 FROM e JOIN q ON e.event_type IS NOT DISTINCT FROM q.event_type WHERE value IS NOT NULL)"))
+def p12_null_sliced(t):
+    d = t.events.select(F.nullif("event_type", F.lit("view")).alias("event_type"), F.when(F.col("event_id") % 11 > 0, F.col("value")).alias("value"))
+    return rounded(dash.box_statistics(d, "event_type", "value", top=None, exact_rows=0))
+
+
 @query("p13_percentile_bar", "SELECT 'value' AS \"column\", round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS q25, round(median(value), 4) AS q50, round(quantile_cont(value, 0.75), 4) AS q75, round(max(value), 4) AS max FROM events")
 def p13(t):
     return rounded(dash.percentile_bar(t.events, "value"))
@@ -356,10 +368,21 @@ def p22(t):
     return rounded(dash.time_means(t.orders, "o_orderdate", ["o_totalprice"])).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
 
 
-@query("p22_monthly_means_by_status", "SELECT o_orderstatus, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS bucket, round(avg(o_totalprice), 4) AS avg_o_totalprice, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2")
+def _totals_of_means(means):
+    """Means of cents often end right between two rounded values; times the count they are whole cents again."""
+    total = F.round(F.col("avg_o_totalprice") * F.col("n"), 2).alias("total")
+    return means.filter("n > 0").select("o_orderstatus", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), total, "n")
+
+
+@query("p22_monthly_means_by_status", "SELECT o_orderstatus, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS bucket, round(sum(o_totalprice), 2) AS total, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2")
 def p22_by(t):
-    out = rounded(dash.time_means(t.orders, "o_orderdate", ["o_totalprice"], by=["o_orderstatus"]))
-    return out.filter("n > 0").withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
+    return _totals_of_means(dash.time_means(t.orders, "o_orderdate", ["o_totalprice"], by=["o_orderstatus"]))
+
+
+@query("p22_monthly_means_null_group", "SELECT nullif(o_orderstatus, 'O') AS o_orderstatus, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS bucket, round(sum(o_totalprice), 2) AS total, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2")
+def p22_null(t):
+    d = t.orders.withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("O")))
+    return _totals_of_means(dash.time_means(d, "o_orderdate", ["o_totalprice"], by=["o_orderstatus"]))
 
 
 @query("p23_monthly_counts", f"SELECT strftime(b, '%Y-%m-%d') AS bucket, count(o_orderkey)::BIGINT AS n FROM {SPINE.format(u='month', n=1)} LEFT JOIN orders ON date_trunc('month', o_orderdate) = b GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Candidate models by problem and table size, with their parameter grids."""
+"""Candidate models by problem and chosen tier, with their parameter grids."""
 
 from __future__ import annotations
 
@@ -76,7 +76,7 @@ class Candidate:
         return [dict(zip(keys, values)) for values in itertools.product(*[self.grid[k] for k in keys])]
 
     def to_try(self, tier: int = 1, seed: int = 42) -> list[dict]:
-        """The whole grid for small tables and grids, else a repeatable draw of twenty."""
+        """The whole grid in tiers 1 and 2 if it is small, else a repeatable draw of twenty."""
         every = self.combinations()
         if tier <= 2 and len(every) <= GRID_LIMIT:
             return every
@@ -167,7 +167,7 @@ def regression_builders(rows: int, key: Sequence[str]) -> dict[str, Callable[[di
 
 
 def capped_grid(grid: dict[str, list]) -> dict[str, list]:
-    """Shallow and small for tables with few rows."""
+    """Shallow and small."""
     out = dict(grid)
     if "maxDepth" in out:
         out["maxDepth"] = [d for d in out["maxDepth"] if d <= 5] or [3, 5]
@@ -177,7 +177,7 @@ def capped_grid(grid: dict[str, list]) -> dict[str, list]:
 
 
 def pool_names(problem: str, tier: int, low_features: bool = False, small: bool = False) -> list[str]:
-    """Families that are tried at a table size."""
+    """Families that are tried in a tier, 1 (all of them) to 4 (the cheapest); ``small`` leaves out the ones that need many rows."""
     cls = problem == "classification"
     if tier >= 4:
         return ["SGDClassifier" if cls else "SGDRegressor"] + ([] if small else ["LightGBM"])
@@ -199,10 +199,9 @@ def pool_names(problem: str, tier: int, low_features: bool = False, small: bool
 
 def candidates(
     problem: str, tier: int, rows: int, n_classes: int = 2, key: Sequence[str] = ("id",), low_features: bool = False,
-    small: bool | None = None, weight: str | None = None, names: Sequence[str] | None = None,
+    small: bool = False, weight: str | None = None, names: Sequence[str] | None = None,
 ) -> list[Candidate]:
-    """The candidate pool for a problem and table size, or the named families."""
-    small = rows < 200 if small is None else small
+    """The candidate pool for a problem and a tier, or the named families. ``rows`` only scales penalties that are stated per table."""
     grids = CLASS_GRIDS if problem == "classification" else REGRESSION_GRIDS
     builders = classification_builders(n_classes, rows, key, weight) if problem == "classification" else regression_builders(rows, key)
     chosen = list(names) if names is not None else pool_names(problem, tier, low_features, small)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablelab.functions import fixed_values as fixed
 from tablelab.functions.columns import (
-    boolean_columns, col, numeric_columns, ratio, rows_from_wide, string_columns, strip, time_columns, to_number, to_time,
+    boolean_columns, col, null_safe_join, numeric_columns, ratio, rows_from_wide, string_columns, strip, time_columns, to_number, to_time,
 )
 from tablelab.operators import eda
 from tablelab.operators.counts import distinct_over, long_numbers, top_per_group
@@ -340,7 +340,7 @@ def time_means(df: DataFrame, time: str, columns: Sequence[str], by: Sequence[st
         .agg(*[F.avg(col(c).cast("double")).alias(f"avg_{c}") for c in columns], F.count(F.lit(1)).alias("n"))
     )
     spine = _month_spine(buckets, by, step)
-    out = spine.join(buckets, [*by, "bucket"], "left")
+    out = null_safe_join(spine, buckets, [*by, "bucket"], "left")
     return out.select(*[col(b) for b in by], "bucket", *[f"avg_{c}" for c in columns], F.coalesce("n", F.lit(0)).alias("n"))
 
 

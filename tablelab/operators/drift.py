@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelab.functions.columns import col, one_row
+from tablelab.functions.columns import col, null_safe_join, one_row
 from tablelab.functions.fixed_values import CATASTROPHIC_CV_FLOOR, DRIFT_LIMITS
 from tablelab.operators import history as h
 from tablelab.operators.counts import long_numbers
@@ -185,9 +185,9 @@ def alert_vectors(
     w = Window.partitionBy(*[col(b) for b in by], "_chunk").orderBy("row_index")
     nxt = out.withColumn("_next", F.lead(col(time)).over(w))
     best = nxt.groupBy(*[col(b) for b in by], "row_index").agg(F.max("_next").alias("_next"))
-    rows = out.filter(~F.col("_extra")).join(best, [*by, "row_index"])
+    rows = null_safe_join(out.filter(~F.col("_extra")), best, [*by, "row_index"])
     times = retrains.select(*[col(b) for b in by], col(time).alias("_next")).distinct().withColumn("_hit", F.lit(1.0))
-    rows = rows.join(times, [*by, "_next"], "left")
+    rows = null_safe_join(rows, times.filter("_next is not null"), [*by, "_next"], "left")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     cv, std = F.coalesce(col("cv_mean"), F.lit(0.5)), F.coalesce(col("cv_std"), F.lit(0.05))
     leak, over = flag(col("leakage_detected")), flag(col("overfitting"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelab.functions.columns import (
-    boolean_columns, col, numeric_columns, one_row, ratio, rows_from_wide, string_columns, time_columns,
+    boolean_columns, col, null_safe_join, numeric_columns, one_row, ratio, rows_from_wide, string_columns, time_columns,
 )
 from tablelab.operators.counts import long_numbers, long_text, top_per_group, value_counts
 from tablelab.operators.moments import pair_correlations
@@ -279,7 +279,7 @@ def histogram(
         F.when(F.col("column") == c, F.lit(lo) + (F.col("bin") + k) * F.lit((hi - lo) / bins))
         for c, (lo, hi) in ranges.items()
     ])
-    return spine.join(counted, [*by, "column", "bin"], "left").select(
+    return null_safe_join(spine, counted, [*by, "column", "bin"], "left").select(
         *[col(b) for b in by], "column", "bin", edges(0).alias("lower"), edges(1).alias("upper"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )

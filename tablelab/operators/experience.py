@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelab.functions.columns import banded, clamp, col
+from tablelab.functions.columns import banded, clamp, col, null_safe_join
 from tablelab.functions.fixed_values import ACTIONS
 
 NUMBERS = T.MapType(T.StringType(), T.DoubleType())
@@ -153,7 +153,7 @@ def rank_actions(values: DataFrame, actions: Sequence[str] = ACTIONS) -> DataFra
     order = F.create_map(*[x for i, a in enumerate(actions) for x in (F.lit(a), F.lit(i))])
     listed = values.filter(col("action").isin(list(actions)))
     every = listed.select("bucket").distinct().withColumn("action", F.explode(F.array(*[F.lit(a) for a in actions])))
-    untried = every.join(listed, ["bucket", "action"], "left_anti").select(
+    untried = null_safe_join(every, listed.select("bucket", "action"), ["bucket", "action"], "left_anti").select(
         "bucket", "action", F.lit(0).cast("bigint").alias("trials"), F.lit(None).cast("double").alias("avg_reward"),
         F.lit(None).cast("double").alias("variance"),
     )
@@ -190,7 +190,7 @@ def choose_actions(states: DataFrame, values: DataFrame) -> DataFrame:
     """First-ranked action per state; states of unknown buckets take the cold-start rule."""
     first = rank_actions(values).filter("rank = 1").select(col("bucket").alias("_b"), col("action").alias("_a"))
     rule = cold_start_action(col("rows"), col("features"), col("majority"), col("problem_type"))
-    joined = states.join(first, col("bucket") == F.col("_b"), "left")
+    joined = states.join(first, col("bucket").eqNullSafe(F.col("_b")), "left")
     return joined.withColumn("action", F.coalesce("_a", rule)).withColumn(
         "source", F.when(F.col("_a").isNull(), "cold_start").otherwise("learned")
     ).drop("_a", "_b")

@@ -13,12 +13,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelab.functions.columns import col, order_number
+from tablelab.functions.columns import col, null_safe_join
+from tablelab.session import checkpointed
 
 SLICE_ROWS = 1_000_000
 # Up to this many rows a percentile state in one task is both bounded and the fastest way.
 EXACT_ROWS = 200_000
-MAX_SLICES = 4096
+#: Slices of one column; beyond that many the slices grow.
+MAX_SLICES = 65_536
 SKETCH_ACCURACY = 10_000
 # Below this many values the slack of a bracket would be less than a few ranks; all values are taken.
 SMALL_COLUMN = 4 * SKETCH_ACCURACY
@@ -27,7 +29,7 @@ SMALL_COLUMN = 4 * SKETCH_ACCURACY
 def _slices(df: DataFrame, value: str, rows_per_slice: int, rows: int | None = None) -> tuple[DataFrame, bool]:
     """Add ``_slice``: 0 for a small table, else the position among sketch quantiles of ``value``.
 
-    ``rows`` is an upper bound of the table size where the caller knows one.
+    NULL has the slice before all others, as it sorts before all values; NaN falls into the last one. ``rows`` is an upper bound of the table size where the caller knows one.
     """
     rows = df.count() if rows is None else rows
     wanted = min(MAX_SLICES, math.ceil(rows / rows_per_slice))
@@ -41,7 +43,8 @@ def _slices(df: DataFrame, value: str, rows_per_slice: int, rows: int | None = N
     cutter = Bucketizer(
         splits=[float("-inf")] + edges + [float("inf")], inputCol="_point", outputCol="_slice", handleInvalid="keep"
     )
-    return cutter.transform(staged).drop("_point"), True
+    cut = cutter.transform(staged).withColumn("_slice", F.when(F.col("_point").isNull(), -1.0).otherwise(F.col("_slice")))
+    return cut.drop("_point"), True
 
 
 def running_totals(
@@ -78,7 +81,7 @@ def running_totals(
     )
     inner = Window.partitionBy(*group, "_slice").orderBy(col(value)).rowsBetween(Window.unboundedPreceding, -1)
     part = sliced.select("*", *[F.coalesce(F.sum(x).over(inner), F.lit(0)).alias(f"_{x}_inner") for x in weights])
-    joined = part.join(offsets, [*by, "_slice"])
+    joined = null_safe_join(part, offsets, [*by, "_slice"])
     return joined.select(
         *[col(c) for c in counts.columns],
         *[(col(f"_{x}_inner") + col(f"_{x}_offset")).alias(f"{x}_before") for x in weights],
@@ -94,25 +97,28 @@ def ordered_index(
     name: str = "row_index",
     rows_per_slice: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Number the rows of each group from 1 by (order, ties) without one task per group."""
+    """Number the rows of each group from 1 by (order, ties) without one task per group.
+
+    A large table is dealt out by ranges of (group, order, ties) together, so neither a large group nor many rows of
+    one order value meet in one task. NULL comes first.
+    """
     by = list(by)
-    group = [col(b) for b in by]
-    sliced, many = _slices(df.withColumn("_order", order_number(df, order)), "_order", rows_per_slice)
-    inner = Window.partitionBy(*group, "_slice").orderBy(col(order), *[col(t) for t in ties])
-    if not many:
-        return sliced.withColumn(name, F.row_number().over(inner).cast("bigint")).drop("_slice", "_order")
+    group, places = [col(b) for b in by], [col(order), *[col(t) for t in ties]]
+    rows = df.count()
+    if rows <= rows_per_slice:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*places)).cast("bigint"))
+    ranged = df.repartitionByRange(math.ceil(rows / rows_per_slice), *group, *places)
+    # Ranges come from a sample, so the slice of a row is written before it is used twice.
+    sliced = checkpointed(ranged.withColumn("_slice", F.spark_partition_id()))
+    inner = Window.partitionBy(*group, "_slice").orderBy(*places)
     w = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*group, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*group, "_slice", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
     )
-    return (
-        sliced.withColumn("_inner", F.row_number().over(inner))
-        .join(offsets, [*by, "_slice"])
-        .withColumn(name, (F.col("_offset") + F.col("_inner")).cast("bigint"))
-        .drop("_offset", "_inner", "_slice", "_order")
-    )
+    numbered = null_safe_join(sliced.withColumn("_inner", F.row_number().over(inner)), offsets, [*by, "_slice"])
+    return numbered.withColumn(name, (F.col("_offset") + F.col("_inner")).cast("bigint")).drop("_offset", "_inner", "_slice")
 
 
 def hash_rank(
@@ -131,7 +137,7 @@ def hash_rank(
     group = [col(b) for b in by]
     digest = F.md5(F.concat_ws("|", *[col(k).cast("string") for k in key], F.lit(str(seed))))
     rows = df.count()
-    digits = 0 if rows <= rows_per_slice else min(6, math.ceil(math.log(rows / rows_per_slice, 16)) + 1)
+    digits = 0 if rows <= rows_per_slice else math.ceil(math.log(rows / rows_per_slice, 16)) + 1
     staged = df.withColumn("_hash", digest)
     order = [F.col("_hash"), *[col(k) for k in key]]
     if digits == 0:
@@ -145,12 +151,8 @@ def hash_rank(
         .select(*group, "_slice", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
     )
     inner = Window.partitionBy(*group, "_slice").orderBy(*order)
-    return (
-        staged.withColumn("_inner", F.row_number().over(inner))
-        .join(offsets, [*by, "_slice"])
-        .withColumn(name, (F.col("_offset") + F.col("_inner")).cast("bigint"))
-        .drop("_hash", "_slice", "_offset", "_inner")
-    )
+    numbered = null_safe_join(staged.withColumn("_inner", F.row_number().over(inner)), offsets, [*by, "_slice"])
+    return numbered.withColumn(name, (F.col("_offset") + F.col("_inner")).cast("bigint")).drop("_hash", "_slice", "_offset", "_inner")
 
 
 def _bracket_points(p: float) -> list[float]:
@@ -205,7 +207,11 @@ def column_quantiles(
     below = as_double.agg(
         *[F.count_if(col(c) < F.lit(lo)).alias(f"b{k}") for k, (_, _, c, lo, _, _, _, _) in enumerate(wanted)],
         *[F.count_if(col(c).between(lo, hi)).alias(f"i{k}") for k, (_, _, c, lo, hi, _, _, _) in enumerate(wanted)],
-    ).first()
+    ).first().asDict()
+    for k, (i, j, c, _, _, first, last, part) in enumerate(wanted):
+        if not below[f"b{k}"] <= first <= last < below[f"b{k}"] + below[f"i{k}"]:  # the sketch was further off than it promises: take all values
+            wanted[k] = (i, j, c, float("-inf"), float("inf"), first, last, part)
+            below[f"b{k}"], below[f"i{k}"] = 0, record[f"n{i}"]
     # Values inside any bracket; brackets cover about 4 / SKETCH_ACCURACY of the rows each.
     tagged = [
         F.when(col(c).between(lo, hi), F.struct(F.lit(k).alias("k"), col(c).alias("value")))
@@ -251,10 +257,11 @@ def grouped_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     exact_rows: int = EXACT_ROWS,
+    brackets_from: int = SMALL_COLUMN,
 ) -> DataFrame:
     """Exact quantiles per group: one row per group, one column per probability.
 
-    Above ``exact_rows`` the bracketing of :func:`column_quantiles` runs per group, so that a group
+    Groups with fewer than ``brackets_from`` values order all of them. Above ``exact_rows`` the bracketing of :func:`column_quantiles` runs per group, so that a group
     with a large share of the table is still counted by many tasks.
     """
     by = list(by)
@@ -271,8 +278,8 @@ def grouped_quantiles(
         F.array(*[
             F.struct(
                 F.lit(j).alias("j"),
-                F.when(F.col("_rows") < SMALL_COLUMN, float("-inf")).otherwise(F.col("_s")[2 * j]).alias("lo"),
-                F.when(F.col("_rows") < SMALL_COLUMN, float("inf")).otherwise(F.col("_s")[2 * j + 1]).alias("hi"),
+                F.when(F.col("_rows") < brackets_from, float("-inf")).otherwise(F.col("_s")[2 * j]).alias("lo"),
+                F.when(F.col("_rows") < brackets_from, float("inf")).otherwise(F.col("_s")[2 * j + 1]).alias("hi"),
                 (F.lit(float(p)) * (F.col("_rows") - 1)).alias("pos"),
             )
             for j, p in enumerate(probs)
@@ -308,6 +315,10 @@ def grouped_quantiles(
         ],
         *[F.max(F.when(F.col("_j") == j, F.col("_pos") - F.floor("_pos"))).alias(f"_f{j}") for j in range(len(probs))],
     )
+    ends = [F.col(f"_{x}{j}") for j in range(len(probs)) for x in "az"]
+    picked = checkpointed(picked)
+    if brackets_from < float("inf") and not picked.filter(F.array_contains(F.array(*[c.isNull() for c in ends]), True)).isEmpty():
+        return grouped_quantiles(df, by, value, probs, names, 0, float("inf"))  # a sketch was further off than it promises: order all values
     return picked.select(
         *[col(b) for b in by],
         *[

@@ -56,10 +56,6 @@ def folds(
     return ranked.withColumn(name, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
-def fold_count(rows: int) -> int:
-    return 10 if rows < 200 else 3
-
-
 def downsample(df: DataFrame, key: Sequence[str], n: int, by: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """About ``n`` rows with the class shares of the table; the table itself when it is smaller."""
     rows = df.count()

@@ -33,12 +33,15 @@ def local_session(cores: str = "8", app_name: str = "tablelab", **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for intermediate tables and stream state.
 
-    It lies below ``spark.checkpoint.dir``, the folder all executors share. Only where nothing is
-    configured, as in tests, a folder of this machine is used.
+    It lies below ``spark.checkpoint.dir``, the folder all executors share. Where that isn't set, a session whose
+    executors are all in this process gets a folder of its own, once; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
-        return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 

@@ -39,8 +39,8 @@ def find(df: DataFrame, key: str, value) -> DataFrame:
 
 
 def link_dataset(records: DataFrame, datasets: DataFrame, filename: str = "dataset_filename") -> DataFrame:
-    """Attach the id of the dataset with the same file name, empty text where there is none."""
-    ids = datasets.select(col("filename").alias("_file"), col("id").alias("_id"))
+    """Attach the id of the dataset with the same file name (the smallest, if several have it), empty text where there is none."""
+    ids = datasets.groupBy(col("filename").alias("_file")).agg(F.min(col("id")).alias("_id"))
     joined = records.join(ids, col(filename) == F.col("_file"), "left")
     return joined.withColumn("dataset_id", F.coalesce("_id", F.lit(""))).drop("_file", "_id")
 

@@ -51,7 +51,8 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | None =
     return without_nul(df)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """JSON lines, read in splits; ``multi_line`` reads one document per file, each in one task."""
     reader = spark.read.option("multiLine", multi_line)
     return (reader.schema(schema) if schema else reader).json(path)
 
@@ -73,8 +74,8 @@ def newest(df: DataFrame, keep: int, time: str = "ts", tie: str | None = None) -
 
 
 def count_rows(spark: SparkSession, path: str) -> int:
-    """Data lines of a text table with a header line."""
-    return max(spark.read.text(path).count() - 1, 0)
+    """Data lines of a text table; every file below the path has a header line."""
+    return spark.read.option("header", True).csv(path).count()
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {

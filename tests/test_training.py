@@ -108,11 +108,11 @@ def test_selection_replays_on_test_rows(spark):
 
 def test_matrix_keeps_training_columns(spark):
     train = spark.createDataFrame([("a", 1.0, 0), ("b", 2.0, 1), ("c", 3.0, 0)], "s string, v double, y int")
-    plan = features.FeatureMatrix.fit(train, "y", tier=1)
+    plan = features.FeatureMatrix.fit(train, "y")
     assert plan.columns == ["v", "s_b", "s_c"]
     new = spark.createDataFrame([("zzz", None)], "s string, v double")
     assert tuple(plan.transform(new).first()) == (0.0, 0.0, 0.0)
-    many = features.FeatureMatrix.fit(train, "y", tier=4)
+    many = features.FeatureMatrix.fit(train, "y", encoding="share")
     assert sorted(r["s"] for r in many.transform(train).collect()) == pytest.approx([1 / 3] * 3)
 
 
@@ -161,7 +161,7 @@ def test_sampled_shapley_adds_up(classes):
 def test_pools_and_grids():
     assert [len(registry.pool_names("classification", t)) for t in (1, 2, 3, 4)] == [16, 7, 5, 2]
     assert registry.pool_names("regression", 1, low_features=True)[:5] == ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "BayesianRidge"]
-    pool = {c.name: c for c in registry.candidates("classification", 1, 100)}
+    pool = {c.name: c for c in registry.candidates("classification", 1, 100, small=True)}
     assert pool["RandomForest"].grid["numTrees"] == [100] and "XGBoost" not in pool
     big = registry.candidates("classification", 3, 10**6, names=["XGBoost"])[0]
     assert len(big.to_try(3)) == 20 and big.to_try(3) == big.to_try(3)
