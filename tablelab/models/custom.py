@@ -15,13 +15,13 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol, HasSeed
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelab.functions.columns import col
-from tablelab.operators.moments import class_moments, scatter
+from tablelab.operators.moments import class_moments
 from tablelab.session import checkpointed
 
 # Training rows up to this number are sent to every task; more are compared block by block.
@@ -39,19 +39,73 @@ def _param(owner: type, name: str, doc: str, convert) -> Param:
     return Param(Params._dummy(), name, doc, convert)
 
 
-class _Fitted(Model, _Base):
-    """A fitted model; ``state`` holds what was learned."""
+def _plain(value):
+    """Arrays and tuples as what JSON can hold."""
+    if isinstance(value, np.ndarray):
+        return {"array": value.tolist()}
+    if isinstance(value, (list, tuple)):
+        return [_plain(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return value.item() if isinstance(value, np.generic) else value
 
-    def __init__(self, parent: Estimator, **state):
+
+def _restored(value):
+    if isinstance(value, dict):
+        return np.array(value["array"]) if set(value) == {"array"} else {k: _restored(v) for k, v in value.items()}
+    return [_restored(v) for v in value] if isinstance(value, list) else value
+
+
+class _StateWriter(MLWriter):
+    def __init__(self, instance: _Fitted):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        state = self.instance.state
+        tables = sorted(k for k, v in state.items() if isinstance(v, DataFrame))
+        plain = {k: _plain(v) for k, v in state.items() if k not in tables}
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession, {"state": plain, "tables": tables})
+        for name in tables:
+            state[name].write.parquet(f"{path}/{name}")
+
+
+class _StateReader(MLReader):
+    def __init__(self, kind: type):
+        super().__init__()
+        self.kind = kind
+
+    def load(self, path: str) -> _Fitted:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        state = {k: _restored(v) for k, v in metadata["state"].items()}
+        state |= {k: self.sparkSession.read.parquet(f"{path}/{k}") for k in metadata["tables"]}
+        model = self.kind(None, **state)
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
+class _Fitted(Model, _Base, MLWritable, MLReadable):
+    """A fitted model; ``state`` holds what was learned: numbers, lists and arrays, and tables that are saved beside them."""
+
+    def __init__(self, parent: Estimator | None = None, **state):
         super().__init__()
         self._setDefault(seed=42, featuresCol="features", labelCol="label", predictionCol="prediction")
-        for name in ("featuresCol", "labelCol", "predictionCol", "seed"):
-            self._set(**{name: parent.getOrDefault(name)})
+        if parent is not None:
+            for name in ("featuresCol", "labelCol", "predictionCol", "seed"):
+                self._set(**{name: parent.getOrDefault(name)})
         self.state = state
 
     def copy(self, extra=None):
         return self
 
+    def write(self) -> MLWriter:
+        return _StateWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _StateReader(cls)
+
 
 def unpacked(df: DataFrame, features: str, label: str | None) -> tuple[DataFrame, list[str]]:
     """Feature vector as plain columns."""
@@ -62,7 +116,7 @@ def unpacked(df: DataFrame, features: str, label: str | None) -> tuple[DataFrame
     return df.select(*side, *[array[i].alias(n) for i, n in enumerate(names)]), names
 
 
-class NonNegative(Transformer, HasInputCol, HasOutputCol):
+class NonNegative(Transformer, HasInputCol, HasOutputCol, DefaultParamsWritable, DefaultParamsReadable):
     """Negative entries of a vector become 0, for models that accept no negative values."""
 
     @keyword_only
@@ -228,25 +282,67 @@ class Neighbours(Estimator, _Base):
 # ----------------------------------------------------------------------- boosting and bagging
 
 
+def tree_arrays(tree) -> dict[str, list]:
+    """A fitted Spark tree as arrays, node by node: feature (-1 at a leaf), threshold, left, right and predicted value."""
+    out: dict[str, list] = {"feature": [], "threshold": [], "left": [], "right": [], "value": []}
+
+    def add(node) -> int:
+        at = len(out["feature"])
+        inner = node.getClass().getSimpleName() == "InternalNode"
+        if inner and node.split().getClass().getSimpleName() != "ContinuousSplit":
+            raise ValueError("trees over nominal features can't be taken apart")
+        out["feature"].append(int(node.split().featureIndex()) if inner else -1)
+        out["threshold"].append(float(node.split().threshold()) if inner else 0.0)
+        out["value"].append(float(node.prediction()))
+        out["left"].append(0)
+        out["right"].append(0)
+        if inner:
+            out["left"][at] = add(node.leftChild())
+            out["right"][at] = add(node.rightChild())
+        return at
+
+    add(tree._java_obj.rootNode())
+    return out
+
+
+def tree_values(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The value of the leaf each row ends in; all rows go down a level at a time."""
+    at = np.zeros(len(x), np.int64)
+    rows = np.arange(len(x))
+    while True:
+        feature = tree["feature"][at]
+        inner = feature >= 0
+        if not inner.any():
+            return tree["value"][at]
+        go_left = x[rows, np.maximum(feature, 0)] <= tree["threshold"][at]
+        at = np.where(inner, np.where(go_left, tree["left"][at], tree["right"][at]), at)
+
+
 class TreeVoteModel(_Fitted):
-    """Weighted vote of trees."""
+    """Weighted vote of trees, all of them in one pass over a batch."""
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        out, votes, classes = df, [], self.state["classes"]
-        for i, (tree, weight) in enumerate(self.state["trees"]):
-            name = f"_vote{i}"
-            one = tree.copy({tree.predictionCol: name, tree.probabilityCol: "", tree.rawPredictionCol: ""})
-            out = one.transform(out)
-            votes.append((name, weight))
-        totals = [
-            sum((F.when(F.col(n) == c, F.lit(w)).otherwise(0.0) for n, w in votes), F.lit(0.0)) for c in classes
-        ]
-        whole = sum(w for _, w in votes) or 1.0
-        shares = F.array(*[t / whole for t in totals])
-        out = out.withColumn("probability_array", shares)
+        classes, weights = np.array(self.state["classes"]), self.state["weights"]
+        trees = [{k: np.array(v) for k, v in t.items()} for t in self.state["trees"]]
+
+        @F.pandas_udf("array<double>")
+        def shares(batch: pd.Series) -> pd.Series:
+            if not len(batch):
+                return pd.Series([], dtype=object)
+            x = np.stack(batch.to_numpy())
+            votes = np.zeros((len(x), len(classes)))
+            for tree, weight in zip(trees, weights):
+                votes += weight * (tree_values(tree, x)[:, None] == classes[None, :])
+            return pd.Series(list(votes / (sum(weights) or 1.0)))
+
+        out = df.withColumn("probability_array", shares(vector_to_array(self.getFeaturesCol())))
         best = F.array_position("probability_array", F.array_max("probability_array"))
         labels = F.array(*[F.lit(float(c)) for c in classes])
-        return out.withColumn(self.getPredictionCol(), F.element_at(labels, best.cast("int"))).drop(*[n for n, _ in votes])
+        return out.withColumn(self.getPredictionCol(), F.element_at(labels, best.cast("int")))
+
+
+def _votes(parent: Estimator, classes: list[float], trees: list[tuple]) -> TreeVoteModel:
+    return TreeVoteModel(parent, classes=classes, weights=[float(w) for _, w in trees], trees=[tree_arrays(t) for t, _ in trees])
 
 
 def _classes(df: DataFrame, label: str) -> list[float]:
@@ -292,7 +388,7 @@ class AdaBoost(Estimator, _Base):
             work = judged.select("f", "y", (F.col("w") * F.lit(scale) * F.exp(F.lit(alpha) * F.col("miss"))).alias("w"))
             if i % 5 == 4:
                 work = checkpointed(work)
-        return TreeVoteModel(self, classes=classes, trees=[(t.copy({t.featuresCol: features}), a) for t, a in trees])
+        return _votes(self, classes, trees)
 
 
 class Bagging(Estimator, _Base):
@@ -310,13 +406,19 @@ class Bagging(Estimator, _Base):
 
     def _fit(self, df: DataFrame) -> TreeVoteModel:
         label, features, seed = self.getLabelCol(), self.getFeaturesCol(), self.getSeed()
-        work = df.select(col(features).alias("f"), col(label).cast("double").alias("y"))
-        trees = []
+        work = checkpointed(df.select(col(features).alias("f"), col(label).cast("double").alias("y"), F.xxhash64(col(features), col(label)).alias("key")))
+        share, trees = self.getOrDefault("sampleShare"), []
         for i in range(self.getOrDefault("rounds")):
-            drawn = work.sample(withReplacement=True, fraction=self.getOrDefault("sampleShare"), seed=seed + i)
-            tree = DecisionTreeClassifier(featuresCol="f", labelCol="y", maxDepth=self.getOrDefault("maxDepth"), seed=seed).fit(drawn)
-            trees.append((tree.copy({tree.featuresCol: features}), 1.0))
-        return TreeVoteModel(self, classes=_classes(work, "y"), trees=trees)
+            # How often a row is drawn: a Poisson number that only depends on the row and the round, so a model can be made again.
+            uniform = F.pmod(F.xxhash64("key", F.lit(seed + i)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+            chance, total, drawn = math.exp(-share), math.exp(-share), F.lit(0.0)
+            for n in range(1, 9):
+                drawn = F.when(uniform >= total, F.lit(float(n))).otherwise(drawn)
+                chance *= share / n
+                total += chance
+            weighted = work.withColumn("w", drawn).filter("w > 0")
+            trees.append((DecisionTreeClassifier(featuresCol="f", labelCol="y", weightCol="w", maxDepth=self.getOrDefault("maxDepth"), seed=seed).fit(weighted), 1.0))
+        return _votes(self, _classes(work, "y"), trees)
 
 
 # ---------------------------------------------------------------------------- linear families
@@ -403,22 +505,3 @@ class BayesianRidge(Estimator, _Base):
             if done:
                 break
         return LinearScoresModel(self, weights=w[None, :], intercepts=np.array([mean[-1] - w @ mean[:-1]]), classes=None)
-
-
-class LdaScores(Estimator, _Base):
-    """Linear discriminant classifier from the pooled within-class covariance."""
-
-    @keyword_only
-    def __init__(self, *, featuresCol=None, labelCol=None, predictionCol=None):
-        super().__init__()
-        self.setup(self._input_kwargs)
-
-    def _fit(self, df: DataFrame) -> LinearScoresModel:
-        plain, names = unpacked(df, self.getFeaturesCol(), self.getLabelCol())
-        moments = class_moments(plain, names, "label")
-        within, _, means, n = scatter(moments)
-        inverse = np.linalg.pinv(within / max(n - len(moments), 1))
-        classes = sorted(moments)
-        weights = np.array([inverse @ means[c] for c in classes])
-        intercepts = np.array([math.log(moments[c][0] / n) - 0.5 * means[c] @ inverse @ means[c] for c in classes])
-        return LinearScoresModel(self, weights=weights, intercepts=intercepts, classes=classes)

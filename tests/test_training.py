@@ -188,3 +188,65 @@ def test_end_to_end(spark):
     assert set(r["predicted"] for r in tables["predictions"].select("predicted").distinct().collect()) == {"up", "down"}
     fresh = model.transform(spark.createDataFrame(pdf.drop(columns="y").head(7)), ["id"])
     assert fresh.count() == 7 and fresh.filter("confidence < 50 or confidence > 100").count() == 0
+
+
+def test_tree_arrays_give_spark_predictions(classes):
+    pdf, df = classes
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    tree = DecisionTreeClassifier(maxDepth=5).fit(df)
+    arrays = {k: np.array(v) for k, v in custom.tree_arrays(tree).items()}
+    want = tree.transform(df).orderBy("id").toPandas()["prediction"].to_numpy()
+    assert (custom.tree_values(arrays, pdf[list("abcd")].to_numpy()) == want).all()
+
+
+def test_custom_models_can_be_saved(classes, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    _, df = classes
+    stages = {
+        "qda": custom.Qda(), "knn": custom.Neighbours(key=["id"]), "ada": custom.AdaBoost(rounds=3, maxDepth=2), "bag": custom.Bagging(rounds=2),
+        "ridge": custom.RidgeClassifier(), "bayes": custom.BayesianRidge(),
+    }
+    for name, stage in stages.items():
+        model = Pipeline(stages=[stage]).fit(df)
+        model.write().overwrite().save(str(tmp_path / name))
+        again = PipelineModel.load(str(tmp_path / name))
+        a, b = (m.transform(df).orderBy("id").toPandas()["prediction"] for m in (model, again))
+        assert np.allclose(a, b), name
+
+
+def test_bagging_is_repeatable(classes):
+    _, df = classes
+    a, b = (custom.Bagging(rounds=3).fit(d).state["trees"] for d in (df, df.repartition(5)))
+    assert a == b
+
+
+@pytest.mark.parametrize("problem", ["classification", "regression"])
+def test_saved_automl_scores_the_same(spark, tmp_path, problem):
+    rng = np.random.default_rng(3)
+    n = 200
+    pdf = pd.DataFrame({"id": range(n), "a": rng.normal(size=n), "b": rng.choice(["u", "v"], n), "c": rng.normal(size=n), "d": rng.normal(size=n)})
+    pdf["y"] = np.where(pdf.a > 0.2, "up", "down") if problem == "classification" else (pdf.a + pdf.c) * 2 + rng.normal(size=n) / 9
+    grids = {"MultinomialNB": {}, "RidgeClassifier": {}, "DecisionTree": {"maxDepth": [3]}} if problem == "classification" else {"BayesianRidge": {}, "DecisionTree": {"maxDepth": [3]}}
+    df = spark.createDataFrame(pd.concat([pdf, pdf.assign(id=pdf.id + 1000)]))
+    model, tables = automl.run(df, "y", ["id"], names=list(grids), grids=grids, encoding="one_hot" if problem == "classification" else "share")
+    summary = tables["summary"].first()
+    assert summary["test_score"] > 0.7 and summary["confidence_label"] in ("High", "Medium") and not summary["baseline_alert"]
+    assert tables["predictions"].count() <= 45  # each row once, although the table holds it twice
+    model.save(str(tmp_path / "auto"))
+    again = automl.AutoModel.load(str(tmp_path / "auto"))
+    a, b = (m.transform(df, ["id"]).orderBy("id").toPandas()["prediction"] for m in (model, again))
+    assert np.allclose(a, b)
+
+
+def test_stability_over_seeds(classes):
+    _, df = classes
+    pool = registry.candidates("classification", 1, 240, 3, names=["GaussianNB", "DecisionTree"])
+    for c in pool:
+        c.grid = {}
+    trials = search.stability(pool, df, ["id"], ["label"], seeds=(1, 2))
+    assert trials.count() == 4
+    from tablelab.operators.scoring import stable_winner
+
+    assert stable_winner(trials).first()["seeds"] == 2
