@@ -45,30 +45,31 @@ def drop_site_lines(pages: DataFrame, site: Column, text: str, ratio: float = RA
     kept = [c for c in pages.columns if c not in ("site", "n_lines", "n_dropped")]
     marks = [f"__k{i}" for i in range(len(kept))]
     body = marks[kept.index(text)]
-    rows = checkpointed(pages.select(
-        *[F.col(f"`{c}`").alias(m) for c, m in zip(kept, marks)], site.alias("site"), F.monotonically_increasing_id().alias("row")))
+    named = pages.select(*[F.col(f"`{c}`").alias(m) for c, m in zip(kept, marks)], site.alias("site"), F.monotonically_increasing_id().alias("row"))
+    # One digest for each line, null for a blank one; everything below compares digests.
+    rows = checkpointed(named.withColumn("digests", F.transform(
+        F.transform(F.split(body, "\n"), normal), lambda x: F.when(x != "", F.unhex(F.md5(x))))))
 
-    digest = lambda line: F.unhex(F.md5(normal(line)))
-    lines = F.filter(F.split(body, "\n"), lambda x: normal(x) != "")
-    each = rows.select("site", F.explode(F.array_distinct(F.transform(lines, digest))).alias("digest"))
+    held = F.array_distinct(F.array_compact("digests"))
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    counts = each.groupBy("site", "digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    counts = rows.select("site", F.explode(held).alias("digest")).groupBy("site", "digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     common = checkpointed(
         counts.join(totals, counts["site"].eqNullSafe(totals["site"])).filter(F.col("n") > F.col("pages") * ratio)
         .select(counts["site"].alias("of"), "digest"))
 
     # Lines to drop are listed per page, and only for pages that have some.
-    probe = rows.select("site", "row", F.explode(F.array_distinct(F.transform(lines, digest))).alias("digest"))
+    probe = rows.select("site", "row", F.explode(held).alias("digest"))
     common = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
     found = probe.join(common, (probe["digest"] == common["digest"]) & probe["site"].eqNullSafe(common["of"]))
     listed = checkpointed(found.groupBy("row").agg(F.collect_set(probe["digest"]).alias("gone")))
     joined = rows.join(listed, "row", "left")
-    gone = F.coalesce("gone", F.array().cast("array<binary>"))
-    left = F.filter(F.split(body, "\n"), lambda x: ~F.array_contains(gone, digest(x)))
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    clean = F.when(F.size(gone) == 0, F.col(body)).otherwise(F.array_join(left, "\n"))
+    stays = F.filter(
+        F.arrays_zip(F.split(body, "\n").alias("line"), F.col("digests").alias("digest")),
+        lambda x: x["digest"].isNull() | ~F.array_contains("gone", x["digest"]))
+    clean = F.when(F.col("gone").isNull(), F.col(body)).otherwise(F.array_join(F.transform(stays, lambda x: x["line"]), "\n"))
+    dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("digests") - F.size(stays))
     return joined.select(
         *[(clean if c == text else F.col(m)).alias(c) for c, m in zip(kept, marks)], "site",
-        F.when(F.col(body).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(F.size(gone) == 0, 0).otherwise(F.size(F.split(body, "\n")) - F.size(left)).cast("long").alias("n_dropped"),
+        F.when(F.col(body).isNull(), 0).otherwise(F.size(F.array_compact("digests"))).cast("long").alias("n_lines"),
+        dropped.cast("long").alias("n_dropped"),
     )
