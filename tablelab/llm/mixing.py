@@ -130,35 +130,40 @@ def memberships(docs: DataFrame, model: Domains, key: str = "doc_id", text: str
     return checkpointed(rows.mapInArrow(_memberships(model), f"row long, id {kind}, n_tokens long, posterior array<double>"))
 
 
-def _rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the given steps, all from 1: each step goes down the gradient and is cut off at zero."""
-    x = np.ones(len(p))
-    for v in steps:
-        x = np.maximum(0.0, x - p @ v)
-    return x
+#: A step: the move down the gradient per domain, and how far to go on in the same direction before the next one.
+Step = tuple[np.ndarray, float]
 
 
-def _totals(steps: list[np.ndarray], k: int):
+def _rates(p: np.ndarray, steps: list[Step]) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the given steps, all from 1, and the point from which the next step goes."""
+    x = ahead = np.ones(len(p))
+    for v, momentum in steps:
+        before, x = x, np.maximum(0.0, ahead - p @ v)  # down the gradient, cut off at zero
+        ahead = x + momentum * (x - before)
+    return x, ahead
+
+
+def _totals(steps: list[Step], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, gram = np.zeros(k), np.zeros((k, k))
+        sums, gram = np.zeros((2, k)), np.zeros((k, k))
         for batch in batches:
             p = batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             n = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
-            sums += (n * _rates(p, steps)) @ p
+            sums += np.stack([(n * rates) @ p for rates in _rates(p, steps)])
             if not steps:
                 gram += (p * n[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([list(sums)]), pa.array([list(gram.ravel())])], ["sums", "gram"])
+        yield pa.RecordBatch.from_arrays([pa.array([list(sums.ravel())]), pa.array([list(gram.ravel())])], ["sums", "gram"])
 
     return run
 
 
-def _sum(members: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain at the present rates and, at the start, the posteriors' token-weighted products."""
+def _sum(members: DataFrame, steps: list[Step], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected tokens of each domain at the present rates and at the point ahead, and, at the start, the posteriors' token-weighted products."""
     parts = members.select("n_tokens", "posterior").mapInArrow(_totals(steps, k), "sums array<double>, gram array<double>")
     row = parts.agg(
-        F.array(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)) for i in range(k)]),
+        F.array(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0.0)) for i in range(2 * k)]),
         F.array(*[F.coalesce(F.sum(F.col("gram")[i]), F.lit(0.0)) for i in range(k * k)])).first()
-    return np.array(row[0]), np.array(row[1]).reshape(k, k)
+    return np.array(row[0][:k]), np.array(row[0][k:]), np.array(row[1]).reshape(k, k)
 
 
 def tempered(totals: np.ndarray, power: float = 0.7) -> np.ndarray:
@@ -167,33 +172,40 @@ def tempered(totals: np.ndarray, power: float = 0.7) -> np.ndarray:
     return raised / raised.sum() if raised.sum() else raised
 
 
-def fit_rates(members: DataFrame, k: int, weights: np.ndarray | None = None, close: float = CLOSE, iterations: int = ITERATIONS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def fit_rates(members: DataFrame, k: int, weights: np.ndarray | None = None, close: float = CLOSE, iterations: int = ITERATIONS) -> tuple[list[Step], np.ndarray, np.ndarray]:
     """(steps, expected tokens, targets). Targets are ``weights`` (default: tempered shares) of all tokens.
 
     Minimises r' G r over rates of zero or more, where r is expected minus target tokens and G the inverse of the
     posteriors' token-weighted products; in the metric of tokens its gradient at a document is posterior . G r, and steps of
-    length one go down.
+    length one go down. Momentum grows from step to step and starts again when the aim was overshot.
     """
-    totals, gram = _sum(members, [], k)
+    totals, ahead, gram = _sum(members, [], k)
     tokens = totals.sum()
     targets = tokens * (tempered(totals) if weights is None else np.asarray(weights, float) / np.sum(weights))
     inverse = np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(np.trace(gram), 1e-9))
-    steps: list[np.ndarray] = []
+    miss = lambda t: float((t - targets) @ inverse @ (t - targets))
+    steps: list[Step] = []
+    pace, last = 1.0, miss(totals)
     for _ in range(iterations):
         if tokens == 0 or np.abs(totals - targets).max() <= close * tokens:
             break
-        steps.append(inverse @ (totals - targets))
-        totals, _ = _sum(members, steps, k)
+        following = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        steps.append((inverse @ (ahead - targets), (pace - 1) / following))
+        totals, ahead, _ = _sum(members, steps, k)
+        pace = following
+        if miss(totals) > last:
+            pace = 1.0
+        last = miss(totals)
     return steps, totals, targets
 
 
-def _rated(model_names: list[str], steps: list[np.ndarray]):
+def _rated(model_names: list[str], steps: list[Step]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(model_names))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("id"), batch.column("n_tokens"), pa.array(np.array(model_names, dtype=object)[p.argmax(1)], pa.string()),
-                 pa.array(_rates(p, steps))], ["row", "id", "n_tokens", "domain", "rate"])
+                 pa.array(_rates(p, steps)[0])], ["row", "id", "n_tokens", "domain", "rate"])
 
     return run
 

@@ -32,6 +32,8 @@ _HINT = re.compile("[0-9@]")
 WIDTH, STRIDE = 96, 48
 #: Bounds of the training sample: documents, and windows of them. Passes over it, windows of a step, step size.
 SAMPLE_DOCS, SAMPLE_WINDOWS, PASSES, BATCH, RATE = 3000, 3000, 6, 64, 0.01
+#: Steps at least; a small sample is passed over more often.
+LEAST_STEPS = 300
 #: Sizes of a character's vector and of the state in each direction.
 EMBED, HIDDEN = 12, 20
 #: Rows of a batch that are held as Python strings at once.
@@ -230,7 +232,9 @@ def fit(x: np.ndarray, y: np.ndarray, passes: int = PASSES, rate: float = RATE,
         return None
     m, r = Tagger.fresh(seed), np.random.default_rng(seed)
     mean, square, step = [np.zeros_like(p) for p in m.parameters()], [np.zeros_like(p) for p in m.parameters()], 0
-    n_steps = passes * -(-len(x) // BATCH)
+    each = -(-len(x) // BATCH)
+    passes = max(passes, -(-LEAST_STEPS // each))
+    n_steps = passes * each
     for _ in range(passes):
         order = r.permutation(len(x))
         for at in range(0, len(x), BATCH):
