@@ -38,8 +38,8 @@ def st1(t):
 @query("st2_action_values", f"SELECT bucket, agent AS action, count(*)::BIGINT AS trials, round(avg(reward), 4) AS avg_reward, round(coalesce(var_samp(reward), 0), 4) AS variance FROM ({EXP_SQL}) GROUP BY 1, 2")
 def st2(t):
     folder = shared_folder(t.spark)
-    jobs.keep_latest(jobs.action_values(_experiences(t)), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return rounded(jobs.latest(t.spark, f"{folder}/out"))
+    jobs.keep_changes(jobs.action_values(_experiences(t)), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return rounded(jobs.current(t.spark, f"{folder}/out", ["bucket", "action"]))
 
 
 @query("st3_drift_monitor", """WITH b AS (SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-16'), r AS (SELECT min(value) AS lo, max(value) AS hi FROM b),
@@ -58,8 +58,8 @@ def st3(t):
 def st4(t):
     folder = shared_folder(t.spark)
     buckets = jobs.time_buckets(_events(t), "ts", "value", by=["event_type"])
-    jobs.keep_latest(buckets, f"{folder}/out", f"{folder}/state").awaitTermination()
-    out = jobs.latest(t.spark, f"{folder}/out")
+    jobs.keep_changes(buckets, f"{folder}/out", f"{folder}/state").awaitTermination()
+    out = jobs.current(t.spark, f"{folder}/out", ["start", "event_type"])
     return rounded(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")))
 
 

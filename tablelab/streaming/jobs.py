@@ -45,10 +45,11 @@ def action_values(stream: DataFrame) -> DataFrame:
 
 
 def keep_latest(stream: DataFrame, path: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:
-    """Write the full result of an aggregation with few groups after every batch, one folder per batch."""
+    """Write the full result of an aggregation with few groups after every batch; the folders of the last two batches stay."""
 
     def write(batch: DataFrame, number: int) -> None:
         shape(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        drop_folder(batch.sparkSession, f"{path}/batch={number - 2}")
 
     return (
         stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
@@ -63,6 +64,32 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     return df.filter(col("batch") == last).drop("batch")
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it lies, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def keep_changes(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write only the groups that a batch changed. Groups behind the watermark leave the state for good."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a repeated batch replaces itself
+
+    return (
+        stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(write).trigger(availableNow=True).start()
+    )
+
+
+def current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each group that keep_changes has written."""
+    df = spark.read.parquet(path)
+    rest = [c for c in df.columns if c not in keys and c != "batch"]
+    newest = df.groupBy(*[col(k) for k in keys]).agg(F.max_by(F.struct(*[col(c) for c in rest]), "batch").alias("_row"))
+    return newest.select(*[col(k) for k in keys], *[F.col("_row")[c].alias(c) for c in rest])
+
+
 class DriftMonitor:
     """Bins of a reference table, and the index of a stream against them.
 

@@ -90,3 +90,15 @@ def test_drift_monitor_equals_batch(spark, tmp_path):
     jobs.keep_latest(monitor.counts(stream), str(tmp_path / "o"), str(tmp_path / "s"), monitor.index).awaitTermination()
     live = jobs.latest(spark, str(tmp_path / "o")).first()["psi"]
     assert live == pytest.approx(monitor.index(monitor.counts(spark.read.parquet(path))).first()["psi"])
+
+
+def test_time_buckets_over_several_batches(spark, tmp_path):
+    """Each file is a batch: only changed buckets are written again, and the newest row of each counts."""
+    from tablelab.streaming import jobs
+
+    for day, rows in ((1, [("2024-01-01 00:10:00", 1.0), ("2024-01-01 00:50:00", 3.0)]), (2, [("2024-01-01 00:55:00", 5.0), ("2024-01-01 01:10:00", 7.0)])):
+        spark.createDataFrame(rows, "ts string, v double").selectExpr("cast(ts AS timestamp) AS ts", "v").coalesce(1).write.parquet(str(tmp_path / f"in{day}.parquet"))
+    stream = spark.readStream.schema("ts timestamp, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*.parquet"))
+    jobs.keep_changes(jobs.time_buckets(stream, "ts", "v"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {str(r["start"]): (r["n"], r["mean"]) for r in jobs.current(spark, str(tmp_path / "out"), ["start"]).collect()}
+    assert got == {"2024-01-01 00:00:00": (3, 3.0), "2024-01-01 01:00:00": (1, 7.0)}
