@@ -275,7 +275,7 @@ def l11(t):
 @query("l13_recommendations", f"""WITH m AS ({META_SQL}), c AS (SELECT profile, avg((best_model LIKE '%Stacking%')::INT) AS rate FROM m GROUP BY 1)
   SELECT event_id AS run_id, profile, CASE WHEN leak THEN 'leakage_priority' WHEN alert THEN 'baseline_priority' WHEN over AND n_rows < 500 THEN 'overfit_small' WHEN rate >= 0.6 THEN 'stacking_wins' WHEN imb > 4 THEN 'severe_imbalance' WHEN sd > 0.08 THEN 'high_cv_variance' ELSE 'model_preference' END AS category FROM m JOIN c USING (profile)""")
 def l13(t):
-    return ledger.recommendations(ledger.meta_features(_ledger(t))).drop("text")
+    return ledger.recommendations(ledger.meta_features(_ledger(t))).drop("text")  # the wording is ours
 
 
 @query("l13_learned_recommendations")
@@ -421,9 +421,18 @@ def d16(t):
     return rounded(drift.psi(t.events.filter(early), t.events.filter(~early), ["value"]))
 
 
-@query("d16_run_drift")
+RUN_PSI_SQL = f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY ts, run_id) AS a, row_number() OVER (ORDER BY ts DESC, run_id DESC) AS z FROM ({RUNS_SQL})),
+  e AS (SELECT 'b' AS side, cv_mean, cv_std, n_rows FROM o WHERE a <= 20 UNION ALL SELECT 'c', cv_mean, cv_std, n_rows FROM o WHERE z <= 10),
+  d AS (SELECT side, unnest(['cv_mean', 'cv_std', 'n_rows']) AS "column", unnest([cv_mean, cv_std, n_rows]) AS v FROM e),
+  r AS (SELECT "column", min(v) AS lo, max(v) AS hi, count(*) FILTER (side = 'b' AND v IS NOT NULL) AS nb, count(*) FILTER (side = 'c' AND v IS NOT NULL) AS nc FROM d GROUP BY 1 HAVING min(v) < max(v)),
+  h AS (SELECT "column", least(floor((v - lo) / ((hi - lo) / 10)), 9) AS bin, count(*) FILTER (side = 'b') AS b, count(*) FILTER (side = 'c') AS c FROM d JOIN r USING ("column") WHERE v IS NOT NULL GROUP BY 1, 2),
+  s AS (SELECT "column", (coalesce(b, 0) + 1e-6) / greatest(nb, 1) AS pb, (coalesce(c, 0) + 1e-6) / greatest(nc, 1) AS pc FROM (SELECT *, unnest(range(10)) AS bin FROM r) LEFT JOIN h USING ("column", bin))
+  SELECT "column", round(abs(sum((pc - pb) * ln(pc / pb))), 4) AS psi FROM s GROUP BY 1"""
+
+
+@query("d16_run_drift", RUN_PSI_SQL)
 def d16_runs(t):
-    return drift.run_drift(t.sql(RUNS), ["cv_mean", "cv_std", "n_rows"])
+    return rounded(drift.run_drift(t.sql(RUNS), ["cv_mean", "cv_std", "n_rows"]))
 
 
 # --- score rules
