@@ -14,8 +14,8 @@ from tablelab.session import checkpointed
 
 #: Words of a window.
 WINDOW = 10
-#: Fixed value: a word is a run of these, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: after A-Z are lower-cased, a word is a run of anything but these.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A table with at most so many rows (of a few hundred bytes each) is broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 200_000
 #: Document words are probed in strips of so many, each carried with the words around it.
@@ -28,7 +28,7 @@ def words_of(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     plain = F.octet_length(text) == F.char_length(text)
     lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lowered, GAP), "")
 
 
 def item_windows(items: DataFrame, key: str, text: str, window: int) -> DataFrame:
@@ -79,7 +79,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     """Columns of ``docs`` without the text, one row for each of its rows, then n_words, n_hit, n_items, items_sha256, contaminated.
 
     A document word inside an occurrence of any window counts as hit, once. Null or wordless texts have no words and are
-    never hit; wordless items have no windows; equal items each count. Rows are told apart even if keys repeat or are null.
+    never hit; wordless items have no windows; equal items each count; an item
+    without an id hits words but isn't listed. Rows are told apart even if keys repeat or are null.
     """
     kept = [c for c in docs.columns if c != text]
     marks = [f"__k{i}" for i in range(len(kept))]
