@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.base import plain, query, rounded
+from tablelab.functions import fixed_values
 from tablelab.functions import texts
 from tablelab.functions.columns import clamp, normalize_nulls, to_number
 from tablelab.operators import semantic
@@ -330,9 +331,16 @@ def t1(t):
     return semantic.pattern_rates(d).filter("pattern in ('phone', 'dashed_id', 'email', 'url', 'ip')")
 
 
-@query("t1_document_pattern_rates", None)
+_quoted = lambda s: "'" + s.replace("'", "''") + "'"
+_HITS = ", ".join(f"regexp_matches(trim(value, {_quoted(fixed_values.BLANKS)}), {_quoted(p)})" for _, p in fixed_values.SEMANTIC_PATTERNS)
+_NAMES = ", ".join(_quoted(n) for n, _ in fixed_values.SEMANTIC_PATTERNS)
+
+
+@query("t1_document_pattern_rates", f"""WITH d AS (SELECT 'lang' AS "column", lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'text', text FROM documents)
+  SELECT "column", pattern, count(*)::BIGINT AS n, round(avg(hit::INT), 4) AS match_rate, round(avg(hit::INT), 4) >= 0.6 AS matches
+  FROM (SELECT "column", unnest([{_NAMES}]) AS pattern, unnest([{_HITS}]) AS hit FROM d WHERE value IS NOT NULL) GROUP BY 1, 2""")
 def t1_documents(t):
-    return semantic.pattern_rates(t.documents, ["lang", "source"])
+    return semantic.pattern_rates(t.documents, ["lang", "source", "text"])
 
 
 @query("t2_national_ids", """SELECT 'c_name' AS "column", NULL::VARCHAR AS national_id FROM customer HAVING count(*) > 0
