@@ -20,11 +20,15 @@ from tablelab.llm import words as W
 from tablelab.llm.sampling import labelled_sample
 
 #: Bounds of the training sample: labelled rows of each class, and bytes of text in all.
-PER_CLASS, MAX_BYTES = 4000, 24 << 20
+PER_CLASS, MAX_BYTES = 4000, 16 << 20
 #: Beginnings of words, in bytes, that are features beside the words themselves.
 PREFIXES = (4, 5, 6)
-#: Documents that hold a feature at least, for it to be learned; steps; step size; pull towards zero.
-LEAST_DOCS, STEPS, RATE, SHRINK = 3, 200, 0.5, 2e-5
+#: For a feature to be learned: documents that hold it at least, and score of its lean to toxic ones.
+LEAST_DOCS, LEAST_SCORE = 3, 2.0
+#: Steps of training; step size; pull towards zero.
+STEPS, RATE, SHRINK = 300, 1.0, 2e-5
+#: Entries of the training matrix that are summed at once.
+BLOCK = 1 << 20
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in ".!?\n"]] = True
 
@@ -83,47 +87,75 @@ def noisy_or(logits: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
     return -np.expm1(-np.bincount(text, np.logaddexp(0, logits), minlength=n_texts)) if len(text) else np.zeros(n_texts)
 
 
-def fit(sample: pd.DataFrame, least_docs: int = LEAST_DOCS, steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK) -> SentenceModel:
+def _vocabulary(body: pa.Array, bad: np.ndarray, least_docs: int, least_score: float) -> np.ndarray:
+    """Features, in rising order, that enough documents hold and that lean to toxic ones.
+
+    The lean is the score of the test of equal shares; a noisy-or gains next to nothing from features that speak against.
+    """
+    known, docs = np.zeros(0, np.uint64), np.zeros((2, 0))
+    for first, data, offsets in W.chunks(body):
+        x = instances(data, offsets)
+        owner = x.text[x.sentence]
+        order = np.lexsort((owner, x.feature))
+        feature, owner = x.feature[order], owner[order]
+        new = np.concatenate([[True], (feature[1:] != feature[:-1]) | (owner[1:] != owner[:-1])])[: len(feature)]
+        feature, owner = feature[new], owner[new] + first
+        both, at = np.unique(np.concatenate([known, feature]), return_inverse=True)
+        docs = np.stack([np.bincount(at, np.concatenate([n, bad[owner] == side]), minlength=len(both)) for side, n in enumerate(docs)])
+        known = both
+    rows = np.array([[(~bad).sum()], [bad.sum()]])
+    share = docs / np.maximum(rows, 1)
+    even = docs.sum(0) / rows.sum()
+    score = (share[1] - share[0]) / np.sqrt(np.maximum(even * (1 - even), 1e-12) * (1 / np.maximum(rows, 1)).sum())
+    return known[(docs.sum(0) >= least_docs) & (score >= least_score)]
+
+
+def _matrix(body: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text of each sentence, and (sentence, place in ``known``) of the distinct known features of all sentences, sentence by sentence."""
+    text, rows, cols, sentences, size = [], [], [], 0, max(len(known), 1)
+    for first, data, offsets in W.chunks(body):
+        x = instances(data, offsets)
+        at = np.minimum(np.searchsorted(known, x.feature), size - 1)
+        hit = known[at] == x.feature if len(known) else np.zeros(len(x.feature), bool)
+        pair = np.unique(x.sentence[hit] * size + at[hit])
+        text.append(x.text + first)
+        rows.append((pair // size + sentences).astype(np.int32))
+        cols.append((pair % size).astype(np.int32))
+        sentences += len(x.text)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(text or none), np.concatenate(rows or none), np.concatenate(cols or none)
+
+
+def fit(sample: pd.DataFrame, least_docs: int = LEAST_DOCS, steps: int = STEPS, rate: float = RATE, shrink: float = SHRINK, least_score: float = LEAST_SCORE) -> SentenceModel:
     """Minimise the weighted log loss of the noisy-or with an L1 penalty, by proximal steps scaled per feature (AdaGrad)."""
     none = SentenceModel(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     if sample.empty or not (sample["label"] == 1).any():
         return none  # nothing offends as far as the labels tell
-    parts, texts = [], 0
-    names: list[np.ndarray] = []
-    sentences = 0
-    for _, data, offsets in W.chunks(pa.array(sample["text"], pa.large_string())):
-        x = instances(data, offsets)
-        order = np.lexsort((x.text[x.sentence], x.feature))
-        feature, owner = x.feature[order], x.text[x.sentence][order]
-        new = np.concatenate([[True], (feature[1:] != feature[:-1]) | (owner[1:] != owner[:-1])])[: len(feature)]
-        names.append(feature[new])
-        parts.append((x.text + texts, x.sentence + sentences, x.feature))
-        texts, sentences = texts + x.n_texts, sentences + len(x.text)
+    body = pa.array(sample["text"], pa.large_string())
+    y = sample["label"].to_numpy() == 1
+    known = _vocabulary(body, y, least_docs, least_score)
+    text, rows, cols = _matrix(body, known)
+    texts, sentences = len(sample), len(text)
     if not sentences:
         return none
-    known, docs = np.unique(np.concatenate(names), return_counts=True)
-    known = known[docs >= least_docs]
-    text, rows, cols = [], [], []
-    for owner, sentence, feature in parts:
-        at = np.minimum(np.searchsorted(known, feature), max(len(known) - 1, 0))
-        hit = known[at] == feature if len(known) else np.zeros(len(feature), bool)
-        pair = np.unique(sentence[hit] * max(len(known), 1) + at[hit])
-        text.append(owner)
-        rows.append((pair // max(len(known), 1)).astype(np.int32))
-        cols.append((pair % max(len(known), 1)).astype(np.int32))
-    text, rows, cols = np.concatenate(text), np.concatenate(rows), np.concatenate(cols)
-    y = sample["label"].to_numpy() == 1
     weight = sample["weight"].to_numpy(float)
     weight = weight / weight.sum()
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(rows), BLOCK)]  # entries are summed in blocks, which bounds the memory
 
     w, b = np.zeros(len(known)), -6.0
     seen_w, seen_b = np.full(len(known), 1e-12), 1e-12
     for _ in range(steps):
-        z = b + np.bincount(rows, w[cols], minlength=sentences)
+        z = np.full(sentences, b)
+        for s in blocks:
+            first = rows[s.start]
+            part = np.bincount(rows[s] - first, w[cols[s]])
+            z[first : first + len(part)] += part
         total = np.bincount(text, np.logaddexp(0, z), minlength=texts)
         pull = np.where(y, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) * weight
         g = pull[text] / (1 + np.exp(-np.clip(z, -500, 500)))
-        gw, gb = np.bincount(cols, g[rows], minlength=len(known)), g.sum()
+        gw, gb = np.zeros(len(known)), g.sum()
+        for s in blocks:
+            gw += np.bincount(cols[s], g[rows[s]], minlength=len(known))
         seen_w += gw * gw
         seen_b += gb * gb
         step = rate / np.sqrt(seen_w)
