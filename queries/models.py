@@ -234,6 +234,30 @@ def m25(t):
     return tables["predictions"].select("doc_id", "label", "prediction", "predicted", "confidence")
 
 
+CUSTOMERS = """SELECT c_custkey, c_acctbal, n_name AS nation, r_name AS region, c_mktsegment AS segment, coalesce(o.n, 0) AS n_orders, coalesce(o.total, 0) AS total, o.mean, o.lowest, o.highest, o.spread,
+  o.high, o.medium, o.low, o.urgent, o.open, o.done, o.first_year, o.first_month, o.clerks, o.half, o.weekend, o.large, o.small, coalesce(o.late, 0) AS active
+  FROM {customer} c JOIN {nation} ON n_nationkey = c_nationkey JOIN {region} ON r_regionkey = n_regionkey LEFT JOIN (
+  SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total, avg(o_totalprice) AS mean, min(o_totalprice) AS lowest, max(o_totalprice) AS highest, stddev_samp(o_totalprice) AS spread,
+   sum(CASE WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 0 END) AS high, sum(CASE WHEN o_orderpriority LIKE '3%' THEN 1 ELSE 0 END) AS medium, sum(CASE WHEN o_orderpriority LIKE '5%' THEN 1 ELSE 0 END) AS low,
+   sum(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS urgent, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS open, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS done,
+   min(year(o_orderdate)) AS first_year, min(month(o_orderdate)) AS first_month, count(DISTINCT o_orderpriority) AS clerks, sum(CASE WHEN month(o_orderdate) > 6 THEN 1 ELSE 0 END) AS half,
+   sum(CASE WHEN dayofweek(o_orderdate) = 1 THEN 1 ELSE 0 END) AS weekend, sum(CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END) AS large, sum(CASE WHEN o_totalprice < 50000 THEN 1 ELSE 0 END) AS small,
+   max(CASE WHEN year(o_orderdate) >= 2001 THEN 1 ELSE 0 END) AS late FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey"""
+
+
+def customers(t):
+    return t.sql(CUSTOMERS)
+
+
+@query("m25_automl_customers")
+def m25_customers(t):
+    """All customers with 24 columns through the whole path: seven families, folds, stack, hold-out."""
+    grids = {"LogisticRegression": {"C": [1.0]}, "LinearSVC": {"C": [1.0]}, "RandomForest": {"numTrees": [20]}, "HistGradientBoosting": {"maxIter": [10], "maxDepth": [5]},
+             "XGBoost": {"maxIter": [10], "maxDepth": [4]}, "LightGBM": {"maxIter": [10], "maxDepth": [5]}, "CatBoost": {"maxIter": [10], "maxDepth": [4]}}
+    _, tables = automl.run(customers(t), "active", ["c_custkey"], grids=grids)
+    return tables["summary"]
+
+
 # --- metrics from prediction tables that both engines derive alike
 
 SCORED = "SELECT doc_id, toxic AS label, CASE WHEN doc_id % 9 = 0 THEN 1 - toxic ELSE toxic END AS prediction, (toxic * 40 + doc_id % 70) / 110.0e0 AS score FROM {labels}"

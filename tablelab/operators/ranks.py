@@ -168,14 +168,21 @@ def column_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of many columns, as a small record.
 
-    A small table takes one aggregate. A large one is read twice more: a bounded sketch brackets
-    each quantile, the rows below a bracket are counted, and only the values inside are ordered.
+    One pass counts and sketches. A small table then takes one exact aggregate. A large one is read twice more: the
+    sketch brackets each quantile, the rows below a bracket are counted, and only the values inside are ordered.
     """
     columns = list(columns)
     if not columns:
         return {}
     as_double = df.select(*[col(c).cast("double").alias(c) for c in columns])
-    if exact_rows > 0 and as_double.count() <= exact_rows:
+    points = [x for p in probs for x in _bracket_points(p)]
+    head = as_double.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(col(c), points, SKETCH_ACCURACY).alias(f"s{i}") for i, c in enumerate(columns)],
+    )
+    record = head.first()
+    if record["rows"] <= exact_rows:
         got = as_double.agg(
             *[F.percentile(col(c), [float(p) for p in probs]).alias(f"q{i}") for i, c in enumerate(columns)]
         ).first()
@@ -183,12 +190,6 @@ def column_quantiles(
             c: list(got[f"q{i}"]) if got[f"q{i}"] is not None else [None] * len(probs)
             for i, c in enumerate(columns)
         }
-    points = [x for p in probs for x in _bracket_points(p)]
-    head = as_double.agg(
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(col(c), points, SKETCH_ACCURACY).alias(f"s{i}") for i, c in enumerate(columns)],
-    )
-    record = head.first()
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     wanted = []
     for i, c in enumerate(columns):
