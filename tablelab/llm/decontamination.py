@@ -48,8 +48,9 @@ def prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
     """For each window its rarest word over all documents (ties: the smaller word, then the earlier place) as token, and that word's place."""
     placed = windows.select("window", "words", F.posexplode("words").alias("place", "token"))
     vocabulary = checkpointed(placed.select("token").distinct())
-    counts = texts.select(F.explode("words").alias("token")).join(small(vocabulary, vocabulary.count()), "token", "left_semi").groupBy("token").count()
-    ranked = placed.join(counts, "token", "left").groupBy("window").agg(
+    n = vocabulary.count()
+    counts = checkpointed(texts.select(F.explode("words").alias("token")).join(small(vocabulary, n), "token", "left_semi").groupBy("token").count())
+    ranked = placed.join(small(counts, n), "token", "left").groupBy("window").agg(
         F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "place")).alias("first"),
         F.first(F.size("words")).alias("length"))
     # A window with a word that no document holds cannot occur.
