@@ -20,14 +20,17 @@ from tablelab.session import checkpointed
 #: Words that a span of repeated units has at least. A passage set into a text loses the sentence it starts in, so this
 #: is about half of the 50 words from which on a passage is to be found.
 LEAST_WORDS = 25
+#: A shorter unit, such as a lone word between two marks, is compared with the words behind it up to so many.
+CONTEXT_WORDS = 6
 #: Bytes that end a unit.
 ENDS = {"line": b"\n", "paragraph": b"", "sentence": b".!?\n"}
 
 
-def _units(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, ...]:
+def _units(data: np.ndarray, offsets: np.ndarray, unit: str, context: int) -> tuple[np.ndarray, ...]:
     """text, place within it, start, end (bytes), words and two digests of each unit that has words.
 
-    A unit is compared by its words, runs of ASCII letters, digits and anything beyond ASCII, A-Z lower-cased, in order.
+    A unit is compared by its words, runs of ASCII letters, digits and anything beyond ASCII, A-Z lower-cased, in order,
+    and one with fewer than ``context`` words also by the words behind it in the text, up to that many.
     """
     w = W.words(data, offsets, W.IN_LETTER_WORD)
     if not len(w.starts):
@@ -47,20 +50,27 @@ def _units(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray
     last = np.concatenate([at[1:], [len(w.starts)]])
     n = last - at
     within = (np.arange(len(w.starts)) - np.repeat(at, n)).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        digests = [
-            W.mixed(np.add.reduceat(W.mixed(w.hashes ^ W.mixed(within + np.uint64(seed))), at) + n.astype(np.uint64)).view(np.int64)
-            for seed in (0x452821E638D01377, 0x34E90C6CC0AC29B7)]
     text = w.text[at]
+    short = np.flatnonzero(n < context)
+    places = np.arange(context, dtype=np.uint64)
+    near = np.minimum(at[short][:, None] + np.arange(context), len(w.starts) - 1)
+    own = (w.text[near] == text[short][:, None]) & (at[short][:, None] + np.arange(context) < len(w.starts))
+    digests = []
+    with np.errstate(over="ignore"):
+        for seed in (0x452821E638D01377, 0x34E90C6CC0AC29B7):
+            sums = np.add.reduceat(W.mixed(w.hashes ^ W.mixed(within + np.uint64(seed))), at)
+            if len(short):
+                sums[short] = (W.mixed(w.hashes[near] ^ W.mixed(places + np.uint64(seed))) * own.astype(np.uint64)).sum(1)
+            digests.append(W.mixed(sums + n.astype(np.uint64)).view(np.int64))
     first = np.searchsorted(text, text)
     return text, np.arange(len(text)) - first, w.starts[at], w.ends[last - 1], n, *digests
 
 
-def _listed(unit: str):
+def _listed(unit: str, context: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in W.chunks(batch.column(2)):
-                text, place, start, end, n, one, two = _units(data, offsets, unit)
+                text, place, start, end, n, one, two = _units(data, offsets, unit, context)
                 points = W.code_points(data, offsets)
                 rows = pa.array(text + at)
                 yield pa.RecordBatch.from_arrays(
@@ -71,20 +81,21 @@ def _listed(unit: str):
     return run
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = LEAST_WORDS, context_words: int = CONTEXT_WORDS) -> DataFrame:
     """One row per span to remove: row, id, start, end, words, first_id.
 
     ``row`` numbers the rows of ``docs`` as read here, ``id`` is the key, start and end are code points of the original
     text (end exclusive), first_id is the smallest key at which a unit of the span stands first. Units are ranked by
     key, null last, then row, then place in the text; the earliest of equal units stays. Units without words never
     repeat, so null, empty and wordless texts have no spans. Spans with fewer than ``least_words`` words stay in the text.
+    ``context_words`` 0 compares every unit by itself.
     """
     numbered = checkpointed(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")))
-    return _spans(numbered, unit, least_words)
+    return _spans(numbered, unit, least_words, context_words)
 
 
-def _spans(numbered: DataFrame, unit: str, least_words: int) -> DataFrame:
-    units = checkpointed(numbered.mapInArrow(_listed(unit), "row long, id long, place int, start int, end int, words int, one long, two long"))
+def _spans(numbered: DataFrame, unit: str, least_words: int, context_words: int) -> DataFrame:
+    units = checkpointed(numbered.mapInArrow(_listed(unit, context_words), "row long, id long, place int, start int, end int, words int, one long, two long"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row", "place")
     firsts = units.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1")
     firsts = checkpointed(firsts.select("one", "two", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place")))
@@ -96,7 +107,7 @@ def _spans(numbered: DataFrame, unit: str, least_words: int) -> DataFrame:
     return spans.filter(F.col("words") >= least_words).drop("run")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = LEAST_WORDS, context_words: int = CONTEXT_WORDS) -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without the repeated spans, and ``removed``, an array of (start, end, first_id)
     with the original offsets. A column of the input named removed is replaced; a null text stays null."""
     kept = [c for c in docs.columns if c != "removed"]
@@ -104,7 +115,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", uni
     body = F.col(marks[kept.index(text)])
     rows = checkpointed(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(m) for c, m in zip(kept, marks)]))
     numbered = rows.select("row", F.col(marks[kept.index(key)]).cast("long").alias("id"), body.alias("text"))
-    gone = _spans(numbered, unit, least_words).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_id"))).alias("removed"))
+    gone = _spans(numbered, unit, least_words, context_words).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_id"))).alias("removed"))
     joined = rows.join(checkpointed(gone), "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:int,end:int,first_id:bigint>>")))
     # What stays lies between the end of one span and the start of the next.
     froms = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["end"]))

@@ -10,28 +10,30 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS = {"line": "\n", "sentence": r"[.!?\n]"}
 
 
-def units(text, unit):
+def units(text, unit, context):
     if unit == "paragraph":
         cuts = [m.end() for m in re.finditer(r"(?<=\n)\n", text or "")]
     else:
         cuts = [m.end() for m in re.finditer(ENDS[unit], text or "")]
-    out = []
+    every = [m.group().translate(LOWER) for m in WORD.finditer(text or "")]
+    out, n = [], 0
     for s, e in zip([0, *cuts], [*cuts, len(text or "")]):
         found = list(WORD.finditer((text or "")[s:e]))
         if found:
-            out.append((s + found[0].start(), s + found[-1].end(), tuple(m.group().translate(LOWER) for m in found)))
+            compared = (len(found), *every[n : n + max(len(found), context)])
+            out.append((s + found[0].start(), s + found[-1].end(), len(found), compared))
+            n += len(found)
     return out
 
 
-def expected(rows, unit, least):
+def expected(rows, unit, least, context):
     """rows in rank order."""
     first, out = {}, []
     for key, text in rows:
         run = []
-        for s, e, words in [*units(text, unit), (None, None, None)]:
-            old = words in first
-            if words is not None and old:
-                run.append((s, e, len(words), first[words]))
+        for s, e, n, words in [*units(text, unit, context), (None, None, None, None)]:
+            if words is not None and words in first:
+                run.append((s, e, n, first[words]))
                 continue
             if run and sum(r[2] for r in run) >= least:
                 froms = [r[3] for r in run if r[3] is not None]
@@ -57,8 +59,8 @@ def test_against_brute_force(documents):
     rows = rows_of(1)
     docs = documents(rows).repartition(5, "text")
     for unit in ("line", "paragraph", "sentence"):
-        for least in (0, 6, 25):
-            assert got(docs, unit=unit, least_words=least) == expected(rows, unit, least), (unit, least)
+        for least, context in ((0, 0), (6, 4), (25, 6)):
+            assert got(docs, unit=unit, least_words=least, context_words=context) == expected(rows, unit, least, context), (unit, least)
 
 
 def test_passage_inside_another_text(documents):
@@ -72,7 +74,7 @@ def test_passage_inside_another_text(documents):
 
 def test_removal_keeps_rows_and_columns(documents):
     rows = [(1, "Menü one. Own.\nMenü one.", "a", "b"), (2, "menü ONE! Rest\nmenü one", "a", "b"), (3, None, "a", "b"), (2, "menü ONE! Rest\nmenü one", "a", "b")]
-    out = remove_repeats(documents(rows, "removed", "row"), least_words=1).orderBy("doc_id", F.size("removed"), "text").collect()
+    out = remove_repeats(documents(rows, "removed", "row"), least_words=1, context_words=0).orderBy("doc_id", F.size("removed"), "text").collect()
     assert [r.text for r in out] == ["Menü one. Own.\n.", "", "! Rest\n", None] and all(r.row == "b" for r in out)
     # Of the repeated row all is repeated, of the first one only what stood before.
     assert [[(s.start, s.end, s.first_id) for s in r.removed] for r in out[1:3]] == [[(0, 23, 1)], [(0, 8, 1), (15, 23, 1)]]
