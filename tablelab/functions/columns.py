@@ -17,11 +17,9 @@ def col(name: str) -> Column:
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join by equal names where NULL equals NULL; the key columns of the left side stay. Without keys every row meets every row."""
+    """Join by equal names, one at least, where NULL equals NULL; the key columns of the left side stay."""
     keys = [f"_right_{i}" for i in range(len(on))]
     renamed = right.select(*[col(c).alias(k) for c, k in zip(on, keys)], *[col(c) for c in right.columns if c not in on])
-    if not on:
-        return left.crossJoin(renamed)
     same = [col(c).eqNullSafe(F.col(k)) for c, k in zip(on, keys)]
     return left.join(renamed, same, how).drop(*keys)
 
