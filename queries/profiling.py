@@ -300,6 +300,13 @@ def p12_null_sliced(t):
     return rounded(dash.box_statistics(d, "event_type", "value", top=None, exact_rows=0))
 
 
+@query("p12_box_points", """WITH e AS (SELECT event_id, nullif(event_type, 'view') AS event_type, value FROM events), q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS z FROM e GROUP BY 1)
+  SELECT event_id, e.event_type, CASE WHEN value < a - 1.5 * (z - a) THEN 'below' ELSE 'above' END AS side FROM e JOIN q ON e.event_type IS NOT DISTINCT FROM q.event_type WHERE value NOT BETWEEN a - 1.5 * (z - a) AND z + 1.5 * (z - a)""")
+def p12_points(t):
+    d = t.events.select("event_id", F.nullif("event_type", F.lit("view")).alias("event_type"), "value")
+    return dash.box_points(d, "event_type", "value", top=None, exact_rows=0).select("event_id", "event_type", "side")
+
+
 @query("p13_percentile_bar", "SELECT 'value' AS \"column\", round(min(value), 4) AS min, round(quantile_cont(value, 0.25), 4) AS q25, round(median(value), 4) AS q50, round(quantile_cont(value, 0.75), 4) AS q75, round(max(value), 4) AS max FROM events")
 def p13(t):
     return rounded(dash.percentile_bar(t.events, "value"))

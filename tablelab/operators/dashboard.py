@@ -206,6 +206,20 @@ def box_statistics(df: DataFrame, by: str, column: str, top: int | None = 8, exa
     )
 
 
+def box_points(df: DataFrame, by: str, column: str, top: int | None = 8, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """The rows drawn beside the boxes: all columns of those beyond the whisker bounds of their group, and which side they are on."""
+    base = df.filter(col(column).isNotNull())
+    if top is not None:
+        base = top_categories(base, by, top)
+    values = base.select(col(by), col(column).cast("double").alias("_v"))
+    boxes = grouped_quantiles(values, [by], "_v", [0.25, 0.5, 0.75], BOXES, exact_rows)
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    fences = boxes.select(col(by), (F.col("q1") - reach).alias("_lo"), (F.col("q3") + reach).alias("_hi"))
+    value = col(column).cast("double")
+    side = F.when(value < F.col("_lo"), "below").when(value > F.col("_hi"), "above")
+    return null_safe_join(base, fences, [by]).withColumn("side", side).filter("side is not null").drop("_lo", "_hi")
+
+
 def percentile_bar(df: DataFrame, column: str, exact_rows: int = EXACT_ROWS) -> DataFrame:
     return eda.numeric_summary(df, [column], exact_rows).select("column", "min", "q25", "q50", "q75", "max")
 
