@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from queries.base import query, rounded
 from tablelab.operators import experience, features, selection, splits, target
@@ -32,6 +33,25 @@ def s3(t):
     return rounded(readers.read_table(t.spark, path))
 
 
+@query("s2_undecodable_bytes", "SELECT doc_id, lang, regexp_replace(regexp_replace(text, '[\\r\\n\\t;\"\\\\]', ' ', 'g'), '[^\\x00-\\x7F]', chr(65533), 'g') AS text FROM documents")
+def s2_bytes(t):
+    """Texts written as Latin-1 and read as UTF-8: each byte that can't be decoded becomes a replacement character."""
+    path = f"{shared_folder(t.spark)}/latin.csv"
+    d = t.documents.select("doc_id", "lang", F.regexp_replace("text", '[\\r\\n\\t;"\\\\]', " ").alias("text"))
+    d.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.read_delimited(t.spark, path, d.schema)
+
+
+@query("s8_malformed_lines", "SELECT event_id::VARCHAR AS run_id, event_type AS agent FROM events WHERE event_id % 10 > 0")
+def s8_malformed(t):
+    """Every tenth line of the log breaks off; such lines are skipped."""
+    path = f"{shared_folder(t.spark)}/broken"
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("agent")))
+    broken = F.when(F.col("event_id") % 10 == 0, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line)
+    t.events.select(broken.alias("value")).write.text(path)
+    return readers.read_log(t.spark, path, T.StructType([T.StructField("run_id", T.StringType()), T.StructField("agent", T.StringType())]), keep=None)
+
+
 @query("s6_count_rows", "SELECT count(*)::BIGINT AS n FROM lineitem")
 def s6(t):
     path = f"{shared_folder(t.spark)}/lineitem"
