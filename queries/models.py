@@ -297,11 +297,8 @@ def v3(t):
     d = documents(t)
     halves = split(d, ["doc_id"], by=["label"], name="part")
     train, test = halves.filter("part = 'train'").drop("part"), halves.filter("part = 'test'").drop("part")
-    out = None
-    for c in _small_pool(d.count(), ["doc_id"]):
-        row = evaluate.class_metrics(c.pipeline(c.combinations()[0]).fit(train).transform(test)).withColumn("model", F.lit(c.name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    fitted = {c.name: c.pipeline(c.combinations()[0]).fit(train) for c in _small_pool(d.count(), ["doc_id"])}
+    return evaluate.test_leaderboard(fitted, test)
 
 
 @query("v8_feature_importance")

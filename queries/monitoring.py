@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.base import plain, query, rounded
-from tablelab.operators import drift, experience, ledger, scoring
+from tablelab.operators import drift, experience, ledger, scoring, reports
+from tablelab.session import shared_folder
 from tablelab.functions.fixed_values import ACTIONS
 
 ACTION_CASE = "CASE user_id % 8 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(ACTIONS)) + " END"
@@ -404,6 +405,31 @@ def d14(t):
     return drift.alerts_long(_detected(t)).groupBy("trigger", "severity").agg(F.count_if("fired").alias("fired"))
 
 
+_L5 = f"""l AS (WITH d AS (SELECT cv_mean AS a, cv_std AS b, retrained::INT::DOUBLE AS y FROM ({RUNS_SQL}) WHERE cv_mean IS NOT NULL AND cv_std IS NOT NULL),
+  m AS (SELECT covar_pop(a, y) * count(*) / (var_pop(a) * count(*) + 1) AS sa, covar_pop(b, y) * count(*) / (var_pop(b) * count(*) + 1) AS sb, avg(y) AS my, avg(a) AS ma, avg(b) AS mb FROM d HAVING count(*) >= 30 AND sum(y) >= 3)
+  SELECT coalesce(max(CASE WHEN abs(sa) > 1e-6 THEN greatest(0.02, least(0.15, (0.5 - (my - sa * ma)) / sa)) END), 0.05) AS fall, coalesce(max(CASE WHEN abs(sb) > 1e-6 THEN greatest(0.04, least(0.2, (0.5 - (my - sb * mb)) / sb)) END), 0.08) AS wide FROM m), """
+
+
+@query("d14_learned_report", ("WITH " + _L5 + D_BASE[5:]).replace("> 0.05, false) AS d3", "> (SELECT fall FROM l), false) AS d3").replace("> 0.16 AS d5", "> 2 * (SELECT wide FROM l) AS d5").replace("> 30, false) AS d7", "> 20, false) AS d7")
+       + "SELECT trigger, severity, count(*) FILTER (fired)::BIGINT AS fired FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS trigger, '{s}' AS severity, d{i + 2} AS fired FROM f" for i, (n, s) in enumerate(drift.TRIGGERS)) + ") GROUP BY 1, 2")
+def d14_learned(t):
+    report = reports.alert_report(t.sql(RUNS), retrained="retrained", config={**LIMITS, "volume_shift_pct": 20.0})
+    return report.groupBy("trigger", "severity").agg(F.count_if("fired").alias("fired"))
+
+
+@query("d15_appended_retrains", D_BASE + """, s AS (SELECT run_id, ts, filename, CASE WHEN coalesce(cv_mean < 0.3, false) OR d2 THEN 'CRITICAL' WHEN NOT (d3 OR d4 OR d5 OR d6 OR d7 OR d8 OR d9 OR d10 OR d11) THEN 'NONE' WHEN d3 OR d4 THEN 'HIGH'
+  WHEN d5::INT + d6::INT + d7::INT + d8::INT + d9::INT >= 2 THEN 'MEDIUM' WHEN d10::INT + d11::INT >= 3 THEN 'LOW' ELSE 'MILD' END AS severity FROM f)
+  SELECT filename, count(*)::BIGINT AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_retrain FROM s WHERE severity NOT IN ('NONE', 'MILD') GROUP BY 1""")
+def d15_appended(t):
+    path = f"{shared_folder(t.spark)}/retrains"
+    decided = drift.decide(_detected(t))
+    for part in (decided.filter("run_id % 2 = 0"), decided.filter("run_id % 2 = 1"), decided.filter("run_id % 2 = 1")):  # the last one comes twice
+        reports.append_retrain_events(part, path)
+    events = reports.retrain_events(t.spark, path)
+    last = reports.last_retrains(events, ["filename"]).select("filename", F.date_format("last_retrain", "yyyy-MM-dd HH:mm:ss").alias("last_retrain"))
+    return events.groupBy("filename").agg(F.count(F.lit(1)).alias("n")).join(last, "filename")
+
+
 @query("d15_retrain_events", f"SELECT filename, run_id FROM ({RUNS_SQL}) WHERE retrained")
 def d15(t):
     return t.sql(RUNS).filter("retrained").select("filename", "run_id")
