@@ -118,16 +118,29 @@ def x10(t):
 ACTIONS_SQL = "[" + ", ".join(f"'{a}'" for a in experience.ACTIONS) + "]"
 
 
-@query("x11_action_ranking", f"""WITH v AS (SELECT bucket, action, count(*) AS n, avg(reward) AS m, coalesce(var_samp(reward), 0) AS s FROM ({EXP_SQL}) WHERE action <> 'AGGRESSIVE_FS' GROUP BY 1, 2),
+X11_SQL = f"""WITH v AS (SELECT bucket, action, count(*) AS n, avg(reward) AS m, coalesce(var_samp(reward), 0) AS s FROM ({EXP_SQL}) WHERE action <> 'AGGRESSIVE_FS' GROUP BY 1, 2),
   b AS (SELECT bucket, max(m) AS hi, greatest(0.005, 0.05 * (max(m) - min(m))) AS band, sum(n) AS total, 1.41 * (1 + sqrt(avg(s))) AS c FROM v GROUP BY 1),
   r AS (SELECT v.bucket, v.action, n, CASE WHEN hi - m <= band THEN 1 ELSE 2 END AS g, CASE WHEN hi - m <= band THEN m + c * sqrt(ln(total) / n) ELSE m END AS score FROM v JOIN b USING (bucket)
    UNION ALL SELECT bucket, action, 0, 0, -i FROM b, (SELECT unnest({ACTIONS_SQL}) AS action, unnest(range(0, {len(experience.ACTIONS)})) AS i) a WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.bucket = b.bucket AND v.action = a.action))
-  SELECT bucket, action, n::BIGINT AS trials, row_number() OVER (PARTITION BY bucket ORDER BY g, score DESC, action)::INTEGER AS rank FROM r""")
+  SELECT bucket, action, n::BIGINT AS trials, row_number() OVER (PARTITION BY bucket ORDER BY g, score DESC, action)::INTEGER AS rank FROM r"""
+
+
+@query("x11_action_ranking", X11_SQL)
 def x11(t):
     values = experience.action_values(_experiences(t).filter("action <> 'AGGRESSIVE_FS'"))
     return experience.rank_actions(values).select("bucket", "action", "trials", "rank")
 
 
+@query("x11_choose_known", f"""WITH k AS ({X11_SQL}), d AS (SELECT c_custkey, concat('b', c_custkey % 13) AS bucket FROM customer)
+  SELECT c_custkey, coalesce(action, 'NO_OVERRIDE') AS action, CASE WHEN action IS NULL THEN 'cold_start' ELSE 'learned' END AS source FROM d LEFT JOIN (SELECT bucket, action FROM k WHERE rank = 1) USING (bucket)""")
+def x11_known(t):
+    """States of known buckets take the first-ranked action, those of two unknown ones the rule."""
+    values = experience.action_values(_experiences(t).filter("action <> 'AGGRESSIVE_FS'"))
+    states = t.customer.select("c_custkey", F.concat(F.lit("b"), F.col("c_custkey") % 13).alias("bucket"), F.lit(5000).alias("rows"), F.lit(9).alias("features"),
+                               F.lit(0.5).alias("majority"), F.lit("classification").alias("problem_type"))
+    return experience.choose_actions(states, values).select("c_custkey", "action", "source")
+
+
 @query("x11_choose_actions", """SELECT c_custkey, CASE WHEN s > 0.8 THEN 'AGGRESSIVE_FS' WHEN r >= 50000 THEN 'BOOST_ENSEMBLE' WHEN r < 500 THEN 'PRIORITISE_LINEAR' WHEN f > r THEN 'CONSERVATIVE_FS' WHEN r >= 10000 THEN 'PRIORITISE_BOOSTING' ELSE 'NO_OVERRIDE' END AS action, 'cold_start' AS source
   FROM (SELECT c_custkey, (c_custkey % 100) / 100.0e0 AS s, (c_custkey * 53) % 60000 AS r, c_custkey % 900 AS f FROM customer)""")
 def x11_choose(t):
