@@ -22,7 +22,7 @@ from tablelab.llm import words as W
 from tablelab.session import checkpointed
 
 #: Bounds of the training sample: labelled rows of each domain, domains, and bytes of text in all.
-PER_DOMAIN, MAX_DOMAINS, MAX_BYTES = 1500, 64, 24 << 20
+PER_DOMAIN, MAX_DOMAINS, MAX_BYTES = 600, 64, 8 << 20
 #: Buckets of hashed words that are features beside the style of a text; training steps, step size, ridge.
 BUCKETS, STEPS, RATE, RIDGE = 512, 300, 0.5, 1e-4
 #: The fit ends when no domain misses its target by more than this share of all tokens, or after so many iterations.
@@ -92,9 +92,11 @@ def fit_domains(sample: pd.DataFrame, steps: int = STEPS, rate: float = RATE, ri
     names = sorted(sample["domain"].unique())
     if not names:
         return Domains([""], np.zeros(size), np.ones(size), np.zeros((size + 1, 1)))
-    x = np.concatenate([features(data, offsets)[0] for _, data, offsets in W.chunks(pa.array(sample["text"], pa.large_string()))])
-    means, scales = x.mean(0), x.std(0) + 1e-3
-    z = np.concatenate([np.clip((x - means) / scales, -8, 8), np.ones((len(x), 1))], 1)
+    x = np.concatenate([features(data, offsets)[0].astype(np.float32) for _, data, offsets in W.chunks(pa.array(sample["text"], pa.large_string()))])
+    means, scales = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-3
+    z = np.ones((len(x), size + 1), np.float32)
+    np.clip((x - means) / scales, -8, 8, out=z[:, :-1], casting="same_kind")
+    del x
     y = (sample["domain"].to_numpy()[:, None] == np.array(names)[None, :]).astype(float)
     weight = sample["weight"].to_numpy(float)[:, None]
     weight = weight / weight.sum()
@@ -103,7 +105,7 @@ def fit_domains(sample: pd.DataFrame, steps: int = STEPS, rate: float = RATE, ri
         s = z @ w
         p = np.exp(s - s.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = z.T @ (weight * (p - y)) + ridge * w
+        g = z.T @ (weight * (p - y)).astype(np.float32) + ridge * w
         seen += g * g
         w -= rate * 0.1 * g / np.sqrt(seen)
     return Domains(names, means, scales, w)

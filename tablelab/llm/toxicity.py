@@ -20,7 +20,7 @@ from tablelab.llm import words as W
 from tablelab.llm.sampling import labelled_sample
 
 #: Bounds of the training sample: labelled rows of each class, and bytes of text in all.
-PER_CLASS, MAX_BYTES = 4000, 16 << 20
+PER_CLASS, MAX_BYTES = 4000, 12 << 20
 #: Beginnings of words, in bytes, that are features beside the words themselves.
 PREFIXES = (4, 5, 6)
 #: For a feature to be learned: documents that hold it at least, and score of its lean to toxic ones.
