@@ -45,7 +45,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more) stays, the one with the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more) stays, the one with the smallest doc_id.
+
+    Rows of one doc_id stay or go together; rows without a doc_id stay where no row with one is near.
+    """
     stays = near_duplicates(docs).filter("kept").select("doc_id").distinct()
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
 
