@@ -166,10 +166,10 @@ def fit(sample: pd.DataFrame, least_docs: int = LEAST_DOCS, steps: int = STEPS,
     return SentenceModel(known[used], w[used], float(b))
 
 
-def _scored(model: SentenceModel, offend: float):
+def _scored(model: SentenceModel, offend: float, place: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, offsets in W.chunks(batch.column(batch.num_columns - 1)):
+            for at, data, offsets in W.chunks(batch.column(place)):
                 x = instances(data, offsets)
                 z = model.logits(x)
                 n = len(offsets) - 1
@@ -181,8 +181,8 @@ def _scored(model: SentenceModel, offend: float):
                     ["start", "end", "p"])
                 ends = np.searchsorted(x.text[bad], np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(at, n) for i in range(batch.num_columns - 1)), pa.array(noisy_or(z, x.text, n)), pa.ListArray.from_arrays(ends, spans)],
-                    [*batch.schema.names[:-1], "score", "offending"])
+                    [*(batch.column(i).slice(at, n) for i in range(kept)), pa.array(noisy_or(z, x.text, n)), pa.ListArray.from_arrays(ends, spans)],
+                    [*batch.schema.names[:kept], "score", "offending"])
 
     return run
 
@@ -191,10 +191,11 @@ def score_toxicity(docs: DataFrame, model: SentenceModel, keep: list[str], text:
     """The columns ``keep`` of every row, then score (0 to 1) and offending, its sentences of probability ``offend`` or more
     as (start, end, p) in code points. Null, empty and wordless texts score 0. Rows may repeat."""
     marks = [f"__k{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(m) for c, m in zip(keep, marks)], F.col(f"`{text}`").cast("string").alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(m) for c, m in zip(keep, marks)], *([] if text in keep else [F.col(f"`{text}`").alias("__text")]))
+    place = keep.index(text) if text in keep else len(keep)  # a text that is kept goes over once
     schema = ", ".join(f"{m} {docs.select(F.col(f'`{c}`')).schema[0].dataType.simpleString()}" for c, m in zip(keep, marks))
     scored = rows.mapInArrow(
-        _scored(model, offend), f"{schema}, score double, offending array<struct<start: bigint, end: bigint, p: double>>")
+        _scored(model, offend, place, len(keep)), f"{schema}, score double, offending array<struct<start: bigint, end: bigint, p: double>>")
     return scored.select(*[F.col(m).alias(c) for c, m in zip(keep, marks)], "score", "offending")
 
 
