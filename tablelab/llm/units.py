@@ -90,11 +90,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", uni
     repeat, so null, empty and wordless texts have no spans. Spans with fewer than ``least_words`` words stay in the text.
     ``context_words`` 0 compares every unit by itself.
     """
-    numbered = checkpointed(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     return _spans(numbered, unit, least_words, context_words)
 
 
 def _spans(numbered: DataFrame, unit: str, least_words: int, context_words: int) -> DataFrame:
+    # The texts are read once; from here on only units go on, with the row numbers they were written with.
     units = checkpointed(numbered.mapInArrow(_listed(unit, context_words), "row long, id long, place int, start int, end int, words int, one long, two long"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row", "place")
     firsts = units.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).filter("n > 1")
