@@ -19,6 +19,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Score from which a document counts as toxic.
 TOXIC = 0.7
+#: Share of the texts of a source above which a line is dropped, and the number of texts that must hold it at least. Sources
+#: are far larger than hosts, so the share is far below the operator's own.
+LINE_RATIO, LINE_LEAST = 0.001, 5
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -36,10 +39,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that over a tenth of the documents of their source hold are taken out, and n_chars follows; every document stays."""
+    """Lines that over ``LINE_RATIO`` of the texts of their source and ``LINE_LEAST`` hold are taken out, and n_chars follows; every document stays.
+
+    Copies of one text count once, or the lines of a text that is copied often would go from all its copies.
+    """
     plain, numbers = _numbered(docs)
     text, size = numbers["text"], numbers["n_chars"]
-    clean = drop_site_lines(plain, F.col(numbers["source"]), text)
+    clean = drop_site_lines(plain, F.col(numbers["source"]), text, LINE_RATIO, LINE_LEAST, copies=False)
     changed = clean.withColumn(size, F.when(F.col("n_dropped") > 0, F.char_length(text).cast(plain.schema[size].dataType)).otherwise(F.col(size)))
     return changed.select(*plain.columns).toDF(*docs.columns)
 

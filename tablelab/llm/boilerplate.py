@@ -34,34 +34,42 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " "))
 
 
-def drop_site_lines(pages: DataFrame, site: Column, text: str, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def drop_site_lines(pages: DataFrame, site: Column, text: str, ratio: float = RATIO, least: int = LEAST, copies: bool = True) -> DataFrame:
     """``pages`` with ``text`` cleaned, and the columns site, n_lines, n_dropped behind.
 
     Lines are compared with white space collapsed; blank lines are neither counted nor dropped. A line is dropped,
     wherever it stands, if over ``ratio`` of its site's pages and ``least`` pages or more hold it; the other lines stay
     as they are, in order. A null site is a site of its own; a null text stays null and its page counts. Repeated rows
-    are pages each. A column of the input named like an added one is replaced.
+    are pages each; without ``copies`` pages of a site with one text count as one page, so that a text which is copied
+    often doesn't lose its own lines. A column of the input named like an added one is replaced.
     """
     kept = [c for c in pages.columns if c not in ("site", "n_lines", "n_dropped")]
     marks = [f"__k{i}" for i in range(len(kept))]
     body = marks[kept.index(text)]
     named = pages.select(*[F.col(f"`{c}`").alias(m) for c, m in zip(kept, marks)], site.alias("site"), F.monotonically_increasing_id().alias("row"))
+    if not copies:
+        named = named.withColumn("same", F.unhex(F.md5(body)))
     # One digest for each line, null for a blank one; everything below compares digests.
     rows = checkpointed(named.withColumn("digests", F.transform(
         F.transform(F.split(body, "\n"), normal), lambda x: F.when(x != "", F.unhex(F.md5(x))))))
 
     held = F.array_distinct(F.array_compact("digests"))
-    totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    totals = (rows if copies else rows.select("site", "same").distinct()).groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     counts = rows.select("site", F.explode(held).alias("digest")).groupBy("site", "digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     common = checkpointed(
         counts.join(totals, counts["site"].eqNullSafe(totals["site"])).filter(F.col("n") > F.col("pages") * ratio)
-        .select(counts["site"].alias("of"), "digest"))
+        .select(counts["site"].alias("of"), "digest", "pages"))
 
     # Lines to drop are listed per page, and only for pages that have some.
-    probe = rows.select("site", "row", F.explode(held).alias("digest"))
+    probe = rows.select("site", "row", F.explode(held).alias("digest"), *([] if copies else ["same"]))
     common = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
-    found = probe.join(common, (probe["digest"] == common["digest"]) & probe["site"].eqNullSafe(common["of"]))
-    listed = checkpointed(found.groupBy("row").agg(F.collect_set(probe["digest"]).alias("gone")))
+    found = probe.join(common, (probe["digest"] == common["digest"]) & probe["site"].eqNullSafe(common["of"])).drop(common["digest"])
+    if not copies:  # a line on enough pages may still stand in too few texts
+        found = checkpointed(found)
+        texts = found.select("of", "digest", "same", "pages").distinct().groupBy("of", "digest", "pages").agg(F.count(F.lit(1)).alias("n"))
+        few = texts.filter((F.col("n") < least) | (F.col("n") <= F.col("pages") * ratio)).select(F.col("of").alias("few_of"), F.col("digest").alias("few"))
+        found = found.join(few, (found["digest"] == few["few"]) & found["of"].eqNullSafe(few["few_of"]), "left_anti")
+    listed = checkpointed(found.groupBy("row").agg(F.collect_set("digest").alias("gone")))
     joined = rows.join(listed, "row", "left")
     stays = F.filter(
         F.arrays_zip(F.split(body, "\n").alias("line"), F.col("digests").alias("digest")),

@@ -81,3 +81,14 @@ def test_clashing_columns_and_empty_tables(spark, corpus):
         out = stage(spark, clash, folder)
         assert out.columns[: len(clash.columns)] == clash.columns and out.first()["site"] == "a" and out.count() > 100, name
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_lines_of_large_sources_go_and_copied_texts_stay(spark):
+    rows = [(i, f"own line {i}\n" + "shared line" * (i < 25) + "\nfew" * (i < 4), "en", "large", 0) for i in range(1700)]
+    rows += [(2000 + i, "copied text\nwith two lines", "en", "large", 0) for i in range(60)] + [(3000 + i, f"other {i}\nshared line", "en", "small", 0) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in STAGES["line_dedup"](spark, docs, "").collect()}
+    assert len(got) == len(rows)
+    assert all("shared line" not in got[i] and f"own line {i}" in got[i] for i in range(1700))  # 1.4 % of the source
+    assert all("few" in got[i] for i in range(4)) and all(got[2000 + i] == "copied text\nwith two lines" for i in range(60))
+    assert all("shared line" in got[3000 + i] for i in range(4))
