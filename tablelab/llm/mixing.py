@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tablelab.llm import ranking
 from tablelab.llm import words as W
+from tablelab.llm.sampling import first_rows
 from tablelab.session import checkpointed
 
 #: Bounds of the training sample: labelled rows of each domain, domains, and bytes of text in all.
@@ -58,32 +59,18 @@ def domain_sample(docs: DataFrame, labelled: DataFrame, key: str, text: str, per
     """A bounded sample (id, domain, text, weight) of the labelled documents, by a hash of the key within each domain.
 
     A key labelled twice counts as the smaller domain; rows without key or domain are left out. ``weight`` is how many
-    labelled rows one stands for. More than MAX_DOMAINS domains are refused.
+    labelled rows one stands for. Each domain has its share of the bytes; texts above ``longest`` are left out. More than
+    MAX_DOMAINS domains and a domain with only such texts are refused.
     """
     marked = checkpointed(labelled.select(F.col(f"`{key}`").alias("id"), F.col("domain").cast("string").alias("domain"))
                           .filter(F.col("id").isNotNull() & F.col("domain").isNotNull()).groupBy("id").agg(F.min("domain").alias("domain")))
     totals = {r["domain"]: r["count"] for r in marked.groupBy("domain").count().limit(MAX_DOMAINS + 1).collect()}
     if len(totals) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
-    order = (F.xxhash64(F.col("id").cast("string")), F.col("id"))
-    empty = pd.DataFrame({"id": [], "domain": [], "text": [], "weight": []})
-    if not totals:
-        return empty
-    picks = None
-    for name in sorted(totals):
-        own = marked.filter(F.col("domain") == name).orderBy(*order).limit(per_domain)
-        picks = own if picks is None else picks.unionByName(own)
-    body = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    sizes = body.select("id", F.octet_length("text").alias("size")).join(F.broadcast(picks), "id").groupBy("id", "domain").agg(F.max("size").alias("size"))
-    found = sizes.withColumn("order", F.xxhash64(F.col("id").cast("string"))).toPandas().sort_values(["order", "id"], kind="stable")
-    found = found[found["size"].cumsum() <= max_bytes]
-    if found.empty:
-        return empty
-    chosen = docs.sparkSession.createDataFrame(found[["id", "domain"]])
-    rows = body.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "domain", "text").toPandas()
+    rows = first_rows(docs, marked, "domain", sorted(totals), per_domain, max_bytes, key, text)
     counts = rows["domain"].value_counts()
-    rows["weight"] = [totals[x] / counts[x] for x in rows["domain"]]
-    return rows.sort_values("id", kind="stable", ignore_index=True)
+    rows["weight"] = pd.Series([totals[x] / counts[x] for x in rows["domain"]], dtype=float)
+    return rows
 
 
 def fit_domains(sample: pd.DataFrame, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> Domains:
@@ -217,10 +204,13 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     """One row per row of ``docs``: row, id, n_tokens, domain (the likeliest), rate and copies.
 
     ``labelled`` has the key and a column domain for some documents. copies is the rate rounded down, or up with the
-    probability of its fraction, drawn by a hash of the key. Documents without tokens
-    count for nothing and are rated by their posterior like any other. An empty table gives an empty result.
+    probability of its fraction, drawn by a hash of the key. A domain with a weight but no labelled document is refused.
+    Documents without tokens count for nothing and are rated by their posterior like any other. An empty table gives an empty result.
     """
     model = fit_domains(domain_sample(docs, labelled, key, text, per_domain, max_bytes))
+    unknown = sorted(n for n, w in (weights or {}).items() if w > 0 and n not in model.names)
+    if unknown and not docs.isEmpty():
+        raise ValueError(f"no labelled documents of the target domains {unknown}")
     members = memberships(docs, model, key, text)
     wanted = None if weights is None else np.array([weights.get(n, 0.0) for n in model.names])
     steps, _, _ = fit_rates(members, len(model.names), wanted)

@@ -152,3 +152,25 @@ def test_mixing_edges(spark, documents):
     assert mixing.mix(documents([]), labelled).collect() == []
     none = mixing.mix(docs, labelled.filter("false")).collect()
     assert {r.domain for r in none} == {""} and all(abs(r.rate - 1) < 1e-6 for r in none)
+
+
+def test_one_long_text_leaves_the_rest_of_the_sample(spark, documents, labels):
+    key = lambda i: F.xxhash64(F.lit(str(i)))
+    order = spark.range(1).select(F.array(*[F.struct(key(i).alias("h"), F.lit(i).alias("i")) for i in range(60)]).alias("x")).first().x
+    first = min(order, key=lambda r: r.h).i
+    docs = documents([(i, "long " * 2000 if i == first else f"text number {i}") for i in range(60)])
+    sample = labelled_sample(docs, labels([(i, i % 2) for i in range(60)], "y"), "y", None, 100, 4000)
+    assert set(sample["id"]) == set(range(60)) - {first}
+    domains = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(60)], "doc_id long, domain string")
+    assert set(mixing.domain_sample(docs, domains, "doc_id", "text", 100, 4000)["id"]) == set(range(60)) - {first}
+    # A domain of long texts takes nothing from the others.
+    docs = documents([(i, ("word " * 40 if i % 3 else "short")) for i in range(60)])
+    counts = mixing.domain_sample(docs, domains, "doc_id", "text", 100, 3000)["domain"].value_counts()
+    assert counts["a"] == 20 and counts["b"] >= 6 and counts["c"] >= 6
+    # Rows are counted behind the bound of a text, too.
+    docs = documents([(i, "long " * 2000 if i == first else f"text number {i}") for i in range(60)])
+    assert len(labelled_sample(docs, labels([(i, i % 2) for i in range(60)], "y"), "y", None, 5, 4000)) == 10
+    with pytest.raises(ValueError, match="longer than"):
+        labelled_sample(documents([(1, "long " * 2000), (2, "x")]), labels([(1, 1), (2, 0)], "y"), "y", None, 5, 4000)
+    with pytest.raises(ValueError, match="target domains"):
+        mixing.mix(docs, domains, {"a": 1.0, "nowhere": 1.0})
