@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablelab.llm.boilerplate import drop_site_lines, host_of, text_of
 from tablelab.llm.decontamination import decontaminate
 from tablelab.llm.exact_dedup import exact_dedup
+from tablelab.llm.hyperplane_tree import hard_negatives
 from tablelab.llm.minmax import near_duplicates
 from tablelab.llm.mixing import mix
 from tablelab.llm.pii import KINDS, find_pii, fit_pii
@@ -16,6 +17,7 @@ from tablelab.llm.sampling import fold_of
 from tablelab.llm.toxicity import fit_toxicity, score_toxicity
 from tablelab.llm.units import repeated_spans
 from tablelab.llm.url_lists import active_entries, host, path
+from tablelab.llm.vector_codes import ENTRIES, PARTS, ROUNDS, books_digest, vector_codes, with_label_error
 
 
 @query("op1_toxicity")
@@ -185,3 +187,58 @@ def _(table):
     pages = table("pages").select("page_id", "url", text_of(F.col("html")).alias("text"))
     clean = drop_site_lines(pages, host_of(F.col("url")), "text")
     return clean.select("page_id", "site", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+_SOUND_SQL = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def vector_codes_sql(parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> str:
+    """The rounds one after the other; a distance and an entry's index are one number, so that its minimum has the lower index."""
+    width = f"(len(v) // {parts})"
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)) AS v FROM embeddings WHERE {_SOUND_SQL}),
+p AS MATERIALIZED (
+  SELECT vec_id, label, part, list_slice(v, part * {width} + 1, (part + 1) * {width}) AS x FROM (SELECT *, unnest(range({parts})) AS part FROM kept)),
+b0 AS MATERIALIZED (
+  SELECT part, entry, x AS e FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id, x) - 1 AS entry FROM p) WHERE entry < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, label, p.part, x, min((list_dot_product(x, x) - 2 * list_dot_product(x, e) + list_dot_product(e, e))::BIGINT * {entries} + entry) AS m
+  FROM p JOIN b{r} ON p.part = b{r}.part GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT part, entry, list(v ORDER BY j) AS e FROM (
+  SELECT part, m % {entries} AS entry, j, floor(sum(c) / count(*)) AS v FROM (SELECT part, m, unnest(x) AS c, unnest(range(len(x))) AS j FROM a{r}) GROUP BY ALL) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(s.e, b.e) AS e FROM b{r} b LEFT JOIN s{r} s USING (part, entry))""")
+    return ",".join(steps) + f""",
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY ALL),
+books AS (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY part, entry, j)) AS d FROM (SELECT part, entry, unnest(e) AS c, unnest(range(len(e))) AS j FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, d AS codebooks_sha256 FROM coded, books"""
+
+
+@query("op11_vector_codes", vector_codes_sql())
+def _(table):
+    coded, books = vector_codes(table("embeddings"))
+    return with_label_error(coded).select(F.col("key").alias("vec_id"), "code", "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+HARD_NEGATIVES_SQL = f"""
+WITH k AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_SOUND_SQL}),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s
+  FROM k a JOIN k b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (
+  SELECT p.a, p.b, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.s <= 100 * s.s AND s.s <= p.s)
+SELECT a AS anchor_id, b AS positive_id, rank::INT AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 5"""
+
+
+@query("op12_hard_negatives", HARD_NEGATIVES_SQL)
+def _(table):
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table("embeddings").withColumn("label", changed), F.col("id") % 100 == 0)

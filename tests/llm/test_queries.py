@@ -16,7 +16,7 @@ def duck(folder):
 
 def test_registered():
     assert set(corpus.QUERIES) | {"pipeline"} <= set(entry_module.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in corpus.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in corpus.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(corpus.SQL))
