@@ -8,6 +8,7 @@ from tablelab.llm.boilerplate import drop_site_lines, host_of, text_of
 from tablelab.llm.decontamination import decontaminate
 from tablelab.llm.exact_dedup import exact_dedup
 from tablelab.llm.hyperplane_tree import hard_negatives
+from tablelab.llm.log_bilinear import score_texts
 from tablelab.llm.minmax import near_duplicates
 from tablelab.llm.mixing import mix
 from tablelab.llm.pii import KINDS, find_pii, fit_pii
@@ -242,3 +243,10 @@ SELECT a AS anchor_id, b AS positive_id, rank::INT AS rank, n AS negative_id, ps
 def _(table):
     changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table("embeddings").withColumn("label", changed), F.col("id") % 100 == 0)
+
+
+@query("op13_log_bilinear_scores")
+def _(table):
+    scored = score_texts(table("documents"), training=fold_of(F.col("id"), 7) != 2)
+    return scored.select(
+        F.col("id").alias("doc_id"), (fold_of(F.col("id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
