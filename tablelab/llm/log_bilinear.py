@@ -11,8 +11,9 @@ exp(score) of all pairs of contexts are one product of matrices, exp(A) diag(exp
 normalised at the cost of look-ups.
 
 The model's vocabulary is the most frequent tokens and one class for all others. Within that class a token's share is its
-smoothed count, looked up by a join, so probabilities of all tokens seen in training and of one unseen one sum to 1
-whatever the size of the vocabulary. Counts are taken over all training documents.
+smoothed count, so probabilities of all tokens seen in training and of one unseen one sum to 1 whatever the size of the
+vocabulary. Counts are taken over all training documents; those of a bounded number of frequent words go to every
+task, the others are looked up by a join, in which no word can be frequent.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from tablelab.session import checkpointed
 
 #: Tokens of the model's vocabulary, the class of all others included; bytes of the longest word in it; length of the vectors.
 VOCABULARY, LONGEST, SIZE = 2048, 64, 32
+#: Frequent words whose counts every task has.
+LOOKED = 1 << 17
 #: Rounds that share the training documents out, tokens of a step, noise tokens of a step, and the rate of a step.
-ROUNDS, STEP, NOISE, RATE = 2, 8192, 64, 0.1
+ROUNDS, STEP, NOISE, RATE = 2, 2048, 64, 0.1
 #: The class of rare tokens, and the token that ends a text. Contexts also have a start, after the last token.
 RARE, END = 0, 1
 #: Texts that are gone through at a time.
@@ -65,19 +68,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """Frequent tokens by id, from 1: the end and words by their hashes, sorted, with the id of each; counts by id; totals of all tokens."""
+    """Frequent words by their hashes, sorted, with the id and the count of each; counts by id, the end's and all rare ones' too; totals of all tokens."""
 
     hashes: np.ndarray
-    ids: np.ndarray
+    ids: np.ndarray  # RARE beyond the model's vocabulary
+    times: np.ndarray
     counts: np.ndarray  # at 0: all rare tokens
     tokens: int  # N
     types: int  # V
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The id and the count of each word; a count of 0 where it isn't known."""
         if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ids[at], RARE)
+        same = self.hashes[at] == hashes
+        return np.where(same, self.ids[at], RARE), np.where(same, self.times[at], 0)
 
     def shares(self) -> np.ndarray:
         """Smoothed probabilities by id; those of all rare tokens and an unseen one are in the first."""
@@ -98,28 +104,31 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(f"`{text}`")).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY, longest: int = LONGEST) -> Vocabulary:
-    """The end and the most frequent words, at most ``size`` - 1, ties by the word."""
+def vocabulary(counts: DataFrame, size: int = VOCABULARY, longest: int = LONGEST, looked: int = LOOKED) -> Vocabulary:
+    """The end and the most frequent words, at most ``size`` - 1 with an id and ``looked`` in all, ties by the word."""
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = int(total["n"] or 0), int(total["v"])
     ends = counts.filter(F.col("word") == END_WORD).collect()
     short = counts.filter((F.col("word") != END_WORD) & (F.octet_length("word") <= longest))
-    top = short.orderBy(F.desc("n"), "word").limit(max(size - 2, 0)).collect() if ends else []  # bounded
-    known = np.array([r["n"] for r in ends + top], np.int64)
-    hashes = hash_of([r["word"] for r in top])
+    most = max(size - 2, 0)
+    top = short.orderBy(F.desc("n"), "word").limit(max(most, looked) if ends else 0).toPandas()  # bounded
+    times = top["n"].to_numpy(np.int64)
+    known = np.concatenate([[r["n"] for r in ends], times[:most]]).astype(np.int64)
+    hashes, ids = hash_of(top["word"].tolist()), np.arange(len(top)) + END + 1
+    ids[most:] = RARE
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], order + END + 1, np.concatenate([[tokens - known.sum()], known]).astype(np.int64), tokens, types)
+    return Vocabulary(hashes[order], ids[order], times[order], np.concatenate([[tokens - known.sum()], known]), tokens, types)
 
 
 def _encoded(v: Vocabulary):
-    """Rows (row, training, text) to token ids and the distinct rare words with their numbers."""
+    """Rows (row, training, text) to token ids; of rare words with known counts their number and the sum of log10(c + 1); the others, distinct, with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in W.chunks(batch.column(2)):
                 n = len(offsets) - 1
                 w = W.words(data, offsets, W.IN_SPACED_WORD)
-                ids = v.of(w.hashes)
+                ids, times = v.of(w.hashes)
                 per_text = np.bincount(w.text, minlength=n) if len(w.text) else np.zeros(n, np.int64)
                 # The end goes behind the words of each text.
                 upto = np.cumsum(per_text)
@@ -127,7 +136,9 @@ def _encoded(v: Vocabulary):
                 cuts = (upto + np.arange(1, n + 1)) * 2
                 coded = pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), n, [None, pa.py_buffer(np.concatenate([[0], cuts]).astype(np.int64).tobytes()), pa.py_buffer(tokens.tobytes())]).cast(pa.binary())
-                rare = np.flatnonzero(ids == RARE)
+                near = np.flatnonzero((ids == RARE) & (times > 0))
+                number, logs = np.bincount(w.text[near], minlength=n), np.bincount(w.text[near], np.log10(times[near] + 1.0), n)
+                rare = np.flatnonzero(times == 0)
                 order = rare[np.lexsort((w.hashes[rare], w.text[rare]))]
                 new = np.ones(len(order), bool)
                 new[1:] = (w.hashes[order][1:] != w.hashes[order][:-1]) | (w.text[order][1:] != w.text[order][:-1])
@@ -138,7 +149,8 @@ def _encoded(v: Vocabulary):
                 words = pa.ListArray.from_arrays(pa.array(bounds), _strings(w, chosen).cast(pa.string()))
                 counts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(numbers, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), coded, words, counts], ["id", "training", "tokens", "rare", "times"])
+                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), coded, pa.array(number, pa.int64()), pa.array(logs, pa.float64()), words, counts],
+                    ["id", "training", "tokens", "near", "logs", "rare", "times"])
 
     return run
 
@@ -191,11 +203,13 @@ def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts).astype(np.int64), np.cumsum([len(p) for p in parts])
 
 
-def _added(rows: np.ndarray, values: np.ndarray, into: np.ndarray) -> None:
-    """Sums of the values of each row, added in place."""
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct row numbers and the sum of the values of each."""
+    rows = rows.astype(np.uint16)  # sorted by digits
     order = np.argsort(rows, kind="stable")
-    found, at = np.unique(rows[order], return_index=True)
-    into[found] += np.add.reduceat(values[order], at, axis=0)
+    ordered = rows[order]
+    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[at], np.add.reduceat(values[order], at, axis=0)
 
 
 class Trainer:
@@ -203,30 +217,33 @@ class Trainer:
 
     def __init__(self, model: Model, shares: np.ndarray, noise: int = NOISE, rate: float = RATE, seed: int = 0):
         self.m = Model(model.contexts.copy(), model.tokens.copy(), model.places.copy(), model.bias.copy())
-        self.parts = {"contexts": self.m.contexts, "tokens": self.m.tokens, "places": self.m.places, "bias": self.m.bias}
-        self.past = {k: np.full_like(p, 1e-2) for k, p in self.parts.items()}
+        self.past = {id(p): np.full_like(p, 1e-2) for p in (self.m.contexts, self.m.tokens, self.m.places, self.m.bias)}
         self.shares, self.noise, self.rate = shares / shares.sum(), noise, rate
         self.offset = (np.log(self.shares) + np.log(noise)).astype(np.float32)
         self.draw = np.random.default_rng(seed)
 
+    def _move(self, p: np.ndarray, rows: np.ndarray | slice, g: np.ndarray) -> None:
+        past = self.past[id(p)]
+        past[rows] += g * g
+        p[rows] += self.rate * g / np.sqrt(past[rows])
+
     def step(self, before: np.ndarray, two_before: np.ndarray, token: np.ndarray) -> None:
         m, n = self.m, len(token)
         drawn = self.draw.choice(len(self.shares), self.noise, p=self.shares)
         r1, r2 = m.contexts[before], m.contexts[two_before]
         predicted = r1 @ m.places[0] + r2 @ m.places[1]
-        true = np.einsum("ij,ij->i", predicted, m.tokens[token]) + m.bias[token] - self.offset[token]
-        false = predicted @ m.tokens[drawn].T + m.bias[drawn] - self.offset[drawn]
-        pull = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32) / n
-        push = (-1 / (1 + np.exp(np.clip(-false, -30, 30)))).astype(np.float32) / n
-        change = pull[:, None] * m.tokens[token] + push @ m.tokens[drawn]
-        g = {k: np.zeros_like(p) for k, p in self.parts.items()}
-        _added(np.concatenate([token, drawn]), np.concatenate([pull[:, None] * predicted, push.T @ predicted]), g["tokens"])
-        _added(np.concatenate([token, drawn]), np.concatenate([pull, push.sum(0)]), g["bias"])
-        g["places"][0], g["places"][1] = r1.T @ change, r2.T @ change
-        _added(np.concatenate([before, two_before]), np.concatenate([change @ m.places[0].T, change @ m.places[1].T]), g["contexts"])
-        for k, p in self.parts.items():
-            self.past[k] += g[k] ** 2
-            p += self.rate * g[k] / np.sqrt(self.past[k])
+        own, other, bias = m.tokens[token], m.tokens[drawn], m.bias - self.offset
+        pull = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", predicted, own) + bias[token], -30, 30))) / n
+        push = -1 / (1 + np.exp(np.clip(predicted @ -other.T - bias[drawn], -30, 30))) / n
+        change = push @ other + pull[:, None] * own
+        tokens = np.concatenate([token, drawn])
+        new = [
+            (m.tokens, *_sums(tokens, np.concatenate([pull[:, None] * predicted, push.T @ predicted]))),
+            (m.bias, *_sums(tokens, np.concatenate([pull, push.sum(0)]))),
+            (m.contexts, *_sums(np.concatenate([before, two_before]), np.concatenate([change @ m.places[0].T, change @ m.places[1].T]))),
+            (m.places, slice(None), np.stack([r1.T @ change, r2.T @ change]))]
+        for p, rows, g in new:
+            self._move(p, rows, g)
 
 
 def _trained(model: Model, shares: np.ndarray, noise: int, rate: float, step: int, seed: int):
@@ -317,8 +334,8 @@ def _scored(model: Model, v: Vocabulary):
     return run
 
 
-def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", size: int = VOCABULARY, longest: int = LONGEST, vector: int = SIZE,
-                rounds: int = ROUNDS, noise: int = NOISE, rate: float = RATE, step: int = STEP) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", size: int = VOCABULARY, longest: int = LONGEST, looked: int = LOOKED,
+                vector: int = SIZE, rounds: int = ROUNDS, noise: int = NOISE, rate: float = RATE, step: int = STEP) -> DataFrame:
     """One row per row of ``docs``: id, training, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; each text ends with one more token. ``training`` chooses,
@@ -330,24 +347,25 @@ def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: st
     body = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
     body = body.select("id", F.coalesce(training, F.lit(False)).alias("training"), "text")
     counts = checkpointed(count_tokens(body.filter("training")))
-    v = vocabulary(counts, size, longest)
+    v = vocabulary(counts, size, longest, looked)
     stored = T.StructType([
         body.schema["id"], T.StructField("training", T.BooleanType()), T.StructField("tokens", T.BinaryType()),
+        T.StructField("near", T.LongType()), T.StructField("logs", T.DoubleType()),
         T.StructField("rare", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
     encoded = checkpointed(body.mapInArrow(_encoded(v), stored).withColumn("number", F.monotonically_increasing_id()))
     model = train(encoded, v, vector, rounds, noise, rate, step)
     plain = checkpointed(encoded.select("number", "tokens").mapInArrow(_scored(model, v), "number long, n_tokens long, n_known long, base double, model double"))
 
-    # Rare words: their counts by a join, then sums for each text.
+    # Counts of the other words by a join, then sums for each text.
     words = encoded.select("number", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("number", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     c = F.coalesce("n", F.lit(0))
-    within = v.shares()[RARE] * (v.tokens + v.types + 1)
-    looked = words.join(counts, "word", "left").groupBy("number").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(v.tokens + v.types + 1)))).alias("more_base"),
-        F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(within)))).alias("more_model"))
-    out = encoded.select("id", "training", "number").join(plain, "number").join(looked, "number", "left")
+    joined = words.join(counts, "word", "left").groupBy("number").agg(
+        F.sum("times").alias("far"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(c + 1)).alias("far_logs"))
+    out = encoded.select("id", "training", "number", "near", "logs").join(plain, "number").join(joined, "number", "left")
     more = lambda n: F.coalesce(n, F.lit(0))
+    others, logs = F.col("near") + more("far"), F.col("logs") + more("far_logs")
+    every = float(v.tokens + v.types + 1)
+    share = lambda total: logs - others * F.lit(float(np.log10(total)))
     return out.select(
-        "id", "training", "n_tokens", (F.col("n_known") + more("known")).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more("more_base")).alias("base_score"), (F.col("model") + more("more_model")).alias("score"))
+        "id", "training", "n_tokens", (F.col("n_known") + F.col("near") + more("known")).alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + share(every)).alias("base_score"), (F.col("model") + share(v.shares()[RARE] * every)).alias("score"))

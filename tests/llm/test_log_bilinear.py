@@ -28,10 +28,11 @@ def base_of(rows, training):
     return [(len(ts), sum(counts[t] > 0 for t in ts), n, sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in ts)) for ts in map(tokens_of, [t for _, t in rows])]
 
 
-def test_counts_and_base_scores(spark, documents):
+@pytest.mark.parametrize("looked", [0, 20, 1000])
+def test_counts_and_base_scores(spark, documents, looked):
     rows = [(i, f"the Cat {i % 7} sat\ton the ÄMat-{i}\x0bthe end") for i in range(60)]
     rows += [(60, None), (61, ""), (62, " \n "), (63, "long " * 20_000 + "x" * 5_000), (64, "unheard-of words"), (None, "the cat"), (5, "repeated key"), (65, "x" * 5_000)]
-    got = L.score_texts(documents(rows), F.col("id") % 3 != 0, size=12, step=64).collect()
+    got = L.score_texts(documents(rows), F.col("id") % 3 != 0, size=12, step=64, looked=looked).collect()
     want = base_of(rows, lambda k: k is not None and k % 3 != 0)
     key = lambda r: (r[0] is None, r[0] or 0, r[1], round(r[-1], 6))
     a = sorted([(r.id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got], key=key)
@@ -63,7 +64,7 @@ def test_probabilities_are_normalised(documents):
 def test_rare_words_share_their_class(documents):
     """An untrained model gives every token its smoothed share, in the vocabulary or not; so score and base score agree."""
     rows = [(i, f"w{i % 9} w{i % 4} common") for i in range(30)] + [(30, "new words only")]
-    got = L.score_texts(documents(rows), F.col("id") < 25, size=5, rounds=0, vector=1).collect()
+    got = L.score_texts(documents(rows), F.col("id") < 25, size=5, looked=8, rounds=0, vector=1).collect()
     flat = L.Model.start(L.vocabulary(L.count_tokens(documents(rows[:25])), 5), 1)
     assert np.abs(flat.tokens).max() < 0.5
     for r in got:
@@ -73,7 +74,7 @@ def test_rare_words_share_their_class(documents):
 def test_gradient_step_is_the_derivative():
     """One step changes the parameters along the derivative of the noise-contrastive objective."""
     draw = np.random.default_rng(2)
-    v = L.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.array([3, 4, 5, 6]), 18, 4)
+    v = L.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([3, 4, 5, 6]), 18, 4)
     model = L.Model(*(draw.normal(size=s).astype(np.float64) for s in ((5, 3), (4, 3), (2, 3, 3), (4,))))
     before, two, token = np.array([0, 4, 2]), np.array([4, 4, 1]), np.array([1, 2, 2])
     trainer = L.Trainer(model, v.shares(), noise=6, rate=1e-3, seed=9)
