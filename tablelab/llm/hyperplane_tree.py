@@ -10,7 +10,8 @@ rows of every sibling subtree, over all rows. A search drops a subtree if, seen
 doesn't meet what the annulus allows; the leaves that are left are compared exactly, in whole numbers. A first round
 visits one leaf for each query, which raises the lower score of its window; a second one visits all leaves that remain.
 
-Leaves are stored in blocks of rows and queries in chunks, so a leaf that holds a third of the rows is many tasks.
+Leaves are stored in blocks of rows and queries in chunks of near ones; a chunk meets the blocks of all leaves that one of
+its queries can't leave out. So a leaf that holds a third of the rows is many tasks, and vectors travel once for a chunk.
 """
 
 from __future__ import annotations
@@ -179,13 +180,13 @@ def _ranges(tree: Tree, size: int):
     return run
 
 
-def _packed(names: list[str], most: int):
-    """Runs of rows of one leaf, at most ``most`` each, as one row: the leaf and a list for every other column."""
+def _packed(names: list[str], most: int, apart: bool):
+    """Rows ordered by leaf, at most ``most`` as one row with a list for each column; ``apart`` keeps leaves in rows of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.diff(leaf)) + 1
+            edges = np.flatnonzero(np.diff(leaf)) + 1 if apart else []
             cuts = np.unique(np.concatenate([[0, len(leaf)], edges, np.arange(0, len(leaf), most)])).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cuts), batch.column(i)) for i in range(1, len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cuts[:-1])), *lists], names)
@@ -193,42 +194,49 @@ def _packed(names: list[str], most: int):
     return run
 
 
-def _pack(rows: DataFrame, most: int, tasks: int) -> DataFrame:
-    """``rows`` (leaf, ...) packed by leaf. A leaf is dealt to many tasks by the hash of a row, so none has a whole large one."""
-    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "v"]), F.lit(max(tasks, 1)))
-    dealt = rows.withColumn("salt", salt).repartition(max(tasks, 1), "salt").drop("salt").sortWithinPartitions("leaf")
+def _pack(rows: DataFrame, most: int, apart: bool = True) -> DataFrame:
+    """``rows`` (leaf, id, ...) packed by leaf and numbered. A leaf is dealt to many tasks by the hash of the id, so none has a whole large one."""
+    tasks = max(1, -(-rows.count() // (16 * most)))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(tasks))).repartition(tasks, "salt").drop("salt").sortWithinPartitions("leaf")
     schema = T.StructType([rows.schema["leaf"], *(T.StructField(f.name, T.ArrayType(f.dataType)) for f in rows.schema.fields if f.name != "leaf")])
-    return checkpointed(dealt.mapInArrow(_packed(rows.columns, most), schema).withColumn("number", F.monotonically_increasing_id()))
+    return checkpointed(dealt.mapInArrow(_packed(rows.columns, most, apart), schema).withColumn("number", F.monotonically_increasing_id()))
 
 
-QUERY = "anchor long, positive long, label long, v binary, low long, high long"
-HIT = "anchor long, positive long, id long, hit_label long, score long"
+WINDOWS = "array<struct<positive: long, low: long, high: long>>"
+HIT = "anchor long, positive long, id long, score long"
 
 
-def _met(tree: Tree, size: int):
-    """The leaves of each query's annulus."""
+def _home(tree: Tree, size: int):
+    """Rows (id, label, v, windows) with the leaf that they themselves would go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = _vectors(batch.column(3), size)
-            low, high = (batch.column(i).to_numpy().astype(np.float64) for i in (4, 5))
-            base = (q**2).sum(1) + tree.top
-            near, far = np.sqrt(np.maximum(base - 2 * high, 0.0)), np.sqrt(np.maximum(base - 2 * low, 0.0))
-            rows, leaf = leaves_met(tree, np.concatenate([q, np.zeros((len(q), 1))], axis=1), near, far)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), *(c.take(pa.array(rows)) for c in batch.columns)], ["leaf", *batch.schema.names])
+            leaf = leaf_of(tree, lifted(_vectors(batch.column(2), size), tree.top))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), *batch.columns], ["leaf", *batch.schema.names])
 
     return run
 
 
-def _home(tree: Tree, size: int):
-    """The leaf that a query itself would go to."""
+def _opened(windows: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """A list of windows for each query as one row for each: the query's place, positive, low and high."""
+    flat = windows.flatten()
+    at = np.repeat(np.arange(len(windows)), np.diff(windows.offsets.to_numpy()))
+    low, high = (flat.field(n).to_numpy().astype(np.float64) for n in ("low", "high"))
+    return at, flat.field("positive"), low, high
+
+
+def _met(tree: Tree, size: int):
+    """Chunks (number, v, windows) to the leaves that some window of theirs meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = lifted(_vectors(batch.column(3), size), tree.top)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf_of(tree, q), pa.int64()), *batch.columns], ["leaf", *batch.schema.names])
+            for i in range(batch.num_rows):
+                q = _vectors(batch.column(1)[i].values, size)
+                at, _, low, high = _opened(batch.column(2)[i].values)
+                base = ((q**2).sum(1) + tree.top)[at]
+                near, far = np.sqrt(np.maximum(base - 2 * high, 0.0)), np.sqrt(np.maximum(base - 2 * low, 0.0))
+                leaf = np.unique(leaves_met(tree, np.concatenate([q, np.zeros((len(q), 1))], axis=1)[at], near, far)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), batch.column(0)[i].as_py()), pa.int64()), pa.array(leaf, pa.int64())], ["chunk", "leaf"])
 
     return run
 
@@ -251,17 +259,17 @@ def _compared(size: int, same: bool, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                q = {n: batch.column(batch.schema.names.index(n))[i].values for n in ("anchor", "positive", "label", "v", "low", "high", "ids", "labels", "vs")}
-                n = {k: v.to_numpy(zero_copy_only=False) for k, v in q.items() if k not in ("v", "vs", "positive")}
-                scores = _vectors(q["v"], size) @ _vectors(q["vs"], size).T  # whole numbers below 2^53
-                equal = n["label"][:, None] == n["labels"][None, :]
-                able = (equal if same else ~equal) & (n["anchor"][:, None] != n["ids"][None, :])
-                able &= (scores >= n["low"][:, None]) & (scores <= n["high"][:, None])
-                query, row = best_hits(scores, n["ids"], able, most)
-                at, hit = pa.array(query), pa.array(row)
+                anchor, label, v, windows, ids, labels, vs = (c[i].values for c in batch.columns)
+                mine, theirs = anchor.to_numpy(), ids.to_numpy()
+                scores = _vectors(v, size) @ _vectors(vs, size).T  # whole numbers below 2^53
+                equal = label.to_numpy()[:, None] == labels.to_numpy()[None, :]
+                able = (equal if same else ~equal) & (mine[:, None] != theirs[None, :])
+                at, positive, low, high = _opened(windows)
+                scores = scores[at]
+                query, row = best_hits(scores, theirs, able[at] & (scores >= low[:, None]) & (scores <= high[:, None]), most)
                 yield pa.RecordBatch.from_arrays(
-                    [q["anchor"].take(at), q["positive"].take(at), q["ids"].take(hit), q["labels"].take(hit), pa.array(scores[query, row].astype(np.int64))],
-                    ["anchor", "positive", "id", "hit_label", "score"])
+                    [pa.array(mine[at[query]]), positive.take(pa.array(query)), pa.array(theirs[row]), pa.array(scores[query, row].astype(np.int64))],
+                    ["anchor", "positive", "id", "score"])
 
     return run
 
@@ -280,30 +288,39 @@ class Index:
             found[r["node"]][r["i"], r["j"]] = r["low"], r["high"]
         self.tree.ranges = found
         placed = rows.mapInArrow(_placed(self.tree, size), "leaf long, id long, label long, v binary")
-        tasks = -(-rows.count() // (16 * block))
-        blocks = _pack(placed, block, tasks)
-        self.blocks = blocks.select(F.col("leaf").alias("in_leaf"), F.col("id").alias("ids"), F.col("label").alias("labels"), F.col("v").alias("vs"), "number")
-
-    def visit(self, visits: DataFrame, same: bool, most: int, chunk: int = CHUNK) -> DataFrame:
-        """The best hits of every query in the leaves it visits: ``visits`` are (leaf, the columns of a query)."""
-        chunks = _pack(visits, chunk, -(-visits.count() // (64 * chunk)))
-        # The blocks of a leaf are listed for each chunk first; vectors meet by block, so a large leaf is spread.
-        pairs = chunks.withColumnRenamed("number", "chunk").join(self.blocks.select("in_leaf", F.col("number").alias("block")), F.col("leaf") == F.col("in_leaf"))
-        met = pairs.drop("in_leaf", "leaf").join(self.blocks, F.col("block") == F.col("number")).drop("in_leaf", "block", "number", "chunk")
-        hits = met.mapInArrow(_compared(self.size, same, most), HIT)
-        order = Window.partitionBy("anchor", "positive").orderBy(F.desc("score"), "id")  # ``most`` rows from each block a query visits
+        blocks = _pack(placed, block)
+        self.blocks = blocks.select("leaf", F.col("number").alias("block"), F.col("id").alias("ids"), F.col("label").alias("labels"), F.col("v").alias("vs"))
+
+    def visit(self, chunks: DataFrame, pairs: DataFrame, same: bool, most: int) -> DataFrame:
+        """The best hits of every window of ``chunks`` in the leaves of ``pairs`` (chunk, leaf)."""
+        # Numbers of blocks first; vectors meet by block, so a large leaf is spread.
+        met = pairs.join(self.blocks.select("leaf", "block"), "leaf").select("chunk", "block")
+        asked = chunks.select(F.col("number").alias("chunk"), F.col("id").alias("anchor"), "label", "v", "windows")
+        both = met.join(self.blocks.drop("leaf"), "block").join(asked, "chunk").select("anchor", "label", "v", "windows", "ids", "labels", "vs")
+        hits = both.mapInArrow(_compared(self.size, same, most), HIT)
+        order = Window.partitionBy("anchor", "positive").orderBy(F.desc("score"), "id")  # ``most`` rows from each block a window meets
         return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
-    def search(self, queries: DataFrame, same: bool, most: int) -> DataFrame:
-        """The ``most`` best rows of every query among those of the same label or of others, within its window of scores."""
-        schema = f"leaf long, {QUERY}"
-        queries = checkpointed(queries)
-        first = self.visit(queries.mapInArrow(_home(self.tree, self.size), schema), same, most)
-        # A query with enough hits needs no score below the last one; an equal one may have a smaller id.
+    def _chunks(self, queries: DataFrame, windows: DataFrame, apart: bool) -> DataFrame:
+        listed = windows.groupBy("anchor").agg(F.collect_list(F.struct("positive", "low", "high")).cast(WINDOWS).alias("windows"))  # one for each positive
+        asked = queries.join(listed, F.col("id") == F.col("anchor")).select("id", "label", "v", "windows")
+        return _pack(asked.mapInArrow(_home(self.tree, self.size), f"leaf long, id long, label long, v binary, windows {WINDOWS}"), CHUNK, apart)
+
+    def search(self, queries: DataFrame, windows: DataFrame, same: bool, most: int) -> DataFrame:
+        """The ``most`` best rows for each window among those of the same label or of others: anchor, positive, id, score, rank.
+
+        ``queries`` are rows of the index, ``windows`` (anchor, positive, low, high) a few for each.
+        """
+        windows = checkpointed(windows)
+        chunks = self._chunks(queries, windows, True)
+        first = self.visit(chunks, chunks.select(F.col("number").alias("chunk"), "leaf"), same, most)
+        # A window with enough hits needs no score below the last one; an equal one may have a smaller id.
         floor = first.groupBy(F.col("anchor").alias("a"), F.col("positive").alias("p")).agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-        raised = queries.join(floor, (F.col("anchor") == F.col("a")) & F.col("positive").eqNullSafe(F.col("p")), "left").select(
-            "anchor", "positive", "label", "v", F.when(F.col("n") >= most, F.greatest("low", "least")).otherwise(F.col("low")).alias("low"), "high")
-        return checkpointed(self.visit(checkpointed(raised.mapInArrow(_met(self.tree, self.size), schema)), same, most))
+        raised = windows.join(floor, (F.col("anchor") == F.col("a")) & F.col("positive").eqNullSafe(F.col("p")), "left").select(
+            "anchor", "positive", F.when(F.col("n") >= most, F.greatest("low", "least")).otherwise(F.col("low")).alias("low"), "high")
+        chunks = self._chunks(queries, checkpointed(raised), False)
+        pairs = chunks.select("number", "v", "windows").mapInArrow(_met(self.tree, self.size), "chunk long, leaf long")
+        return checkpointed(self.visit(chunks, pairs, same, most))
 
 
 def hard_negatives(df: DataFrame, anchors: Column, key: str = "vec_id", vector: str = "embedding", label: str = "label", scale: int = SCALE,
@@ -332,14 +349,14 @@ def hard_negatives(df: DataFrame, anchors: Column, key: str = "vec_id", vector:
     if top >= 1 << 52:
         raise ValueError("scores of these vectors reach 2^52")
     index = Index(whole.drop("length"), size, top, sample, splits, leaf, block)
-    chosen = whole.filter(anchors)
+    chosen = whole.filter(anchors).select("id", "label", "v")
     # No score is beyond the largest squared length.
-    asked = chosen.select(F.col("id").alias("anchor"), F.lit(None).cast("long").alias("positive"), "label", "v", F.lit(-top).cast("long").alias("low"), F.lit(top).cast("long").alias("high"))
-    found = index.search(asked, True, positives)
+    asked = chosen.select(F.col("id").alias("anchor"), F.lit(None).cast("long").alias("positive"), F.lit(-top).cast("long").alias("low"), F.lit(top).cast("long").alias("high"))
+    found = index.search(chosen, asked, True, positives)
     pairs = found.select("anchor", F.col("id").alias("positive"), F.col("score").alias("high"))
     # A negative score of the positive leaves no window.
-    windows = pairs.filter("high >= 0").join(chosen.select(F.col("id").alias("anchor"), "label", "v"), "anchor").withColumn("low", F.expr(f"({percent} * high + 99) div 100"))
-    hits = index.search(windows.filter("low <= high").select("anchor", "positive", "label", "v", "low", "high"), False, negatives)
+    windows = pairs.filter("high >= 0").select("anchor", "positive", F.expr(f"({percent} * high + 99) div 100").alias("low"), "high").filter("low <= high")
+    hits = index.search(chosen, windows, False, negatives)
     return hits.join(pairs.withColumnRenamed("high", "best"), ["anchor", "positive"]).select(
         F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"),
         F.col("best").alias("positive_score"), F.col("score").alias("negative_score"))
