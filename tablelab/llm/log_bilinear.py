@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,8 +111,20 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY, longest: int = LONGEST
     tokens, types = int(total["n"] or 0), int(total["v"])
     ends = counts.filter(F.col("word") == END_WORD).collect()
     short = counts.filter((F.col("word") != END_WORD) & (F.octet_length("word") <= longest))
-    most = max(size - 2, 0)
-    top = short.orderBy(F.desc("n"), "word").limit(max(most, looked) if ends else 0).toPandas()  # bounded
+    most = max(size - 2, 0) if ends else 0
+    # Words are chosen by how often they occur, in steps of a twelfth, so that no task returns more than the bound.
+    step = F.floor(F.log2("n") * 8).cast("int")
+    left, least = max(most, looked) if ends else 0, 1 << 30
+    for r in sorted(short.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):  # at most 8 x 63 rows
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    top = short.filter(step >= least).toPandas()
+    if len(top) < most:  # so many words of one step that none of them are among the above
+        more = short.filter(step < least).orderBy(F.desc("n"), "word").limit(most - len(top)).toPandas()
+        top = pd.concat([top, more])
+    top = top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     times = top["n"].to_numpy(np.int64)
     known = np.concatenate([[r["n"] for r in ends], times[:most]]).astype(np.int64)
     hashes, ids = hash_of(top["word"].tolist()), np.arange(len(top)) + END + 1
