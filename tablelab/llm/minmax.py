@@ -7,20 +7,24 @@ buckets, whatever their size:
 1. Texts with equal shingle sets are one class; only classes go on.
 2. Each bucket has one pivot, the member that shares most buckets with others. All members are compared to it on full
    sets. Pairs that both link to the pivot need no further look, as they are connected.
-3. Pairs of a bucket with a member that its pivot didn't link ("strays") are found exactly without listing pairs: a member is
-   described by its difference to the pivot, and two members can only link if these differences overlap in over half
-   of the smaller bound below; so a prefix of each difference, new shingles first, must share a shingle. These few
-   candidates are again compared on full sets.
+3. Pairs of a bucket with a member that its pivot didn't link ("strays") are found exactly without listing all pairs: a member
+   is described by its difference to the pivot, and two members can only link if these differences overlap in over half
+   of the smaller bound below; so a prefix of each difference must share a shingle. Shingles are ordered by how many
+   members of the pivot have them, rarest first; those that can't belong to such a pair come before all others. Members that
+   share a prefix shingle are candidates if they are few, and again compared on full sets. If they are many, they
+   are a bucket of their own, which gets a pivot and goes through steps 2 and 3 again; it is smaller, as its pivot
+   leaves it.
 4. Connected components over the confirmed links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelab.llm import words as W
@@ -31,6 +35,8 @@ from tablelab.session import checkpointed
 SHINGLE, PERCENT = 5, 80
 #: Values of a band. At a similarity of 0.8 two texts share a band with probability 0.8 ** 8 = 0.168, so 63 bands miss one link in 1e5; at 0.85, 37 do.
 ROWS = 8
+#: Members up to which those that share a prefix shingle are compared with each other.
+FEW = 32
 #: Probability at which a link right at the bound may share no band.
 MISS = 1e-5
 
@@ -137,43 +143,99 @@ def long_bound(nx: int, d: int, percent: int) -> int:
     return max(1, d - largest)
 
 
-def _compare(shingle: int, percent: int, prefixes: bool):
-    """For rows (a, a_text, b, b_text): sizes, common shingles, link; with ``prefixes`` what step 3 needs, for a pivot a and member b."""
+def _compare(shingle: int, percent: int, differences: bool):
+    """For rows (g, a, a_text, b, b_text): sizes, link; with ``differences`` what step 3 needs, for a pivot a and member b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _Sets(shingle)
         for batch in batches:
-            ids_a, ids_b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            out, heads, half = [], [], []
+            ids_a, ids_b = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            out, own = [], []
             for i, (a, b) in enumerate(zip(ids_a, ids_b)):
-                x, y = sets.of(a, batch.column(1)[i].as_py()), sets.of(b, batch.column(3)[i].as_py())
+                x, y = sets.of(a, batch.column(2)[i].as_py()), sets.of(b, batch.column(4)[i].as_py())
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 link = 100 * common >= percent * (len(x) + len(y) - common)
                 d = len(x) + len(y) - 2 * common
-                out.append((len(x), len(y), common, link, d))
-                if prefixes:
-                    own = np.concatenate([np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)])
-                    short = d - difference_bound(len(y), len(x), d, percent) + 1
-                    half.append(short)
-                    heads.append(own[: short if link else max(short, d - long_bound(len(y), d, percent) + 1)].view(np.int64))
+                short = d - difference_bound(len(y), len(x), d, percent) + 1
+                out.append((len(y), link, d, short, short if link else max(short, d - long_bound(len(y), d, percent) + 1)))
+                if differences:
+                    own.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
             cols = list(zip(*out)) or [()] * 5
-            arrays = [batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())))]
-            names = ["a", "b", "na", "nb", "common", "link", "d"]
-            if prefixes:
-                arrays += [pa.array(half, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
-                names += ["half", "head"]
+            arrays = [batch.column(0), batch.column(1), batch.column(3), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())))]
+            names = ["g", "a", "b", "n", "link", "d", "half", "keep"]
+            if differences:
+                arrays.append(pa.array(own, pa.list_(pa.int64())))
+                names.append("own")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
+COMPARED = "g long, a long, b long, n long, link boolean, d long, half long, keep long"
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "a_text", "b", "b_text")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("g", "a", "a_text", "b", "b_text")
+
+
+def _heads(compared: DataFrame) -> DataFrame:
+    """(g, x, e, n, d, link, half, j): the prefix of each member's difference in groups with a stray, without shingles that no such pair has."""
+    loose = compared.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("link").alias("all")).filter((F.col("m") > 1) & ~F.col("all")).select("g")
+    elements = compared.join(checkpointed(loose), "g", "left_semi").select("g", F.col("b").alias("x"), "n", "d", "link", "half", "keep", F.explode("own").alias("e"))
+    shared = elements.groupBy("g", "e").agg(F.count(F.lit(1)).alias("c"), F.min("link").alias("all")).filter((F.col("c") > 1) & ~F.col("all")).drop("all")
+    rarest = Window.partitionBy("g", "x").orderBy("c", "e")  # shingles of one text
+    last = F.count(F.lit(1)).over(Window.partitionBy("g", "x"))
+    placed = elements.join(shared, ["g", "e"]).withColumn("j", F.col("d") - last + F.row_number().over(rarest) - 1)
+    return placed.filter(F.col("j") < F.col("keep")).select("g", "x", "e", "n", "d", "link", "half", "j")
+
+
+def _candidates(heads: DataFrame, few: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a prefix shingle of ``few`` and whose sizes and places allow a link."""
+    heads = heads.join(few, ["g", "e"], "left_semi").withColumn("short", F.col("j") < F.col("half"))
+    left, right = heads.filter("short").alias("l"), heads.filter(~F.col("link")).alias("r")
+    smaller, larger = F.least("l.n", "r.n"), F.greatest("l.n", "r.n")
+    allowed = F.floor((F.col("l.n") + F.col("r.n")) * (100 - percent) / (100 + percent))
+    rest = 1 + F.least(F.col("l.d") - F.col("l.j") - 1, F.col("r.d") - F.col("r.j") - 1)
+    able = (
+        (F.col("l.g") == F.col("r.g")) & (F.col("l.e") == F.col("r.e")) & (F.col("l.x") != F.col("r.x"))
+        & (F.col("l.link") | (F.col("r.short") & (F.col("l.x") < F.col("r.x"))))
+        & (100 * smaller >= percent * larger)
+        & (F.abs(F.col("l.d") - F.col("r.d")) <= allowed)
+        & (2 * rest >= F.col("l.d") + F.col("r.d") - allowed))
+    return left.join(right, able).select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b"))
+
+
+def _again(heads: DataFrame, many: DataFrame) -> DataFrame:
+    """Members of each bucket of ``many``, with the pivot that is in most buckets of its group; buckets of one group and pivot are one."""
+    members = heads.join(many, ["g", "e"], "left_semi").select("g", "e", "x")
+    weight = members.groupBy("g", "x").agg(F.count(F.lit(1)).alias("weight"))
+    pivots = members.join(weight, ["g", "x"]).groupBy("g", "e").agg(F.max(F.struct("weight", (-F.col("x")).alias("minus"))).alias("first"))
+    pivots = pivots.select("g", "e", (-F.col("first.minus")).alias("a"))
+    return members.join(pivots, ["g", "e"]).filter(F.col("a") != F.col("x")).select(F.xxhash64("g", "a").alias("g"), "a", F.col("x").alias("b")).distinct()
+
+
+def _links(spokes: DataFrame, texts: DataFrame, shingle: int, percent: int, few: int) -> DataFrame:
+    """Links (a, b) that connect what links of pairs within each group of spokes (g, pivot a, member b) connect."""
+    links, candidates = [], []
+    while True:
+        compared = checkpointed(_with_texts(spokes, texts).mapInArrow(_compare(shingle, percent, True), f"{COMPARED}, own array<long>"))
+        links.append(compared.filter("link").select("a", "b"))
+        heads = checkpointed(_heads(compared))
+        sizes = heads.groupBy("g", "e").agg(F.count(F.lit(1)).alias("size"), F.min("link").alias("all")).filter((F.col("size") > 1) & ~F.col("all"))
+        sizes = checkpointed(sizes.select("g", "e", "size"))
+        candidates.append(checkpointed(_candidates(heads, sizes.filter(F.col("size") <= few), percent).distinct()))
+        many = sizes.filter(F.col("size") > few)
+        if many.isEmpty():
+            break
+        spokes = checkpointed(_again(heads, many))
+    pairs = reduce(DataFrame.unionByName, candidates).distinct().withColumn("g", F.lit(0).cast("long"))
+    confirmed = _with_texts(pairs, texts).mapInArrow(_compare(shingle, percent, False), COMPARED)
+    return reduce(DataFrame.unionByName, links).unionByName(confirmed.filter("link").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-                    rows: int = ROWS, miss: float = MISS) -> DataFrame:
+                    rows: int = ROWS, miss: float = MISS, few: int = FEW) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text with fewer words than a shingle has one
@@ -210,30 +272,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     digests = lent.mapInArrow(_digested(shingle), "set binary, text string")
     texts = checkpointed(digests.join(owners.select("set", "node"), "set").dropDuplicates(["node"]).select("node", "text"))
 
-    compared = checkpointed(_with_texts(spokes, texts).mapInArrow(
-        _compare(shingle, percent, True), "a long, b long, na long, nb long, common long, link boolean, d long, half long, head array<long>"))
-
-    # 3. Strays: members of pivots that have two members or more, at least one of them not linked.
-    loose = checkpointed(compared.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("link").alias("all")).filter((F.col("m") > 1) & ~F.col("all")).select("a"))
-    heads = compared.join(loose, "a", "left_semi").select(
-        "a", F.col("b").alias("x"), F.col("nb").alias("n"), "d", "link", "half", F.posexplode("head").alias("j", "e"))
-    heads = checkpointed(heads.withColumn("short", F.col("j") < F.col("half")))
-    left, right = heads.filter("short").alias("l"), heads.filter(~F.col("link")).alias("r")
-    smaller, larger = F.least("l.n", "r.n"), F.greatest("l.n", "r.n")
-    allowed = F.floor((F.col("l.n") + F.col("r.n")) * (100 - percent) / (100 + percent))
-    rest = 1 + F.least(F.col("l.d") - F.col("l.j") - 1, F.col("r.d") - F.col("r.j") - 1)
-    able = (
-        (F.col("l.a") == F.col("r.a")) & (F.col("l.e") == F.col("r.e")) & (F.col("l.x") != F.col("r.x"))
-        & (F.col("l.link") | (F.col("r.short") & (F.col("l.x") < F.col("r.x"))))
-        & (100 * smaller >= percent * larger)
-        & (F.abs(F.col("l.d") - F.col("r.d")) <= allowed)
-        & (2 * rest >= F.col("l.d") + F.col("r.d") - allowed))
-    candidates = left.join(right, able).select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b")).distinct()
-    confirmed = _with_texts(candidates, texts).mapInArrow(
-        _compare(shingle, percent, False), "a long, b long, na long, nb long, common long, link boolean, d long")
+    # 3. Strays.
+    links = _links(spokes.withColumn("g", F.col("a")), texts, shingle, percent, few)
 
     # 4. Components by node; each takes the smallest document of its classes.
-    links = compared.filter("link").select("a", "b").unionByName(confirmed.filter("link").select("a", "b"))
     roots = checkpointed(components(links))
     names = checkpointed(classes.select("node", "set", "name").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = checkpointed(names.groupBy("root").agg(F.min("name").alias("component")))

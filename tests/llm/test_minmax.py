@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tablelab.llm import minmax
 from tablelab.llm import words as W
 from tablelab.llm.components import components
 from tablelab.llm.minmax import near_duplicates, signatures
@@ -47,8 +48,8 @@ def edited(base, n, draw):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
-def test_clusters_around_the_bound(documents, size, percent):
+@pytest.mark.parametrize("size, percent, few", [(3, 85, 32), (5, 80, 32), (5, 80, 2)])
+def test_clusters_around_the_bound(documents, size, percent, few):
     """Copies with few edits, many of them just below the bound to the cluster's middle but linked to each other."""
     draw = random.Random(size)
     base = " ".join(f"w{draw.randrange(500)}" for _ in range(120))
@@ -56,7 +57,21 @@ def test_clusters_around_the_bound(documents, size, percent):
     far = edited(base, 7, draw)
     rows += [(2000 + i, edited(far, draw.randrange(0, 5), draw)) for i in range(40)]
     draw.shuffle(rows)
-    assert got(documents(rows), shingle=size, percent=percent) == expected(rows, size, percent)
+    assert got(documents(rows), shingle=size, percent=percent, few=few) == expected(rows, size, percent)
+
+
+def test_unlinked_members_of_a_pivot_are_not_all_compared(spark, documents, monkeypatch):
+    """Texts around one base, none linked to another: candidates grow with their number, not with its square."""
+    draw = random.Random(8)
+    base = " ".join(f"w{draw.randrange(5000)}" for _ in range(150))
+    made = []
+    candidates = minmax._candidates
+    monkeypatch.setattr(minmax, "_candidates", lambda *a: made.append(candidates(*a)) or made[-1])
+    for n in (100, 200):
+        rows = [(i, edited(base, draw.randrange(12, 20), draw)) for i in range(n)]
+        made.clear()
+        assert got(documents(rows)) == expected(rows, 5, 80)
+        assert sum(m.count() for m in made) < 10 * n
 
 
 def test_odd_texts(documents):
