@@ -36,7 +36,7 @@ SHINGLE, PERCENT = 5, 80
 #: Values of a band. At a similarity of 0.8 two texts share a band with probability 0.8 ** 8 = 0.168, so 63 bands miss one link in 1e5; at 0.85, 37 do.
 ROWS = 8
 #: Members up to which those that share a prefix shingle are compared with each other.
-FEW = 32
+FEW = 1024
 #: Probability at which a link right at the bound may share no band.
 MISS = 1e-5
 

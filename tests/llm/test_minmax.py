@@ -48,7 +48,7 @@ def edited(base, n, draw):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("size, percent, few", [(3, 85, 32), (5, 80, 32), (5, 80, 2)])
+@pytest.mark.parametrize("size, percent, few", [(3, 85, 1024), (5, 80, 1024), (5, 80, 8)])
 def test_clusters_around_the_bound(documents, size, percent, few):
     """Copies with few edits, many of them just below the bound to the cluster's middle but linked to each other."""
     draw = random.Random(size)
