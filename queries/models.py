@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from queries.base import query, rounded
 from tablelab.functions import texts
-from tablelab.models import automl, custom, ensemble, evaluate, explain, registry, search
+from tablelab.models import automl, boosting, custom, ensemble, evaluate, explain, registry, search
 from tablelab.operators.splits import folds, split
 from tablelab.session import checkpointed
 
@@ -142,6 +142,59 @@ def m10_parts(t):
     return rounded(_fit_and_score(parts(t), ["p_partkey"], "KNN", {"k": 5}, "regression", by=()).select("p_partkey", "prediction"))
 
 
+# --- histogram boosting: the first tree of two levels, derived again from sums over the values of each feature
+
+TREE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _tree_sql(table, features, y, binary, l2=1.0):
+    """Nodes of a depth-two tree (l: path, feature, threshold) over the rows r of a table with gradients g and h."""
+    sums = " UNION ALL ".join(f"SELECT path, {i} AS f, {c} AS x, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {{rows}} GROUP BY path, {c}" for i, c in enumerate(features))
+    score = lambda g, h: f"({g}) * ({g}) / (({h}) + {l2})"
+    split = f"""SELECT path, f, x FROM (SELECT *, sum(g) OVER s AS gl, sum(h) OVER s AS hl, sum(g) OVER a AS ga, sum(h) OVER a AS ha, row_number() OVER (PARTITION BY path, f ORDER BY x DESC) AS last FROM ({sums})
+      WINDOW s AS (PARTITION BY path, f ORDER BY x), a AS (PARTITION BY path, f)) WHERE last > 1
+      QUALIFY row_number() OVER (PARTITION BY path ORDER BY {score('gl', 'hl')} + {score('ga - gl', 'ha - hl')} DESC, f, x) = 1"""
+    side = "path || CASE WHEN CASE f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(features)) + " END <= x THEN 'L' ELSE 'R' END"
+    label = f"({y})::DOUBLE"
+    h = "p * (1 - p)" if binary else "1.0"
+    return f"""WITH m AS (SELECT avg({label}) AS p FROM {table}),
+  r0 AS MATERIALIZED (SELECT '' AS path, {', '.join(features)}, p - {label} AS g, {h} AS h FROM {table}, m), s0 AS MATERIALIZED ({split.format(rows='r0')}),
+  r1 AS MATERIALIZED (SELECT {side} AS path, {', '.join(features)}, g, h FROM r0 JOIN s0 USING (path)), s1 AS MATERIALIZED ({split.format(rows='r1')}),
+  r2 AS MATERIALIZED (SELECT {side} AS path, g, h FROM r1 JOIN s1 USING (path)),
+  nodes AS (SELECT path, count(*)::BIGINT AS rows, -sum(g) / (sum(h) + {l2}) AS score FROM (SELECT path, g, h FROM r0 UNION ALL SELECT path, g, h FROM r1 UNION ALL SELECT path, g, h FROM r2) GROUP BY path),
+  splits AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1)"""
+
+
+NODES_SQL = " SELECT path, ['" + "', '".join(TREE_FEATURES) + "'][f + 1] AS feature, x AS threshold, rows, round(score, 3) + 0.0 AS score FROM nodes LEFT JOIN splits USING (path)"
+
+
+def _first_tree(t, label, problem):
+    d = VectorAssembler(inputCols=TREE_FEATURES, outputCol="features").transform(t.lineitem.select(*TREE_FEATURES, label.cast("double").alias("label")))
+    return boosting.HistBoost(problem=problem, maxIter=1, stepSize=1.0, maxDepth=2, l2=1.0).fit(d), d
+
+
+def _nodes(t, label, problem):
+    model, d = _first_tree(t, label, problem)
+    return rounded(boosting.tree_table(d, model, TREE_FEATURES).select("path", "feature", "threshold", "rows", "score"), 3)
+
+
+@query("m7_first_tree_numbers", _tree_sql("lineitem", TREE_FEATURES, "l_extendedprice", False) + NODES_SQL)
+def m7_numbers(t):
+    return _nodes(t, F.col("l_extendedprice"), "regression")
+
+
+@query("m7_first_tree_classes", _tree_sql("lineitem", TREE_FEATURES, "l_extendedprice > 30000", True) + NODES_SQL)
+def m7_classes(t):
+    return _nodes(t, F.col("l_extendedprice") > 30000, "classification")
+
+
+@query("m7_first_tree_predictions", _tree_sql("lineitem", TREE_FEATURES, "l_extendedprice", False) + """ SELECT round(any_value(score) + any_value(p), 2) AS prediction, count(*)::BIGINT AS n
+  FROM r2 JOIN nodes USING (path), m GROUP BY path""")
+def m7_predictions(t):
+    model, d = _first_tree(t, F.col("l_extendedprice"), "regression")
+    return model.transform(d).groupBy(F.round("prediction", 2).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("m13_least_squares_line", "SELECT l_orderkey, l_linenumber, round(a + b * l_quantity, 2) AS fitted FROM lineitem, (SELECT regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem)")
 def m13_line(t):
     from pyspark.ml.regression import LinearRegression

@@ -12,7 +12,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import Binarizer, MinMaxScaler, StandardScaler
 
-from tablelab.models import custom
+from tablelab.models import boosting, custom
 
 # --- fixed values: parameter grids ---------------------------------------------------------
 CLASS_GRIDS = {
@@ -20,7 +20,7 @@ CLASS_GRIDS = {
     "GradientBoosting": {"maxIter": [50, 100], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 4, 5]},
     "HistGradientBoosting": {"maxIter": [100, 200], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [5, 10]},
     "XGBoost": {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 4, 5, 6], "subsamplingRate": [0.8, 1.0]},
-    "LightGBM": {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [4, 5, 6], "minInstancesPerNode": [10, 20]},
+    "LightGBM": {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.2], "maxLeaves": [15, 31, 63], "minInstancesPerNode": [10, 20]},
     "CatBoost": {"maxIter": [100, 300], "stepSize": [0.05, 0.1], "maxDepth": [4, 6]},
     "LogisticRegression": {"C": [0.01, 0.1, 1.0, 10.0]},
     "LinearSVC": {"C": [0.01, 0.1, 1.0, 10.0]},
@@ -48,11 +48,17 @@ REGRESSION_GRIDS = {
     "GradientBoosting": {"maxIter": [50, 100], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 4, 5]},
     "HistGradientBoosting": {"maxIter": [100, 200], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [5, 10]},
     "XGBoost": {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 4, 5, 6], "subsamplingRate": [0.8, 1.0]},
-    "LightGBM": {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [4, 5, 6]},
+    "LightGBM": {"maxIter": [100, 200, 300], "stepSize": [0.05, 0.1, 0.2], "maxLeaves": [15, 31, 63]},
     "CatBoost": {"maxIter": [100, 300], "stepSize": [0.05, 0.1], "maxDepth": [4, 6]},
 }
 
-BOOSTED = ("GradientBoosting", "HistGradientBoosting", "XGBoost", "LightGBM", "CatBoost")
+# How the families of histogram boosting grow their trees, and the penalties they use unless told otherwise.
+HISTOGRAM = {
+    "HistGradientBoosting": {"growth": "leaf", "maxLeaves": 31, "maxDepth": 10, "minInstancesPerNode": 20, "l2": 0.0},
+    "XGBoost": {"growth": "level", "maxDepth": 6, "l2": 1.0, "minHessian": 1.0},
+    "LightGBM": {"growth": "leaf", "maxLeaves": 31, "maxDepth": 12, "minInstancesPerNode": 20, "minHessian": 1e-3, "l2": 0.0},
+    "CatBoost": {"growth": "symmetric", "maxDepth": 6, "l2": 3.0},
+}
 STANDARD_SCALED = (
     "LogisticRegression", "LinearSVC", "LinearRegression", "Ridge", "RidgeClassifier", "Lasso", "ElasticNet", "BayesianRidge",
     "SGDClassifier", "SGDRegressor", "KNN", "BernoulliNB",
@@ -122,6 +128,10 @@ def _one_vs_rest(base: Estimator, n_classes: int, weight: str | None = None) ->
     return out.setWeightCol(weight) if weight else out
 
 
+def _histogram(name: str, problem: str, weight: dict) -> Callable[[dict], Estimator]:
+    return lambda p: boosting.HistBoost(problem=problem, **{"maxIter": 20, **HISTOGRAM[name], **p}, **weight)
+
+
 def classification_builders(n_classes: int, rows: int, key: Sequence[str], weight: str | None = None) -> dict[str, Callable[[dict], Estimator]]:
     w = {"weightCol": weight} if weight else {}
 
@@ -148,7 +158,7 @@ def classification_builders(n_classes: int, rows: int, key: Sequence[str], weigh
         "MultinomialNB": lambda p: C.NaiveBayes(modelType="multinomial", **p, **w),
         "QDA": lambda p: custom.Qda(**p), "RidgeClassifier": lambda p: custom.RidgeClassifier(**p),
     }
-    return out | {name: boosted for name in BOOSTED}
+    return out | {"GradientBoosting": boosted} | {n: _histogram(n, "classification", w) for n in HISTOGRAM}
 
 
 def regression_builders(rows: int, key: Sequence[str]) -> dict[str, Callable[[dict], Estimator]]:
@@ -163,7 +173,7 @@ def regression_builders(rows: int, key: Sequence[str]) -> dict[str, Callable[[di
         "DecisionTree": lambda p: R.DecisionTreeRegressor(seed=42, **p),
         "RandomForest": lambda p: R.RandomForestRegressor(seed=42, **p),
     }
-    return out | {name: boosted for name in BOOSTED}
+    return out | {"GradientBoosting": boosted} | {n: _histogram(n, "regression", {}) for n in HISTOGRAM}
 
 
 def capped_grid(grid: dict[str, list]) -> dict[str, list]:

@@ -53,4 +53,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     path = shared_folder(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``checkpointed`` wrote and that nothing reads any more."""
+    path = getattr(df, "_stored_at", None)
+    if path is not None:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(session.sparkContext().hadoopConfiguration()).delete(at, True)
