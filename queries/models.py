@@ -137,6 +137,12 @@ _register("m14_bayesian_ridge", "BayesianRidge", {}, parts, "p_partkey", "regres
 _register("m15_sgd_regressor", "SGDRegressor", {"loss": "huber", "regParam": 0.001}, parts, "p_partkey", "regression", by=(), floor=0.1)
 
 
+@query("m10_nearest_neighbours_pivots", NEIGHBOURS_SQL)
+def m10_pivots(t):
+    """The same rows by way of pivots, in small blocks."""
+    return _fit_and_score(vectors(t), ["vec_id"], "KNN", {"k": 5, "weights": "distance", "blockRows": 100}, classes=10)
+
+
 @query("m10_nearest_neighbours_regression_rounded", PART_NEIGHBOURS_SQL)
 def m10_parts(t):
     return rounded(_fit_and_score(parts(t), ["p_partkey"], "KNN", {"k": 5}, "regression", by=()).select("p_partkey", "prediction"))
@@ -147,7 +153,7 @@ def m10_parts(t):
 TREE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
-def _tree_sql(table, features, y, binary, l2=1.0):
+def _tree_sql(table, features, y, binary, l2=1.0, key="1 AS one"):
     """Nodes of a depth-two tree (l: path, feature, threshold) over the rows r of a table with gradients g and h."""
     sums = " UNION ALL ".join(f"SELECT path, {i} AS f, {c} AS x, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {{rows}} GROUP BY path, {c}" for i, c in enumerate(features))
     score = lambda g, h: f"({g}) * ({g}) / (({h}) + {l2})"
@@ -157,10 +163,11 @@ def _tree_sql(table, features, y, binary, l2=1.0):
     side = "path || CASE WHEN CASE f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(features)) + " END <= x THEN 'L' ELSE 'R' END"
     label = f"({y})::DOUBLE"
     h = "p * (1 - p)" if binary else "1.0"
+    names = key.split(" AS ")[-1]
     return f"""WITH m AS (SELECT avg({label}) AS p FROM {table}),
-  r0 AS MATERIALIZED (SELECT '' AS path, {', '.join(features)}, p - {label} AS g, {h} AS h FROM {table}, m), s0 AS MATERIALIZED ({split.format(rows='r0')}),
-  r1 AS MATERIALIZED (SELECT {side} AS path, {', '.join(features)}, g, h FROM r0 JOIN s0 USING (path)), s1 AS MATERIALIZED ({split.format(rows='r1')}),
-  r2 AS MATERIALIZED (SELECT {side} AS path, g, h FROM r1 JOIN s1 USING (path)),
+  r0 AS MATERIALIZED (SELECT '' AS path, {key}, {', '.join(features)}, p - {label} AS g, {h} AS h FROM {table}, m), s0 AS MATERIALIZED ({split.format(rows='r0')}),
+  r1 AS MATERIALIZED (SELECT {side} AS path, {names}, {', '.join(features)}, g, h FROM r0 JOIN s0 USING (path)), s1 AS MATERIALIZED ({split.format(rows='r1')}),
+  r2 AS MATERIALIZED (SELECT {side} AS path, {names}, g, h FROM r1 JOIN s1 USING (path)),
   nodes AS (SELECT path, count(*)::BIGINT AS rows, -sum(g) / (sum(h) + {l2}) AS score FROM (SELECT path, g, h FROM r0 UNION ALL SELECT path, g, h FROM r1 UNION ALL SELECT path, g, h FROM r2) GROUP BY path),
   splits AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1)"""
 
@@ -195,6 +202,16 @@ def m7_predictions(t):
     return model.transform(d).groupBy(F.round("prediction", 2).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("v10_tree_shapley_sums", _tree_sql("lineitem", TREE_FEATURES, "l_extendedprice", False, key="l_orderkey, l_linenumber") + """ SELECT l_orderkey, l_linenumber, round(sum(score) - count(*) * (SELECT sum(score * rows) / sum(rows) FROM nodes WHERE len(path) = 2), 2) + 0.0 AS total FROM r2 JOIN nodes USING (path) GROUP BY ALL""")
+def v10_tree(t):
+    """Values of all features summed by key, which some rows share: the score of each row less the mean score."""
+    d = t.lineitem.select("l_orderkey", "l_linenumber", *TREE_FEATURES, F.col("l_extendedprice").cast("double").alias("label"))
+    d = VectorAssembler(inputCols=TREE_FEATURES, outputCol="features").transform(d)
+    model = boosting.HistBoost(problem="regression", maxIter=1, stepSize=1.0, maxDepth=2, l2=1.0).fit(d)
+    values = explain.tree_shapley(model, d, TREE_FEATURES, ["l_orderkey", "l_linenumber"])
+    return rounded(values.groupBy("l_orderkey", "l_linenumber").agg(F.sum("shapley").alias("total")), 2)
+
+
 @query("m13_least_squares_line", "SELECT l_orderkey, l_linenumber, round(a + b * l_quantity, 2) AS fitted FROM lineitem, (SELECT regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem)")
 def m13_line(t):
     from pyspark.ml.regression import LinearRegression

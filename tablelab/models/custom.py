@@ -24,9 +24,12 @@ from tablelab.functions.columns import col
 from tablelab.operators.moments import class_moments
 from tablelab.session import checkpointed
 
-# Training rows up to this number are sent to every task; more are compared block by block.
+# Training rows up to this number and size in bytes are sent to every task; more are compared block by block.
 NEIGHBOUR_BLOCK = 10_000
+NEIGHBOUR_BYTES = 64 << 20
 QUERY_BLOCK = 2_000
+# Pivots for each block of training rows, and the most there are.
+BLOCK_PIVOTS, MOST_PIVOTS = 4, 2_048
 
 
 class _Base(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed):
@@ -210,7 +213,7 @@ class NeighboursModel(_Fitted):
         k, train = self.state["k"], self.state["train"]
         queries = df.select(self._key(df).alias("_key"), vector_to_array(self.getFeaturesCol()).alias("x"))
         result = T.StructType([queries.schema["_key"], T.StructField("y", T.DoubleType()), T.StructField("d", T.DoubleType())])
-        if self.state["rows"] <= NEIGHBOUR_BLOCK:
+        if self.state["pivots"] is None:
             local = train.orderBy("id").select("x", "y").toPandas()  # at most NEIGHBOUR_BLOCK rows
             shared = df.sparkSession.sparkContext.broadcast((np.stack(local["x"].to_numpy()), local["y"].to_numpy()))
 
@@ -227,16 +230,43 @@ class NeighboursModel(_Fitted):
                         })
 
             return queries.mapInPandas(search, result)
-        # Larger training sets: every block of queries meets every block of training rows in its own
-        # task, and only k candidates per query and block are kept.
-        blocks = math.ceil(self.state["rows"] / NEIGHBOUR_BLOCK)
-        chunks = max(1, math.ceil(df.count() / QUERY_BLOCK))
-        left = queries.withColumn("chunk", F.pmod(F.xxhash64("_key"), F.lit(chunks)).cast("int")).withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        )
-        right = train.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(
-            "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-        )
+        # Larger training sets: a query goes to the part it lies in, and then to the parts that may hold something nearer
+        # than what it found there.
+        pivots, radii = self.state["pivots"], self.state["radii"]
+
+        def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield batch.assign(part=_distances(np.stack(batch["x"].to_numpy()), pivots).argmin(axis=1))
+
+        def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    query, part = parts_met(np.stack(batch["x"].to_numpy()), pivots, radii, batch["bound"].fillna(np.inf).to_numpy())
+                    yield batch.iloc[query][["_key", "x"]].assign(part=part)
+
+        placed = T.StructType([*queries.schema.fields, T.StructField("part", T.LongType())])
+        queries = checkpointed(queries)
+        first = checkpointed(self._visit(checkpointed(queries.mapInPandas(home, placed)), result))
+        bound = first.groupBy(F.col("_key").alias("_of")).agg(F.max("d").alias("most"), F.count(F.lit(1)).alias("n"))
+        bounded = queries.join(bound, F.col("_key") == F.col("_of"), "left").select("_key", "x", F.when(F.col("n") >= k, F.col("most")).alias("bound"))
+        more = self._visit(checkpointed(bounded.mapInPandas(others, placed)), result)
+        return self._best(first.unionByName(more)).select("_key", "y", "d")
+
+    def _best(self, found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("_key").orderBy("d", "id")  # k rows from each block a query visits
+        return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= self.state["k"]).drop("r")
+
+    def _visit(self, visits: DataFrame, result: T.StructType) -> DataFrame:
+        """The k nearest rows in the parts that queries visit: (_key, y, d, id). Both sides are cut into blocks, so no part is one task."""
+        k, train, counts, most = self.state["k"], self.state["train"], self.state["counts"], self.state["blockRows"]
+        asked = {r["part"]: r["count"] for r in visits.groupBy("part").count().collect()}  # one row per part
+        blocks = F.array(*[F.lit(max(1, math.ceil(n / most))) for n in counts])
+        chunks = F.array(*[F.lit(max(1, math.ceil(asked.get(i, 0) / QUERY_BLOCK))) for i in range(len(counts))])
+        here = lambda numbers: F.get(numbers, F.col("part").cast("int"))
+        upto = lambda numbers: F.explode(F.sequence(F.lit(0), here(numbers) - 1))
+        left = visits.withColumn("chunk", F.pmod(F.xxhash64("_key"), here(chunks)).cast("int")).withColumn("block", upto(blocks))
+        right = train.filter(F.col("part").isin(list(asked))).withColumn("block", F.pmod(F.xxhash64("id"), here(blocks)).cast("int")).withColumn("chunk", upto(chunks))
         wide = T.StructType([*result.fields, T.StructField("id", train.schema["id"].dataType)])
 
         def block_search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -249,23 +279,45 @@ class NeighboursModel(_Fitted):
                 "y": b["y"].to_numpy()[order].ravel(), "d": dist.ravel(), "id": b["id"].to_numpy()[order].ravel(),
             })
 
-        pairs = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(block_search, wide)
-        w = Window.partitionBy("_key").orderBy("d", "id")  # k rows per block
-        return pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("_key", "y", "d")
+        keys = ["part", "block", "chunk"]
+        return self._best(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block_search, wide))
+
+
+def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ points.T + (points**2).sum(1)[None, :], 0.0))
+
+
+def parts_met(x: np.ndarray, pivots: np.ndarray, radii: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, part) pairs, but for each query's own part, that may hold a row no farther than its bound.
+
+    A row of a part is no farther from the part's pivot than its radius and not nearer to another pivot, so it is at least
+    distance - radius and half the difference of the two distances away.
+    """
+    d = _distances(x, pivots)
+    own = d.argmin(axis=1)
+    least = np.maximum(d - radii[None, :], (d - d.min(axis=1)[:, None]) / 2)
+    room = 1e-6 * (1.0 + d.max(axis=1, initial=0.0))  # what rounding can change
+    able = (least <= (bound + room)[:, None]) & (radii >= 0)[None, :]
+    able[np.arange(len(x)), own] = False
+    return np.nonzero(able)
 
 
 class Neighbours(Estimator, _Base):
-    """Exact k nearest neighbours. ``key`` names the columns that identify a row."""
+    """Exact k nearest neighbours. ``key`` names the columns that identify a row.
+
+    Training sets over ``blockRows`` rows or ``NEIGHBOUR_BYTES`` are divided by their nearest pivot, a bounded sample of them.
+    """
 
     k = _param(None, "k", "number of neighbours", TypeConverters.toInt)
     weights = _param(None, "weights", "uniform or distance", TypeConverters.toString)
     problem = _param(None, "problem", "classification or regression", TypeConverters.toString)
     key = _param(None, "key", "identifying columns", TypeConverters.toListString)
+    blockRows = _param(None, "blockRows", "training rows that are sent to a task as a whole", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, featuresCol=None, labelCol=None, predictionCol=None, k=None, weights=None, problem=None, key=None):
+    def __init__(self, *, featuresCol=None, labelCol=None, predictionCol=None, k=None, weights=None, problem=None, key=None, blockRows=None):
         super().__init__()
-        self._setDefault(k=5, weights="uniform", problem="classification", key=["id"])
+        self._setDefault(blockRows=NEIGHBOUR_BLOCK, k=5, weights="uniform", problem="classification", key=["id"])
         self.setup(self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> NeighboursModel:
@@ -274,17 +326,37 @@ class Neighbours(Estimator, _Base):
             F.concat_ws("|", *[col(c).cast("string") for c in get("key")]).alias("id"),
             vector_to_array(self.getFeaturesCol()).alias("x"), col(self.getLabelCol()).cast("double").alias("y"),
         )
-        return NeighboursModel(
-            self, train=train, rows=train.count(), k=get("k"), weighted=get("weights") == "distance", problem=get("problem"), key=get("key")
-        )
+        rows, most = train.count(), get("blockRows")
+        state = {"rows": rows, "k": get("k"), "weighted": get("weights") == "distance", "problem": get("problem"), "key": get("key"), "blockRows": most}
+        sizes = train.agg(F.max(F.size("x")).alias("d")).first()
+        if rows <= most and rows * (sizes["d"] or 0) * 8 <= NEIGHBOUR_BYTES:
+            return NeighboursModel(self, train=train, pivots=None, radii=None, counts=None, **state)
+        n = min(MOST_PIVOTS, BLOCK_PIVOTS * math.ceil(rows / most) + 1)
+        pivots = np.stack([r["x"] for r in train.select("x").orderBy(F.xxhash64("id"), "id").limit(n).collect()])  # bounded
+
+        def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    d = _distances(np.stack(batch["x"].to_numpy()), pivots)
+                    yield batch.assign(part=d.argmin(axis=1), away=d.min(axis=1))
+
+        schema = T.StructType([*train.schema.fields, T.StructField("part", T.LongType()), T.StructField("away", T.DoubleType())])
+        train = checkpointed(train.mapInPandas(placed, schema))
+        radii, counts = np.full(len(pivots), -1.0), [0] * len(pivots)
+        for r in train.groupBy("part").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # one row per pivot
+            radii[r["part"]], counts[r["part"]] = r["radius"], r["n"]
+        return NeighboursModel(self, train=train.drop("away"), pivots=pivots, radii=radii, counts=counts, **state)
 
 
 # ----------------------------------------------------------------------- boosting and bagging
 
 
-def tree_arrays(tree) -> dict[str, list]:
-    """A fitted Spark tree as arrays, node by node: feature (-1 at a leaf), threshold, left, right and predicted value."""
-    out: dict[str, list] = {"feature": [], "threshold": [], "left": [], "right": [], "value": []}
+def tree_arrays(tree, label: float | None = None) -> dict[str, list]:
+    """A fitted Spark tree as arrays, node by node: feature (-1 at a leaf), threshold, left, right, predicted value and weight of its rows.
+
+    With ``label`` the value is the share of that class.
+    """
+    out: dict[str, list] = {"feature": [], "threshold": [], "left": [], "right": [], "value": [], "cover": []}
 
     def add(node) -> int:
         at = len(out["feature"])
@@ -293,7 +365,8 @@ def tree_arrays(tree) -> dict[str, list]:
             raise ValueError("trees over nominal features can't be taken apart")
         out["feature"].append(int(node.split().featureIndex()) if inner else -1)
         out["threshold"].append(float(node.split().threshold()) if inner else 0.0)
-        out["value"].append(float(node.prediction()))
+        out["value"].append(float(node.prediction() if label is None else node.impurityStats().prob(label)))
+        out["cover"].append(float(node.impurityStats().count()))
         out["left"].append(0)
         out["right"].append(0)
         if inner:

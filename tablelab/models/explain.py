@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from math import factorial
+
 import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelab.functions.columns import col
+from tablelab.models.boosting import BoostModel
+from tablelab.models.custom import TreeVoteModel, tree_arrays
 from tablelab.operators.splits import sample
 
 
@@ -102,3 +107,102 @@ def sampled_shapley(
     return change.select(*keys, F.get(names, moved).alias("feature"), "change").groupBy(*keys, "feature").agg(
         F.avg("change").alias("shapley")
     )
+
+
+def trees_of(model, label: int = 1) -> tuple[list[tuple[float, dict]], float]:
+    """Weighted trees whose sum is the model's score, and a constant to add.
+
+    The score is the number predicted, the share of votes or the probability of the class at place ``label``, or, of boosted
+    trees, the score before the link function.
+    """
+    last = model.stages[-1] if isinstance(model, PipelineModel) else model
+    if isinstance(last, BoostModel):
+        first = last.state["first"]
+        k = label if len(first) > 1 else 0
+        return [(1.0, trees[k]) for trees in last.state["rounds"]], first[k]
+    if isinstance(last, TreeVoteModel):
+        voted, total = last.state["classes"][label], sum(last.state["weights"]) or 1.0
+        trees = [t | {"value": [float(v == voted) for v in t["value"]]} for t in last.state["trees"]]
+        return [(w / total, t) for w, t in zip(last.state["weights"], trees)], 0.0
+    kind = type(last).__name__
+    share = float(label) if "Classification" in kind and "GBT" not in kind else None
+    if hasattr(last, "treeWeights"):
+        weights = list(last.treeWeights)
+        scale = 1.0 if "GBT" in kind else 1.0 / len(weights)
+        return [(w * scale, tree_arrays(t, share)) for w, t in zip(weights, last.trees)], 0.0
+    return [(1.0, tree_arrays(last, share))], 0.0
+
+
+def tree_expectation(tree: dict) -> float:
+    """Mean score of the rows a tree was grown on."""
+    leaf = np.asarray(tree["feature"]) < 0
+    cover = np.asarray(tree["cover"])[leaf]
+    return float((np.asarray(tree["value"])[leaf] * cover).sum() / cover.sum())
+
+
+def tree_contributions(tree: dict, x: np.ndarray) -> np.ndarray:
+    """(row, feature) Shapley values of one tree, all rows at once.
+
+    The worth of a set of features is the tree's score if the others are unknown: there, both ways are taken by the share of
+    rows that went them. A leaf adds its value times a product over the features of its path: whether the row would go that
+    way where a feature is known, the share of rows where it isn't. Its Shapley values are weighted
+    coefficients of the polynomial in which each known feature is a factor t.
+    """
+    out = np.zeros(x.shape)
+    missing = tree.get("missing_left")
+
+    def visit(at: int, path: dict[int, tuple[np.ndarray, float]]) -> None:
+        f = tree["feature"][at]
+        if f >= 0:
+            value = x[:, f]
+            left = value <= tree["threshold"][at]
+            if missing is not None:
+                left = np.where(np.isnan(value), missing[at], left)
+            for child, way in ((tree["left"][at], left), (tree["right"][at], ~left)):
+                share = tree["cover"][child] / tree["cover"][at] if tree["cover"][at] else 0.0
+                known, unknown = path.get(f, (np.ones(len(x), bool), 1.0))
+                visit(child, path | {f: (known & way, unknown * share)})
+            return
+        m = len(path)
+        for i, (own, share) in path.items():
+            poly = np.zeros((m, len(x)))  # by the number of known features
+            poly[0] = 1.0
+            for j, (known, unknown) in path.items():
+                if j != i:
+                    poly[1:] = poly[1:] * unknown + poly[:-1] * known
+                    poly[0] *= unknown
+            weights = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+            out[:, i] += tree["value"][at] * (weights @ poly) * (own - share)
+
+    visit(0, {})
+    return out
+
+
+def tree_shapley(model, df: DataFrame, features: Sequence[str], key: Sequence[str], label: int = 1, vector: str = "features") -> DataFrame:
+    """Exact Shapley values of a model of trees: one row per row and feature, for all rows.
+
+    The values of a row sum to its score less the mean score of the training rows (``expected_score``).
+    """
+    trees, _ = trees_of(model, label)
+    d = len(features)
+
+    @F.pandas_udf("array<double>")
+    def values(batch: pd.Series) -> pd.Series:
+        if not len(batch):
+            return pd.Series([], dtype=object)
+        x = np.stack(batch.to_numpy()).astype(float)
+        total = np.zeros((len(x), d))
+        for weight, tree in trees:
+            total += weight * tree_contributions(tree, x)
+        return pd.Series(list(total))
+
+    keys = [col(k) for k in key]
+    names = F.array(*[F.lit(f) for f in features])
+    out = df.select(*keys, F.posexplode(values(vector_to_array(vector))).alias("_at", "shapley"))
+    return out.select(*keys, F.get(names, F.col("_at")).alias("feature"), "shapley")
+
+
+def expected_score(model, label: int = 1) -> float:
+    """Mean score of the training rows, which Shapley values start from."""
+    trees, constant = trees_of(model, label)
+    return constant + sum(w * tree_expectation(t) for w, t in trees)

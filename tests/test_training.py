@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -54,15 +55,38 @@ def test_qda_against_numpy(classes):
 @pytest.mark.parametrize("block", [10_000, 37])
 def test_neighbours_against_brute_force(classes, monkeypatch, block):
     pdf, df = classes
-    monkeypatch.setattr(custom, "NEIGHBOUR_BLOCK", block)
     monkeypatch.setattr(custom, "QUERY_BLOCK", 64)
-    out = custom.Neighbours(k=5, key=["id"]).fit(df).transform(df).orderBy("id").toPandas()
+    out = custom.Neighbours(k=5, key=["id"], blockRows=block).fit(df).transform(df).orderBy("id").toPandas()
     x = pdf[list("abcd")].to_numpy()
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
     votes = [np.bincount(pdf.label.to_numpy()[np.argsort(r, kind="stable")[:5]].astype(int), minlength=3).argmax() for r in d]
     assert (out["prediction"].to_numpy() == votes).all()
 
 
+def test_neighbours_leave_out_far_parts(spark, monkeypatch):
+    """Groups far apart, one of them copies of one row: equal to brute force, with a fraction of all pairs compared."""
+    draw = np.random.default_rng(2)
+    x = np.concatenate([draw.normal(size=(8, 3))[np.arange(600) % 8] * 20 + draw.normal(size=(600, 3)), np.full((300, 3), 50.0)])
+    y = np.concatenate([np.arange(600.0), np.arange(300.0)])
+    rows = [(f"{i:04d}", [float(v) for v in r], float(b)) for i, (r, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id string, x array<double>, label double").withColumn("features", array_to_vector("x"))
+    monkeypatch.setattr(custom, "QUERY_BLOCK", 100)
+    model = custom.Neighbours(k=4, problem="regression", blockRows=60).fit(df)
+    out = model.transform(df).orderBy("id").toPandas()
+    want = [y[np.argsort(np.round(((x - r) ** 2).sum(1), 9), kind="stable")[:4]].mean() for r in x]
+    assert np.allclose(out["prediction"], want)
+    s = model.state
+    d = custom._distances(x, s["pivots"])
+    bound = np.array([np.sort(np.sqrt(((x - r) ** 2).sum(1)))[3] for r in x])
+    query, part = custom.parts_met(x, s["pivots"], s["radii"], bound)
+    own = d.argmin(1)
+    for i in range(0, 900, 7):  # nothing near is left out
+        met = {own[i], *part[query == i]}
+        assert all(own[j] in met for j in np.flatnonzero(((x - x[i]) ** 2).sum(1) <= bound[i] ** 2))
+    counts = np.array(s["counts"])
+    assert counts[part].sum() + counts[own].sum() < 0.45 * len(x) ** 2
+
+
 def test_ridge_classifier_and_bayesian_ridge(classes, spark):
     pdf, df = classes
     out = custom.RidgeClassifier(alpha=1.0).fit(df).transform(df).orderBy("id").toPandas()
