@@ -241,6 +241,29 @@ def f14(t):
     return rounded(t.spark.createDataFrame(list(scores.items()), "feature string, score double"))
 
 
+def _information_sql(features, target):
+    place = lambda c: f"coalesce(least(floor(({c}::DOUBLE - (SELECT min({c}) FROM lineitem)) / (SELECT max({c})::DOUBLE - min({c}) FROM lineitem) * 32.0), 31), -1)"
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS feature, {place(c)} AS x, {target if target == 'l_returnflag' else place(target)} AS y FROM lineitem" for c in features)
+    return f"""WITH c AS ({cells}), j AS (SELECT feature, x, y, count(*)::DOUBLE AS n FROM c GROUP BY ALL),
+      w AS (SELECT *, sum(n) OVER (PARTITION BY feature, x) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS total FROM j)
+      SELECT feature, round(sum(n / total * ln(n * total / (nx * ny))), 6) AS score FROM w GROUP BY feature"""
+
+
+def _information(t, features, target, problem):
+    found = selection.mutual_information(t.lineitem, features, target, problem)
+    return rounded(t.spark.createDataFrame(list(found.items()), "feature string, score double"), 6)
+
+
+@query("f14_mutual_information", _information_sql(["l_quantity", "l_discount", "l_tax", "l_extendedprice"], "l_returnflag"))
+def f14_information(t):
+    return _information(t, ["l_quantity", "l_discount", "l_tax", "l_extendedprice"], "l_returnflag", "classification")
+
+
+@query("f14_mutual_information_numbers", _information_sql(["l_quantity", "l_discount", "l_tax"], "l_extendedprice"))
+def f14_information_numbers(t):
+    return _information(t, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "regression")
+
+
 def _vectors(t):
     d = t.embeddings.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
     return d, [f"e{i}" for i in range(64)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from queries.base import query, rounded
 from tablelab.functions import texts
-from tablelab.models import automl, boosting, custom, ensemble, evaluate, explain, registry, search
+from tablelab.models import automl, boosting, custom, ensemble, evaluate, explain, penalty_paths, registry, search
 from tablelab.operators.splits import folds, split
 from tablelab.session import checkpointed
 
@@ -212,6 +212,30 @@ def v10_tree(t):
     return rounded(values.groupBy("l_orderkey", "l_linenumber").agg(F.sum("shapley").alias("total")), 2)
 
 
+def _plane_sql(penalty):
+    return f"""WITH s AS (SELECT count(*)::DOUBLE AS n, avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_extendedprice) AS my, covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS uy,
+      covar_pop(l_discount, l_extendedprice) AS vy, var_pop(l_quantity) AS aa, var_pop(l_discount) AS bb FROM lineitem),
+      q AS (SELECT *, aa + {penalty} * aa / (n - 1) AS qa, bb + {penalty} * bb / (n - 1) AS qb FROM s), w AS (SELECT *, (uy * qb - vy * ab) / (qa * qb - ab * ab) AS wa, (vy * qa - uy * ab) / (qa * qb - ab * ab) AS wb FROM q)
+      SELECT l_orderkey, l_linenumber, round(my + wa * (l_quantity - ma) + wb * (l_discount - mb), 2) AS fitted FROM lineitem, w"""
+
+
+def _plane(t, family, params):
+    d = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", F.col("l_extendedprice").alias("label"))
+    d = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(d)
+    c = registry.candidates("regression", 1, d.count(), names=[family])[0]
+    return rounded(c.pipeline(params).fit(d).transform(d).select("l_orderkey", "l_linenumber", F.col("prediction").alias("fitted")), 2)
+
+
+@query("m13_least_squares_plane", _plane_sql("0.0"))
+def m13_plane(t):
+    return _plane(t, "LinearRegression", {})
+
+
+@query("m13_ridge_plane", _plane_sql("10000.0"))
+def m13_ridge_plane(t):
+    return _plane(t, "Ridge", {"alpha": 10000.0})
+
+
 @query("m13_least_squares_line", "SELECT l_orderkey, l_linenumber, round(a + b * l_quantity, 2) AS fitted FROM lineitem, (SELECT regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem)")
 def m13_line(t):
     from pyspark.ml.regression import LinearRegression
@@ -249,6 +273,24 @@ def m18(t):
     return t.spark.createDataFrame([(best.name, str(best.params), best.mean, best.std)], "model string, params string, score double, std double")
 
 
+_RIDGE_FOLDS = """WITH d AS (SELECT l_quantity AS a, l_discount AS b, l_extendedprice AS y, l_linenumber % 3 AS fold FROM lineitem),
+  s AS (SELECT fold, count(*)::DOUBLE AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS uy, sum(b * y) AS vy, sum(y * y) AS yy FROM d GROUP BY fold),
+  t AS (SELECT f.fold, g.alpha, sum(n) AS n, sum(a) / sum(n) AS ma, sum(b) / sum(n) AS mb, sum(y) / sum(n) AS my, sum(aa) - sum(a) * sum(a) / sum(n) AS aa, sum(ab) - sum(a) * sum(b) / sum(n) AS ab,
+     sum(bb) - sum(b) * sum(b) / sum(n) AS bb, sum(uy) - sum(a) * sum(y) / sum(n) AS uy, sum(vy) - sum(b) * sum(y) / sum(n) AS vy
+     FROM s JOIN (SELECT fold FROM s) f ON s.fold <> f.fold, (SELECT unnest([0.1, 10.0, 10000.0])::DOUBLE AS alpha) g GROUP BY ALL),
+  p AS (SELECT *, aa + alpha * aa / (n - 1) AS qa, bb + alpha * bb / (n - 1) AS qb FROM t),
+  w AS (SELECT *, (uy * qb - vy * ab) / (qa * qb - ab * ab) AS wa, (vy * qa - uy * ab) / (qa * qb - ab * ab) AS wb FROM p)"""
+
+
+@query("m18_ridge_path", _RIDGE_FOLDS + """ SELECT 'alpha=' || (CASE alpha WHEN 0.1 THEN '0.1' WHEN 10 THEN '10.0' ELSE '10000.0' END) AS params, w.fold::INT AS fold,
+  round(1 - sum(pow(y - my - wa * (a - ma) - wb * (b - mb), 2)) / (var_pop(y) * count(*)), 6) AS score FROM w JOIN d ON d.fold = w.fold GROUP BY ALL""")
+def m18_ridge(t):
+    """Held-out scores of a ridge for three penalties and three folds, from one read of the table."""
+    d = t.lineitem.select(*[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_extendedprice")], (F.col("l_linenumber") % 3).alias("fold"))
+    found = penalty_paths.paths(d, ["l_quantity", "l_discount"], "l_extendedprice", "fold", {"Ridge": {"alpha": [0.1, 10.0, 10000.0]}})
+    return rounded(penalty_paths.path_table(d, found).select("params", "fold", "score"), 6)
+
+
 @query("m19_final_fit")
 def m19(t):
     d = documents(t)

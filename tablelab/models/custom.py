@@ -5,7 +5,7 @@ pipelines and the cross validator."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol, HasSeed
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelab.functions.columns import col
+from tablelab.models import penalty_paths
 from tablelab.operators.moments import class_moments
 from tablelab.session import checkpointed
 
@@ -110,13 +112,13 @@ class _Fitted(Model, _Base, MLWritable, MLReadable):
         return _StateReader(cls)
 
 
-def unpacked(df: DataFrame, features: str, label: str | None) -> tuple[DataFrame, list[str]]:
-    """Feature vector as plain columns."""
+def unpacked(df: DataFrame, features: str, label: str | None, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Feature vector as plain columns, with the label and the columns to keep."""
     size = df.select(F.size(vector_to_array(features)).alias("d")).first()["d"]
     names = [f"x{i}" for i in range(size)]
     array = vector_to_array(features)
     side = [col(label).cast("double").alias("label")] if label else []
-    return df.select(*side, *[array[i].alias(n) for i, n in enumerate(names)]), names
+    return df.select(*[col(k) for k in keep], *side, *[array[i].alias(n) for i, n in enumerate(names)]), names
 
 
 class NonNegative(Transformer, HasInputCol, HasOutputCol, DefaultParamsWritable, DefaultParamsReadable):
@@ -516,6 +518,38 @@ class LinearScoresModel(_Fitted):
         return out.withColumn(self.getPredictionCol(), value).drop("_scores")
 
 
+    @property
+    def coefficients(self) -> DenseVector:
+        """Weights of a single score."""
+        return Vectors.dense(np.asarray(self.state["weights"])[0])
+
+    @property
+    def intercept(self) -> float:
+        return float(np.asarray(self.state["intercepts"])[0])
+
+
+class GramLinear(Estimator, _Base):
+    """Least squares with penalties, solved on the products of the features that one pass sums: ``penalty_paths.solve``."""
+
+    family = _param(None, "family", "LinearRegression, Ridge, Lasso or ElasticNet", TypeConverters.toString)
+    alpha = _param(None, "alpha", "penalty of a ridge, over all rows", TypeConverters.toFloat)
+    regParam = _param(None, "regParam", "penalty of the others, per row", TypeConverters.toFloat)
+    elasticNetParam = _param(None, "elasticNetParam", "share of the penalty on absolute values", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, featuresCol=None, labelCol=None, predictionCol=None, family=None, alpha=None, regParam=None, elasticNetParam=None):
+        super().__init__()
+        self._setDefault(family="LinearRegression", alpha=1.0, regParam=1.0, elasticNetParam=0.5)
+        self.setup(self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> LinearScoresModel:
+        plain, names = unpacked(df, self.getFeaturesCol(), self.getLabelCol())
+        moments = class_moments(plain, [*names, "label"])[None]
+        params = {k: self.getOrDefault(k) for k in ("alpha", "regParam", "elasticNetParam")}
+        found = penalty_paths.solve(moments, *penalty_paths.penalties(self.getOrDefault("family"), params, moments[0]))
+        return LinearScoresModel(self, weights=found.weights[None, :], intercepts=np.array([found.intercept]), classes=None)
+
+
 class RidgeClassifier(Estimator, _Base):
     """Least squares on +1 / -1 codes of each class."""
 

@@ -161,13 +161,15 @@ def classification_builders(n_classes: int, rows: int, key: Sequence[str], weigh
     return out | {"GradientBoosting": boosted} | {n: _histogram(n, "classification", w) for n in HISTOGRAM}
 
 
+def _linear(name: str) -> Callable[[dict], Estimator]:
+    return lambda p: custom.GramLinear(family=name, **p)
+
+
 def regression_builders(rows: int, key: Sequence[str]) -> dict[str, Callable[[dict], Estimator]]:
     boosted = lambda p: R.GBTRegressor(seed=42, **{"maxIter": 20, **p})
     linear = lambda **f: (lambda p: R.LinearRegression(**{**f, **p}))
     out = {
-        "LinearRegression": linear(),
-        "Ridge": lambda p: R.LinearRegression(regParam=p.get("alpha", 1.0) / max(rows, 1), elasticNetParam=0.0),
-        "Lasso": linear(elasticNetParam=1.0), "ElasticNet": linear(),
+        **{name: _linear(name) for name in ("LinearRegression", "Ridge", "Lasso", "ElasticNet")},
         "BayesianRidge": lambda p: custom.BayesianRidge(**p), "SGDRegressor": linear(maxIter=200),
         "KNN": lambda p: custom.Neighbours(problem="regression", key=list(key), **p),
         "DecisionTree": lambda p: R.DecisionTreeRegressor(seed=42, **p),
