@@ -190,9 +190,9 @@ def _heads(compared: DataFrame) -> DataFrame:
     return placed.filter(F.col("j") < F.col("keep")).select("g", "x", "e", "n", "d", "link", "half", "j")
 
 
-def _candidates(heads: DataFrame, few: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a prefix shingle of ``few`` and whose sizes and places allow a link."""
-    heads = heads.join(few, ["g", "e"], "left_semi").withColumn("short", F.col("j") < F.col("half"))
+def _candidates(heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a prefix shingle and whose sizes and places allow a link."""
+    heads = heads.withColumn("short", F.col("j") < F.col("half"))
     left, right = heads.filter("short").alias("l"), heads.filter(~F.col("link")).alias("r")
     smaller, larger = F.least("l.n", "r.n"), F.greatest("l.n", "r.n")
     allowed = F.floor((F.col("l.n") + F.col("r.n")) * (100 - percent) / (100 + percent))
@@ -223,10 +223,11 @@ def _links(spokes: DataFrame, texts: DataFrame, shingle: int, percent: int, few:
         links.append(compared.filter("link").select("a", "b"))
         heads = checkpointed(_heads(compared))
         sizes = heads.groupBy("g", "e").agg(F.count(F.lit(1)).alias("size"), F.min("link").alias("all")).filter((F.col("size") > 1) & ~F.col("all"))
-        sizes = checkpointed(sizes.select("g", "e", "size"))
-        candidates.append(checkpointed(_candidates(heads, sizes.filter(F.col("size") <= few), percent).distinct()))
-        many = sizes.filter(F.col("size") > few)
-        if many.isEmpty():
+        many = checkpointed(sizes.filter(F.col("size") > few).select("g", "e"))
+        done = many.isEmpty()
+        rest = heads if done else heads.join(many, ["g", "e"], "left_anti")
+        candidates.append(checkpointed(_candidates(rest, percent).distinct()))
+        if done:
             break
         spokes = checkpointed(_again(heads, many))
     pairs = reduce(DataFrame.unionByName, candidates).distinct().withColumn("g", F.lit(0).cast("long"))
