@@ -55,17 +55,18 @@ def active_entries(captures: DataFrame, history: DataFrame, url: str = "url", at
     blocked: at its fetch time at least one entry that covers the address was active; n_active counts them; entry is the
     longest of their names (ties: the smallest). A row without a host or a time is not blocked. Times are dates
     or timestamps alike on both sides. Rows may repeat; columns of the input named like the added ones are replaced.
+
+    An interval is cut only at the months in which captures fall under its name. Intervals of one name don't overlap, so that
+    gives at most one row per interval and one more per name and month of captures, however far apart the dates are.
     """
     kept = [c for c in captures.columns if c not in ("blocked", "n_active", "entry")]
     marks = [f"__k{i}" for i in range(len(kept))]
     address, when = F.col(marks[kept.index(url)]), F.col(marks[kept.index(at)])
     rows = checkpointed(captures.select(*[F.col(f"`{c}`").alias(m) for c, m in zip(kept, marks)], F.monotonically_increasing_id().alias("row")))
     asked = rows.filter(when.isNotNull()).select("row", when.alias("at"), F.trunc(when, SLICE).alias("slice"), F.explode(names(address)).alias("name"))
-    last = rows.agg(F.max(when)).first()[0]
-    spans = intervals(history).filter(F.col("since") <= F.lit(last))
-    upto = F.least(F.coalesce("until", F.lit(last)), F.lit(last))
-    sliced = checkpointed(spans.select("name", "since", "until", F.explode(
-        F.sequence(F.trunc("since", SLICE), F.trunc(upto, SLICE), F.expr(f"interval 1 {SLICE}"))).alias("slice")))
+    months = asked.select("name", "slice").distinct().groupBy("name").agg(F.collect_list("slice").alias("slices"))
+    met = lambda s: (s >= F.trunc("since", SLICE)) & (F.col("until").isNull() | (s <= F.trunc("until", SLICE)))
+    sliced = checkpointed(intervals(history).join(months, "name").select("name", "since", "until", F.explode(F.filter("slices", met)).alias("slice")))
     held = (
         (asked["name"] == sliced["name"]) & (asked["slice"] == sliced["slice"])
         & (asked["at"] >= sliced["since"]) & (sliced["until"].isNull() | (asked["at"] < sliced["until"])))

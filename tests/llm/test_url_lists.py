@@ -61,3 +61,23 @@ def test_empty_and_clashing(tables, spark):
     clash = spark.createDataFrame([(1, "http://a.b", DAY, "e", "n")], "page_id long, url string, at date, entry string, name string")
     out = active_entries(clash, spark.createDataFrame([("b", DAY, True)], "name string, at date, listed boolean")).first()
     assert (out.entry, out.name, out.blocked) == ("b", "n", True)
+
+
+def test_far_dates_write_no_month_without_captures(tables, monkeypatch):
+    """Open intervals, and captures and entries thousands of years apart: rows follow intervals and months of captures."""
+    far = dt.date(9999, 12, 31)
+    history = [(f"h{i}.org", DAY, True) for i in range(200)] + [("h0.org", far, False), ("h1.org", dt.date(1, 1, 1), True)]
+    captures = [(i, f"http://h{i % 3}.org/p", DAY + dt.timedelta(days=i)) for i in range(60)] + [(60, "http://h0.org", far), (61, "http://h5.org", far)]
+    written = []
+    monkeypatch.setattr("tablelab.llm.url_lists.checkpointed", lambda df: written.append(df) or df)
+    out = active_entries(*tables(captures, history)).collect()
+    assert sorted(((r.page_id, r.blocked, r.n_active, r.entry) for r in out), key=repr) == expected(captures, history)
+    assert max(df.count() for df in written) <= 205
+
+
+def test_one_name_with_a_long_history(tables):
+    """Entries of one name on and off every day, all captures under it."""
+    history = [("x.org", DAY + dt.timedelta(days=i), i % 2 == 0) for i in range(800)]
+    captures = [(i, "http://x.org/p/q", DAY + dt.timedelta(days=(i * 37) % 1000)) for i in range(300)]
+    out = active_entries(*tables(captures, history)).collect()
+    assert sorted(((r.page_id, r.blocked, r.n_active, r.entry) for r in out), key=repr) == expected(captures, history)
