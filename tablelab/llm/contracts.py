@@ -91,7 +91,7 @@ def _(table):
     docs = table("documents")
     quality_of = table("labels").filter("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     labelled = docs.select("doc_id", "lang").join(quality_of, "doc_id").select("doc_id", F.concat_ws("_", "lang", "quality").alias("domain"))
-    return mix(docs, labelled).select(F.col("id").alias("doc_id"), "n_tokens", "domain", "rate", "copies")
+    return mix(docs, labelled).select(F.col("id").alias("doc_id"), "n_tokens", "domain", "rate", "copies", "gap")
 
 
 @query("op9_repeated_units")

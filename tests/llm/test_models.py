@@ -144,6 +144,31 @@ def test_rates_against_brute_force(spark):
         assert miss(rates) <= miss(x) + 2e-3 * targets.sum()
 
 
+def test_unmet_targets_are_reported(spark, documents):
+    """Where documents of one domain also hold the other's words, nearly all weight on it can't be met: steps go on to the least miss, and gap tells."""
+    draw = random.Random(11)
+    rows = [(i, " ".join(draw.choice([f"{'ab'[i % 2]}{draw.randrange(9)}", f"c{draw.randrange(9)}", f"{draw.choice('ab')}{draw.randrange(9)}"]) for _ in range(12))) for i in range(240)]
+    docs = documents(rows).coalesce(1)
+    labelled = spark.createDataFrame([(i, "ab"[i % 2]) for i, _ in rows], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        got = mixing.mix(docs, labelled, {"a": 0.9999, "b": 0.0001}).collect()
+    gaps = {r.domain: r.gap for r in got}
+    model = mixing.fit_domains(mixing.domain_sample(docs, labelled, "doc_id", "text", mixing.PER_DOMAIN, mixing.MAX_BYTES))
+    members = {r.id: r for r in mixing.memberships(docs, model, "doc_id", "text").collect()}
+    p, n = np.array([members[r.id].posterior for r in got]), np.array([r.n_tokens for r in got])
+    targets = n.sum() * np.array([0.9999, 0.0001])
+    found = np.array([r.rate for r in got])
+    expected = ((n * found) @ p - targets) / n.sum()
+    assert np.allclose(expected, [gaps["a"], gaps["b"]]) and abs(gaps["a"]) > mixing.CLOSE
+    # The least possible miss, from many plain steps.
+    g = np.linalg.inv((p * n[:, None]).T @ p)
+    x = np.ones(len(n))
+    for _ in range(20000):
+        x = np.maximum(0, x - p @ (g @ ((n * x) @ p - targets)))
+    miss = lambda v: ((n * v) @ p - targets) @ g @ ((n * v) @ p - targets)
+    assert miss(found) <= miss(x) * 1.25 + 1e-9 * targets.sum()
+
+
 def test_mixing_edges(spark, documents):
     labelled = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (2, None)], "doc_id long, domain string")
     docs = documents([(1, "a1 a2", "x"), (2, None, "y"), (3, "", "z"), (None, "b1", "w"), (1, "a1 a2", "x")], "domain")
