@@ -13,6 +13,7 @@ from pyspark.ml import regression as R
 from pyspark.ml.feature import Binarizer, MinMaxScaler, StandardScaler
 
 from tablelab.models import boosting, custom
+from tablelab.models.stochastic import Stochastic
 
 # --- fixed values: parameter grids ---------------------------------------------------------
 CLASS_GRIDS = {
@@ -24,7 +25,7 @@ CLASS_GRIDS = {
     "CatBoost": {"maxIter": [100, 300], "stepSize": [0.05, 0.1], "maxDepth": [4, 6]},
     "LogisticRegression": {"C": [0.01, 0.1, 1.0, 10.0]},
     "LinearSVC": {"C": [0.01, 0.1, 1.0, 10.0]},
-    "SGDClassifier": {"regParam": [0.0001, 0.001], "elasticNetParam": [0.0, 1.0]},
+    "SGDClassifier": {"loss": ["modified_huber", "log_loss"], "regParam": [0.0001, 0.001], "elasticNetParam": [0.0, 1.0]},
     "AdaBoost": {"rounds": [50, 100, 200], "learningRate": [0.5, 1.0, 2.0]},
     "Bagging": {"rounds": [10, 20, 50], "sampleShare": [0.7, 0.9, 1.0]},
     "KNN": {"k": [3, 5, 7, 10, 15], "weights": ["uniform", "distance"]},
@@ -41,7 +42,7 @@ REGRESSION_GRIDS = {
     "Lasso": {"regParam": [0.001, 0.01, 0.1, 1.0]},
     "ElasticNet": {"regParam": [0.01, 0.1, 1.0], "elasticNetParam": [0.1, 0.3, 0.5, 0.7, 0.9]},
     "BayesianRidge": {"rounds": [100, 300]},
-    "SGDRegressor": {"loss": ["squaredError", "huber"], "regParam": [0.0001, 0.001]},
+    "SGDRegressor": {"loss": ["squaredError", "huber"], "regParam": [0.0001, 0.001], "elasticNetParam": [0.0, 1.0]},
     "KNN": {"k": [3, 5, 7, 10], "weights": ["uniform", "distance"]},
     "DecisionTree": {"maxDepth": [3, 5, 8, 10], "minInstancesPerNode": [2, 4, 8], "minInfoGain": [0.0, 0.001]},
     "RandomForest": {"numTrees": [100, 200, 300], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 4]},
@@ -139,7 +140,7 @@ def classification_builders(n_classes: int, rows: int, key: Sequence[str], weigh
         return C.LogisticRegression(maxIter=100, tol=1e-4, regParam=1.0 / (p.get("C", 1.0) * max(rows, 1)), **w)
 
     def stochastic(p: dict) -> Estimator:
-        return C.LogisticRegression(maxIter=100, tol=1e-3, **p, **w)
+        return Stochastic(**{"loss": "log_loss", **p}, **w)
 
     def svc(p: dict) -> Estimator:
         return _one_vs_rest(C.LinearSVC(maxIter=100, tol=1e-4, regParam=1.0 / (p.get("C", 1.0) * max(rows, 1)), **w), n_classes, weight)
@@ -167,10 +168,9 @@ def _linear(name: str) -> Callable[[dict], Estimator]:
 
 def regression_builders(rows: int, key: Sequence[str]) -> dict[str, Callable[[dict], Estimator]]:
     boosted = lambda p: R.GBTRegressor(seed=42, **{"maxIter": 20, **p})
-    linear = lambda **f: (lambda p: R.LinearRegression(**{**f, **p}))
     out = {
         **{name: _linear(name) for name in ("LinearRegression", "Ridge", "Lasso", "ElasticNet")},
-        "BayesianRidge": lambda p: custom.BayesianRidge(**p), "SGDRegressor": linear(maxIter=200),
+        "BayesianRidge": lambda p: custom.BayesianRidge(**p), "SGDRegressor": lambda p: Stochastic(**{"loss": "squaredError", **p}),
         "KNN": lambda p: custom.Neighbours(problem="regression", key=list(key), **p),
         "DecisionTree": lambda p: R.DecisionTreeRegressor(seed=42, **p),
         "RandomForest": lambda p: R.RandomForestRegressor(seed=42, **p),
