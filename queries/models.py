@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from queries.base import query, rounded
 from tablelab.functions import texts
-from tablelab.models import automl, boosting, custom, ensemble, evaluate, explain, penalty_paths, registry, search
+from tablelab.models import automl, boosting, custom, ensemble, evaluate, explain, penalty_paths, pruning, registry, search
 from tablelab.operators.splits import folds, split
 from tablelab.session import checkpointed
 
@@ -285,6 +285,38 @@ def m15_line(t):
     return rounded(out.select(*LINE_KEY, F.col("prediction").alias("fitted")), 1)
 
 
+def _groups(t):
+    """Two flags of each line: a large quantity decides the price, a large discount next to nothing."""
+    flags = [(F.col("l_quantity") > 25).cast("double").alias("large"), (F.col("l_discount") > 0.05).cast("double").alias("reduced")]
+    d = t.lineitem.select(*LINE_KEY, *flags, F.col("l_extendedprice").cast("double").alias("label"))
+    return VectorAssembler(inputCols=["large", "reduced"], outputCol="features").transform(d)
+
+
+@query("m5_pruned_tree", "SELECT l_orderkey, l_linenumber, round(avg(l_extendedprice) OVER (PARTITION BY l_quantity > 25), 2) AS fitted FROM lineitem")
+def m5_pruned(t):
+    """Splits on the discount go, the one on the quantity stays."""
+    d = _groups(t)
+    c = registry.candidates("regression", 1, 0, key=LINE_KEY, names=["DecisionTree"])[0]
+    out = c.pipeline({"maxDepth": 2, "alpha": 1e7}).fit(d).transform(d)
+    return rounded(out.select(*LINE_KEY, F.col("prediction").alias("fitted")), 2)
+
+
+@query("m5_pruning_path", """WITH d AS (SELECT l_quantity > 25 AS large, l_extendedprice::DOUBLE AS y, l_linenumber % 3 = 0 AS held FROM lineitem),
+  g AS (SELECT large, avg(y) AS m, var_pop(y) AS v, count(*)::DOUBLE AS n FROM d WHERE NOT held GROUP BY 1), a AS (SELECT avg(y) AS m, var_pop(y) AS v, count(*)::DOUBLE AS n FROM d WHERE NOT held),
+  r AS (SELECT (SELECT v FROM a) AS one, (SELECT sum(v * n) / sum(n) FROM g) AS two)
+  SELECT 1::BIGINT AS leaves, round((SELECT one - two FROM r) / (SELECT one FROM r), 6) AS alpha, 1.0 AS risk, round((SELECT avg(pow(y - m, 2)) FROM d, a WHERE held) / (SELECT one FROM r), 6) AS held_error
+  UNION ALL SELECT 2, NULL, round((SELECT two / one FROM r), 6), round((SELECT avg(pow(y - m, 2)) FROM d JOIN g USING (large) WHERE held) / (SELECT one FROM r), 6)""")
+def m5_path(t):
+    """The two smallest subtrees, by training and held-out error, as shares of the variance."""
+    d = _groups(t)
+    train, held = d.filter("l_linenumber % 3 != 0"), d.filter("l_linenumber % 3 = 0")
+    path = pruning.pruning_path(held, pruning.PrunedTree(problem="regression", maxDepth=2).grown(train), "regression")
+    one = path.filter("leaves = 1").select(F.col("risk").alias("whole"))
+    share = lambda c: (F.col(c) / F.col("whole")).alias(c)
+    out = path.filter("leaves <= 2").join(F.broadcast(one), F.lit(True))
+    return rounded(out.select("leaves", F.when(F.col("leaves") == 1, F.col("alpha") / F.col("whole")).alias("alpha"), share("risk"), share("held_error")), 6)
+
+
 def _plane_sql(penalty):
     return f"""WITH s AS (SELECT count(*)::DOUBLE AS n, avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_extendedprice) AS my, covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, l_extendedprice) AS uy,
       covar_pop(l_discount, l_extendedprice) AS vy, var_pop(l_quantity) AS aa, var_pop(l_discount) AS bb FROM lineitem),

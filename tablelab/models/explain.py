@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tablelab.functions.columns import col
 from tablelab.models.boosting import BoostModel
 from tablelab.models.custom import TreeVoteModel, tree_arrays
+from tablelab.models.pruning import PrunedTreeModel
 from tablelab.operators.splits import sample
 
 
@@ -120,6 +121,8 @@ def trees_of(model, label: int = 1) -> tuple[list[tuple[float, dict]], float]:
         first = last.state["first"]
         k = label if len(first) > 1 else 0
         return [(1.0, trees[k]) for trees in last.state["rounds"]], first[k]
+    if isinstance(last, PrunedTreeModel):
+        return [(1.0, last.tree(label))], 0.0
     if isinstance(last, TreeVoteModel):
         voted, total = last.state["classes"][label], sum(last.state["weights"]) or 1.0
         trees = [t | {"value": [float(v == voted) for v in t["value"]]} for t in last.state["trees"]]

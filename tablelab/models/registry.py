@@ -13,6 +13,7 @@ from pyspark.ml import regression as R
 from pyspark.ml.feature import Binarizer, MinMaxScaler, StandardScaler
 
 from tablelab.models import boosting, custom
+from tablelab.models.pruning import PrunedTree
 from tablelab.models.stochastic import Stochastic
 
 # --- fixed values: parameter grids ---------------------------------------------------------
@@ -29,7 +30,7 @@ CLASS_GRIDS = {
     "AdaBoost": {"rounds": [50, 100, 200], "learningRate": [0.5, 1.0, 2.0]},
     "Bagging": {"rounds": [10, 20, 50], "sampleShare": [0.7, 0.9, 1.0]},
     "KNN": {"k": [3, 5, 7, 10, 15], "weights": ["uniform", "distance"]},
-    "DecisionTree": {"maxDepth": [3, 5, 8, 10], "minInstancesPerNode": [2, 4, 8], "impurity": ["gini", "entropy"], "minInfoGain": [0.0, 0.001]},
+    "DecisionTree": {"maxDepth": [3, 5, 8, 10], "minInstancesPerNode": [2, 4, 8], "impurity": ["gini", "entropy"], "alpha": [0.0, 0.001]},
     "GaussianNB": {"smoothing": [1e-9, 1e-8, 1e-7, 1e-6]},
     "BernoulliNB": {"smoothing": [0.1, 0.5, 1.0, 2.0]},
     "MultinomialNB": {"smoothing": [0.1, 0.5, 1.0, 2.0]},
@@ -44,7 +45,7 @@ REGRESSION_GRIDS = {
     "BayesianRidge": {"rounds": [100, 300]},
     "SGDRegressor": {"loss": ["squaredError", "huber"], "regParam": [0.0001, 0.001], "elasticNetParam": [0.0, 1.0]},
     "KNN": {"k": [3, 5, 7, 10], "weights": ["uniform", "distance"]},
-    "DecisionTree": {"maxDepth": [3, 5, 8, 10], "minInstancesPerNode": [2, 4, 8], "minInfoGain": [0.0, 0.001]},
+    "DecisionTree": {"maxDepth": [3, 5, 8, 10], "minInstancesPerNode": [2, 4, 8], "alpha": [0.0, 0.001]},
     "RandomForest": {"numTrees": [100, 200, 300], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 4]},
     "GradientBoosting": {"maxIter": [50, 100], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 4, 5]},
     "HistGradientBoosting": {"maxIter": [100, 200], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [5, 10]},
@@ -133,6 +134,15 @@ def _histogram(name: str, problem: str, weight: dict) -> Callable[[dict], Estima
     return lambda p: boosting.HistBoost(problem=problem, **{"maxIter": 20, **HISTOGRAM[name], **p}, **weight)
 
 
+def _tree(problem: str, whole: Callable, weight: dict) -> Callable[[dict], Estimator]:
+    """Spark's tree as it is, or with a price for leaves (``alpha``) the tree cut back by it."""
+    def build(p: dict) -> Estimator:
+        rest = {k: v for k, v in p.items() if k != "alpha"}
+        return PrunedTree(problem=problem, seed=42, **p, **weight) if p.get("alpha") else whole(seed=42, **rest, **weight)
+
+    return build
+
+
 def classification_builders(n_classes: int, rows: int, key: Sequence[str], weight: str | None = None) -> dict[str, Callable[[dict], Estimator]]:
     w = {"weightCol": weight} if weight else {}
 
@@ -151,7 +161,7 @@ def classification_builders(n_classes: int, rows: int, key: Sequence[str], weigh
     out = {
         "LogisticRegression": logistic, "LinearSVC": svc, "SGDClassifier": stochastic,
         "RandomForest": lambda p: C.RandomForestClassifier(seed=42, **{"maxDepth": 10, **p}, **w),
-        "DecisionTree": lambda p: C.DecisionTreeClassifier(seed=42, **p, **w),
+        "DecisionTree": _tree("classification", C.DecisionTreeClassifier, w),
         "AdaBoost": lambda p: custom.AdaBoost(**p), "Bagging": lambda p: custom.Bagging(**p),
         "KNN": lambda p: custom.Neighbours(problem="classification", key=list(key), **p),
         "GaussianNB": lambda p: C.NaiveBayes(modelType="gaussian", **p, **w),
@@ -172,7 +182,7 @@ def regression_builders(rows: int, key: Sequence[str]) -> dict[str, Callable[[di
         **{name: _linear(name) for name in ("LinearRegression", "Ridge", "Lasso", "ElasticNet")},
         "BayesianRidge": lambda p: custom.BayesianRidge(**p), "SGDRegressor": lambda p: Stochastic(**{"loss": "squaredError", **p}),
         "KNN": lambda p: custom.Neighbours(problem="regression", key=list(key), **p),
-        "DecisionTree": lambda p: R.DecisionTreeRegressor(seed=42, **p),
+        "DecisionTree": _tree("regression", R.DecisionTreeRegressor, {}),
         "RandomForest": lambda p: R.RandomForestRegressor(seed=42, **p),
     }
     return out | {"GradientBoosting": boosted} | {n: _histogram(n, "regression", {}) for n in HISTOGRAM}

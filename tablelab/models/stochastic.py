@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.param import TypeConverters
 from pyspark.ml.param.shared import HasWeightCol
 from pyspark.sql import DataFrame
@@ -94,6 +95,15 @@ def violation(w: np.ndarray, gradient: np.ndarray, l1: float, l2: float) -> floa
 class StochasticModel(LinearScoresModel):
     """Scores of a linear model; for classes also ``probability_array``."""
 
+    @property
+    def coefficients(self) -> DenseVector:
+        """Weights of the number, or of the last class."""
+        return Vectors.dense(np.asarray(self.state["weights"])[-1])
+
+    @property
+    def intercept(self) -> float:
+        return float(np.asarray(self.state["intercepts"])[-1])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         if self.state["classes"] is None:
             return super()._transform(df)
