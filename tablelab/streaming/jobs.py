@@ -13,6 +13,7 @@ from tablelab.functions.columns import col
 from tablelab.operators.counts import long_numbers
 from tablelab.operators.eda import bin_number
 from tablelab.operators.experience import EXPERIENCES
+from tablelab.session import checkpointed, discard
 
 
 def read_log_stream(spark: SparkSession, path: str, schema: T.StructType = EXPERIENCES, files_per_batch: int = 100) -> DataFrame:
@@ -45,10 +46,16 @@ def action_values(stream: DataFrame) -> DataFrame:
 
 
 def keep_latest(stream: DataFrame, path: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:
-    """Write the full result of an aggregation with few groups after every batch; the folders of the last two batches stay."""
+    """Write the full result of an aggregation with few groups after every batch; the folders of the last two batches stay.
+
+    A batch is computed once, whatever ``shape`` does with it: every computation writes the state of the stream, and two at
+    a time write over each other.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        shape(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        once = checkpointed(batch)
+        shape(once).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        discard(once)
         drop_folder(batch.sparkSession, f"{path}/batch={number - 2}")
 
     return (
@@ -115,6 +122,9 @@ class DriftMonitor:
     def counts(self, df: DataFrame) -> DataFrame:
         """Rows per column and bin; values outside the reference range fall into the outer bins."""
         names = list(self.edges)
+        if not names:  # nothing that varies: no bins
+            none = df.select(F.lit("").alias("column"), F.lit(0).cast("bigint").alias("bin")).filter(F.lit(False))
+            return none.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
         place = F.coalesce(*[
             F.when(F.col("column") == c, F.greatest(bin_number(F.col("value"), lo, hi, self.bins), F.lit(0).cast("bigint")))
             for c, (lo, hi) in self.edges.items()

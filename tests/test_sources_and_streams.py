@@ -102,3 +102,26 @@ def test_time_buckets_over_several_batches(spark, tmp_path):
     jobs.keep_changes(jobs.time_buckets(stream, "ts", "v"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {str(r["start"]): (r["n"], r["mean"]) for r in jobs.current(spark, str(tmp_path / "out"), ["start"]).collect()}
     assert got == {"2024-01-01 00:00:00": (3, 3.0), "2024-01-01 01:00:00": (1, 7.0)}
+
+
+def test_a_batch_is_computed_once_however_often_it_is_used(spark, tmp_path):
+    spark.createDataFrame([(i % 3, 1.0 * i) for i in range(30)], "g int, v double").write.parquet(f"{tmp_path}/in")
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(n):
+        computed.add(1)
+        return n
+
+    stream = jobs.read_table_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    groups = stream.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select("g", counted("n").alias("n"))
+    shape = lambda d: d.join(d.groupBy().agg(F.sum("n").alias("all")), F.lit(True))
+    jobs.keep_latest(groups, f"{tmp_path}/out", f"{tmp_path}/state", shape).awaitTermination()
+    assert sorted(tuple(r) for r in jobs.latest(spark, f"{tmp_path}/out").collect()) == [(0, 10, 30), (1, 10, 30), (2, 10, 30)]
+    assert computed.value == 3
+
+
+def test_drift_monitor_of_a_reference_that_does_not_vary(spark):
+    for rows in ([], [(1.0,), (1.0,)]):
+        monitor = jobs.DriftMonitor.fit(spark.createDataFrame(rows, "v double"), ["v"])
+        assert monitor.index(monitor.counts(spark.createDataFrame([(2.0,)], "v double"))).collect() == []
