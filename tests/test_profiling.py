@@ -128,3 +128,21 @@ def test_empty_months_are_kept(spark):
     df = spark.createDataFrame([("2024-01-10", 1.0), ("2024-03-10", 3.0)], "d string, v double").withColumn("d", F.to_timestamp("d"))
     rows = sorted(tuple(r) for r in dash.time_means(df, "d", ["v"]).select("avg_v", "n").collect() if r["n"] is not None and r["avg_v"] is not None)
     assert rows == [(1.0, 1), (3.0, 1)] and dash.time_counts(df, "d").filter("n = 0").count() == 1
+
+
+def test_row_numbers_of_many_small_slices_are_dealt_to_few_ranges(spark, monkeypatch):
+    kept, ranges = ranks.checkpointed, []
+
+    def counted(df):
+        out = kept(df)
+        ranges.append(out.select("_slice").distinct().count())
+        return out
+
+    monkeypatch.setattr(ranks, "checkpointed", counted)
+    d = spark.range(1000).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 7 % 11).alias("y"))
+    got = {r["id"]: r["row_index"] for r in ranks.ordered_index(d, "y", ["id"], ["g"], rows_per_slice=2).collect()}
+    want = {}
+    for g in range(3):
+        for at, i in enumerate(sorted((i for i in range(1000) if i % 3 == g), key=lambda i: (i * 7 % 11, i)), 1):
+            want[i] = at
+    assert got == want and ranges[0] <= ranks.MAX_RANGES
