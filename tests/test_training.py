@@ -274,3 +274,22 @@ def test_stability_over_seeds(classes):
     from tablelab.operators.scoring import stable_winner
 
     assert stable_winner(trials).first()["seeds"] == 2
+
+
+def test_split_by_slices_is_the_split_by_ranks(spark):
+    rows = [(i % 700 if i % 13 else None, None if i % 5 == 0 else i % 2, 1.0 * i) for i in range(1400)]  # keys and classes repeat and are missing
+    d = spark.createDataFrame(rows, "k int, c int, v double")
+    shares = (("train", 0.7), ("validation", 0.1), ("test", 0.2))
+    for by in ([], ["c"]):
+        a, b = (splits.split(d, ["k", "v"], shares, by, rows_per_slice=n) for n in (10_000, 60))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        a, b = (splits.split(d, ["k"], shares, by, rows_per_slice=n).groupBy("c" if by else F.lit(0).alias("c"), "part").count() for n in (10_000, 60))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_split_of_a_large_table_moves_only_the_slices_of_a_cut(spark):
+    d = spark.range(5000).select("id", (F.col("id") % 2).alias("c"))
+    plan = splits.split(d, ["id"], by=["c"], rows_per_slice=100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    window = plan[plan.index("Window"):plan.index("Exchange hashpartitioning")]
+    assert "Exchange" not in window and "_cut" in plan[plan.index("Exchange hashpartitioning"):]
