@@ -293,3 +293,26 @@ def test_split_of_a_large_table_moves_only_the_slices_of_a_cut(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
     window = plan[plan.index("Window"):plan.index("Exchange hashpartitioning")]
     assert "Exchange" not in window and "_cut" in plan[plan.index("Exchange hashpartitioning"):]
+
+
+def test_nearest_takes_equal_distances_by_position():
+    rng = np.random.default_rng(4)
+    x, rows = rng.integers(0, 3, (40, 3)).astype(float), rng.integers(0, 3, (300, 3)).astype(float)
+    d2 = np.round(((x[:, None] - rows[None]) ** 2).sum(2), 9)
+    want = np.argsort(d2, axis=1, kind="stable")[:, :7]
+    for order, dist in (custom._nearest(x, rows, 7), custom._nearest_sliced(x, rows, 7)):
+        assert (order == want).all() and np.allclose(dist**2, np.take_along_axis(d2, want, axis=1))
+
+
+def test_neighbours_in_tiny_blocks_make_few_parts_and_small_frames(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(1500, 3)), rng.integers(0, 3, 1500)
+    d = spark.createDataFrame([(i, x[i].tolist(), float(y[i])) for i in range(1500)], "id long, x array<double>, label double")
+    d = d.select("id", array_to_vector("x").alias("features"), "label")
+    got = {}
+    for rows in (1, 10_000):
+        model = custom.Neighbours(k=3, key=["id"], blockRows=rows).fit(d.filter("id % 5 != 0"))
+        got[rows] = {r["id"]: r["prediction"] for r in model.transform(d.filter("id % 5 = 0")).collect()}
+        if rows == 1:
+            assert len(model.state["pivots"]) <= custom.BLOCK_PIVOTS * custom.MOST_BLOCKS + 1
+    assert len(got[1]) == 300 and got[1] == got[10_000]
