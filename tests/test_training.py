@@ -5,6 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from tablelab import session
 from tablelab.models import automl, custom, ensemble, evaluate, explain, registry, search
 from tablelab.operators import features, selection, splits, target
 from tablelab.operators.moments import class_moments
@@ -316,3 +317,22 @@ def test_neighbours_in_tiny_blocks_make_few_parts_and_small_frames(spark, monkey
         if rows == 1:
             assert len(model.state["pivots"]) <= custom.BLOCK_PIVOTS * custom.MOST_BLOCKS + 1
     assert len(got[1]) == 300 and got[1] == got[10_000]
+
+
+def test_boosting_by_reweighting_evaluates_each_tree_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 2))
+    d = spark.createDataFrame([(x[i].tolist(), float(x[i].sum() > 0)) for i in range(300)], "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
+    read, fit = [], custom.DecisionTreeClassifier.fit
+    monkeypatch.setattr(custom.DecisionTreeClassifier, "fit", lambda self, df: (read.append(df._jdf.queryExecution().executedPlan().toString()), fit(self, df))[1])
+    model = custom.AdaBoost(rounds=4).fit(d)
+    assert len(model.state["trees"]) == len(read) == 4 and not any("UDF" in plan for plan in read)
+    hits = model.transform(d).filter("label = prediction").count()
+    assert hits > 240
+
+
+def test_rows_are_dealt_to_enough_parts(spark):
+    d = spark.range(0, 1000, 1, 2)
+    out = session.dealt(d, 1000, ["id"], 100)
+    assert out.rdd.getNumPartitions() == 10 and out.count() == 1000
+    assert session.dealt(d, 1000, ["id"], 500).rdd.getNumPartitions() == 2
