@@ -145,4 +145,4 @@ def test_row_numbers_of_many_small_slices_are_dealt_to_few_ranges(spark, monkeyp
     for g in range(3):
         for at, i in enumerate(sorted((i for i in range(1000) if i % 3 == g), key=lambda i: (i * 7 % 11, i)), 1):
             want[i] = at
-    assert got == want and ranges[0] <= ranks.MAX_RANGES
+    assert got == want and ranges[0] <= 256
